@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("bpe", "simhash")
+MODULES = ("bpe", "simhash", "decontaminate")
 
 
 def _modules():
