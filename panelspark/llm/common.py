@@ -62,3 +62,39 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+
+
+def file_system(uri: str):
+    """(pyarrow file system, path in it) of a folder or file that tasks write or read themselves."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def put(uri: str, attempt: str):
+    """Context manager: a stream whose file appears under its name only once it is complete.
+
+    A task that runs again after a lost executor writes the file anew under the same name.
+    """
+    import contextlib
+
+    @contextlib.contextmanager
+    def opened():
+        at, path = file_system(uri)
+        with at.open_output_stream(f"{path}.{attempt}.part") as stream:
+            yield stream
+        at.move(f"{path}.{attempt}.part", path)
+
+    return opened()
+
+
+def make_dir(uri: str) -> str:
+    at, path = file_system(uri)
+    at.create_dir(path, recursive=True)
+    return uri
+
+
+def one_by_one(rows: DataFrame, key: str) -> DataFrame:
+    """A small table of work items, dealt so that each task gets one or a few."""
+    n = rows.count()
+    return rows.repartitionByRange(max(1, n), key)
