@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("bpe", "simhash", "decontaminate", "warc", "token_files")
+MODULES = ("bpe", "simhash", "decontaminate", "warc", "token_files", "quality")
 
 
 def _modules():
