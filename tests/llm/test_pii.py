@@ -1,0 +1,80 @@
+import random
+import re
+
+from panelspark.llm import pii
+from pyspark.sql import functions as F
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def brute(text):
+    t, out = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(d) <= 19 and luhn(d):
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+BITS = ["a", "é", "😀", "@", "x.y", "mail.com", "b@c.de", "_d@e.f", " ", "\n", "1.2.3.4", "0255.1.2.3", "300.1.1.1", ".5", "4111 1111 1111 1111", "4465758382889437", "-", "12", "+1 (743) 555-3824", "+", "(", ")", "token = \"", "1eb9c654e721b4f812088970e66a6345cee33dd6", "\"", "078-05-1120", "Dr. Anna Smith", "DE89 3704 0044 0532 0130 00", "%", "555-123-4567"]
+
+
+def test_base_spans_against_brute_force(spark):
+    rnd = random.Random(3)
+    texts = [None, "", "plain", "+1+1+1 23456789012", "a@b.cc.d@e.f_g@h.i", "1.2.3.4.5.6.7.8"] + ["".join(rnd.choice(BITS) for _ in range(rnd.randint(1, 40))) for _ in range(250)]
+    texts += ["x" * 100_000 + "@", "9" * 60_000, "a@" + "b." * 30_000 + "c", "me@you.org, " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(6, texts[6]), (None, texts[7])], "doc_id long, text string").withColumn("candidates", F.lit("clash"))
+    got = pii.decide(pii.find(docs, "text").cache()).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        t = texts[r.doc_id if r.doc_id is not None else 7]
+        assert [tuple(s) for s in r.spans if s.kind < 4] == brute(t), t
+        assert all(not any(b.start < s.end and s.start < b.end for b in r.spans if b.kind < 4) for s in r.spans if s.kind >= 4)
+
+
+def test_labelled_spans_are_found_and_redacted(spark):
+    secret = "1eb9c654e721b4f812088970e66a6345cee33dd6"
+    rows = [(i, f"ort and token = \"{secret[i % 20:] + secret[: i % 20]}\" erble") for i in range(40)] + [(i, f"commit {secret[: 32 + i % 3]} sha 00000000000000000000000000000000") for i in range(40, 60)]
+    rows += [(i, f"write to a{i}@mail.com or call +1 (743) 555-38{i}") for i in range(60, 90)] + [(90, "ssn 078-05-1120"), (91, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    decided = pii.decide(pii.find(docs, "text").cache())
+    got = {r.doc_id: r for r in decided.withColumn("clean", pii.redact(F.col("text"), F.col("spans"))).collect()}
+    assert sum(got[i].clean == 'ort and token = "[SECRET]" erble' for i in range(40)) >= 38  # held against the labels
+    assert sum(len(got[i].spans) for i in range(40, 60)) <= 4
+    assert all(got[i].clean == "write to [EMAIL] or call [PHONE]" for i in range(60, 90))
+    assert got[91].clean is None
+
+
+def test_em_finds_reliable_labelers():
+    rnd = random.Random(1)
+    rel = (0.9, 0.8, 0.7, 0.9, 0.5)
+    counts = {}
+    truth = []
+    for _ in range(4000):
+        true = rnd.random() < 0.4
+        votes = tuple(pii.ABSTAIN if rnd.random() < 0.2 else int(true == (rnd.random() < r)) for r in rel)
+        counts[(4, *votes)] = counts.get((4, *votes), 0) + 1
+        truth.append(((4, *votes), true))
+    rows = [(*k, n) for k, n in sorted(counts.items())]
+    share, odds, p = pii.estimate(rows)
+    assert abs(share[4] - 0.4) < 0.05
+    right = [odds[1, j, 1] / (odds[1, j, 0] + odds[1, j, 1]) for j in range(5)]
+    assert all(abs(a - b) < 0.06 for a, b in zip(right, rel, strict=True))
+    w = pii.train(rows)
+    hit = sum((sum(a * b for a, b in zip(w, pii._features(k[0], k[1:]), strict=True)) >= 0) == t for k, t in truth)
+    assert hit / len(truth) > 0.9
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.decide(pii.find(docs, "text")).collect() == []
