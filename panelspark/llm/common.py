@@ -98,3 +98,8 @@ def one_by_one(rows: DataFrame, key: str) -> DataFrame:
     """A small table of work items, dealt so that each task gets one or a few."""
     n = rows.count()
     return rows.repartitionByRange(max(1, n), key)
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small fixed table, as literals in the plan."""
+    return spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, r, strict=True))) for r in rows))))

@@ -19,6 +19,7 @@ from . import common
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+BASE_KEYWORDS = {"cc by": "cc", "general public license": "general", "all rights reserved": "reserved"}
 
 #: Tiers of priority, and the confidence of a rule in each.
 SPDX, TEXT, GRANT, VERSIONED, NAMED, SHORT = 6, 5, 4, 3, 2, 1
@@ -124,8 +125,8 @@ def _plain(version: str) -> str:
 def _table(spark: SparkSession) -> DataFrame:
     """Rules by keyword; base phrases have tier 0 and no label of a rule. Its size is that of the rule list."""
     rows = [(keyword, number, label, expr, tier, conf) for number, label, keyword, expr, tier, conf in rules()]
-    rows += [(max(phrase.split(), key=len) if phrase != "cc by" else "cc", -1 - k, label, phrase, 0, 1.0) for k, (phrase, label) in enumerate(BASE.items())]
-    return spark.createDataFrame(rows, "keyword string, rule int, label string, expr string, tier int, confidence double")
+    rows += [(BASE_KEYWORDS[phrase], -1 - k, label, phrase, 0, 1.0) for k, (phrase, label) in enumerate(BASE.items())]
+    return common.literal_rows(spark, rows, ["keyword", "rule", "label", "expr", "tier", "confidence"])
 
 
 def places(words: Column, expr: Column) -> Column:
@@ -153,7 +154,7 @@ def scan(docs: DataFrame, text: str) -> DataFrame:
     seen = docs.withColumns({"n_words": n_words.cast("long"), rid: F.monotonically_increasing_id(), "__words": F.when(t.rlike(PREFILTER), F.concat(F.lit(" "), lower, F.lit(" ")))})
     seen, _ = common.written(seen if text == "n_words" else seen.drop(text), "license-texts")  # one pass over the texts; few keep their words
     table = _table(spark)
-    keywords = sorted({r.keyword for r in table.select("keyword").distinct().collect()})  # of the rule list
+    keywords = sorted({*BASE_KEYWORDS.values(), *(r[2] for r in rules())})
     some = seen.filter("__words IS NOT NULL").select(rid, "__words")
     has = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("__words"), F.concat(F.lit(" "), k, F.lit(" "))))
     tried = some.select("*", F.explode(has).alias("keyword")).join(F.broadcast(table), "keyword")

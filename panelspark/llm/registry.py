@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("bpe", "simhash", "decontaminate", "warc", "token_files", "quality", "licenses", "pii")
+MODULES = ("bpe", "token_files", "licenses", "quality", "decontaminate", "simhash", "warc", "chat", "pii")
 
 
 def _modules():
