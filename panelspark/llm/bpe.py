@@ -22,7 +22,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -335,14 +335,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), F.col("cut_bytes")[0].alias("cut_512_bytes"))
 
 
-def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode_decode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _path())
-    return coded.select(
-        "doc_id",
+def code_digests() -> list[Column]:
+    """``n_tokens`` and the digests of ``ids`` (decimal, comma-joined) and ``decoded``."""
+    return [
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    ]
+
+
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_decode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _path())
+    return coded.select("doc_id", *code_digests())
 
 
 QUERIES = {"op1_token_counts": op1_token_counts, "op5_bpe_codec": op5_bpe_codec}
