@@ -60,11 +60,11 @@ def association(df: DataFrame, by: list[str], group: str, flag: str, least: int
     """
     cells = df.groupBy(*by, group).agg(F.count("*").alias("n"), F.sum(F.col(flag).cast("long")).alias("ones")).filter(F.col("n") >= least)
     w = Window.partitionBy(*(by or [F.lit(0)]))
-    cells = cells.withColumns({"N": F.sum("n").over(w), "K": F.sum("ones").over(w)})
-    e1, e0 = F.col("n") * F.col("K") / F.col("N"), F.col("n") * (F.col("N") - F.col("K")) / F.col("N")
+    cells = cells.withColumns({"all_n": F.sum("n").over(w), "all_ones": F.sum("ones").over(w)})
+    e1, e0 = F.col("n") * F.col("all_ones") / F.col("all_n"), F.col("n") * (F.col("all_n") - F.col("all_ones")) / F.col("all_n")
     chi = F.when(e1 > 0, F.pow(F.col("ones") - e1, F.lit(2.0)) / e1).otherwise(0.0) + F.when(e0 > 0, F.pow(F.col("n") - F.col("ones") - e0, F.lit(2.0)) / e0).otherwise(0.0)
     low = lambda edge: F.sum((e1 < edge).cast("int") + (e0 < edge).cast("int"))
-    out = cells.groupBy(*by).agg(F.count("*").alias("n_groups"), F.max("N").alias("n"), F.max("K").alias("ones"), F.sum(chi).alias("chi2"), low(5).alias("under_5"), low(1).alias("under_1"))
+    out = cells.groupBy(*by).agg(F.count("*").alias("n_groups"), F.max("all_n").alias("n"), F.max("all_ones").alias("ones"), F.sum(chi).alias("chi2"), low(5).alias("under_5"), low(1).alias("under_1"))
     able = (F.col("n_groups") > 1) & (F.col("ones") > 0) & (F.col("ones") < F.col("n"))
     status = F.when(~able, "not_estimable").when((F.col("under_5") > 0.2 * 2 * F.col("n_groups")) | (F.col("under_1") > 0), "sparse").otherwise("ok")
     out = out.withColumns({"df": F.col("n_groups") - 1, "status": status})

@@ -1 +1,142 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Models on the panel. Their rows have no SQL; tests check invariants."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .. import functions as X
+from ..operators import metrics, splits
+from ..plans import attribution, models, probit
+from .base import CUTOFF, Registry, groups, panel, r6
+
+query = Registry()
+TARGETS = ["c2", "c3", "c4", "c5"]
+LAGGED = ["lag_c2", "lag_c3", "lag_c4", "lag_c5", "lat", "lon"]
+CURRENT = ["month_number", "log_total", "lag_total"]
+SMALL = {"general": {"maxIter": 4, "maxDepth": 3, "stepSize": 0.3, "maxBins": 16}, "upper": {"maxIter": 4, "maxDepth": 3, "stepSize": 0.2, "maxBins": 16}}
+
+
+def frame(spark, d) -> DataFrame:
+    """Panel rows with features of the month before (missing for an entity's first) and of the month itself."""
+    before = Window.partitionBy("entity").orderBy("month")
+    rows = panel(spark, d).filter("s1 IS NOT NULL").join(groups(spark, d), "entity")
+    rows = rows.withColumns({**{f"lag_{t}": F.lag(t).over(before) for t in TARGETS}, "lag_total": F.ln(F.lag("total").over(before))})
+    rows = rows.withColumns({"log_total": F.ln("total"), "month_number": F.month("month").cast("double"), "split": splits.temporal(F.col("month"), CUTOFF), "fold": splits.hashed_folds(["entity"], 3)})
+    return rows.select("entity", "month", "grp", "label", "split", "fold", *TARGETS, *LAGGED, *CURRENT).cache()
+
+
+def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows.filter("split = 'train'"), rows.filter("split = 'test'")
+
+
+def _evaluated(scored: DataFrame, name: str) -> DataFrame:
+    hats = {k: X.round_even(F.col(f"hat_c{k}")) for k in range(2, 6)}
+    rows = scored.select("label", "c3", *(c.alias(f"q{k}") for k, c in hats.items()))
+    rows = rows.select(F.col("label").alias("actual"), X.majority_label({k: F.col(f"q{k}") for k in hats}).alias("predicted"), F.col("c3").alias("y"), F.col("q3").alias("p"))
+    return metrics.evaluate(rows.withColumn("model", F.lit(name)), ["model"])
+
+
+@query()
+def gbt_cumulative(spark, d):
+    train, test = _parts(frame(spark, d))
+    return _evaluated(models.cumulative_boosted(train, test, LAGGED, TARGETS, **SMALL)[0], "boosted")
+
+
+@query()
+def two_layer_residual(spark, d):
+    train, test = _parts(frame(spark, d))
+    return _evaluated(models.two_layer(train, test, LAGGED, CURRENT, TARGETS, **SMALL), "two_layer")
+
+
+@query()
+def out_of_fold_scores(spark, d):
+    return _evaluated(models.out_of_fold(frame(spark, d), "fold", 3, LAGGED + CURRENT, TARGETS[1:2] + TARGETS[:1] + TARGETS[2:], **SMALL), "out_of_fold")
+
+
+@query()
+def ols_ensemble(spark, d):
+    train, test = _parts(frame(spark, d))
+    return _evaluated(models.ols_ensemble(train, test, LAGGED + CURRENT, TARGETS), "ols")
+
+
+@query()
+def multinomial(spark, d):
+    train, test = _parts(frame(spark, d))
+    out = models.multinomial(train, test, LAGGED + CURRENT, "label")
+    return r6(metrics.class_summary(metrics.class_metrics(metrics.confusion(out, [], "label", "predicted"), []), []), "macro_precision", "macro_recall", "macro_f1")
+
+
+@query()
+def ordered_probit(spark, d):
+    train, test = _parts(frame(spark, d))
+    fills = models.medians(train, LAGGED)
+    tr, te = models.filled(train, fills, indicators=False)[0], models.filled(test, fills, indicators=False)[0]
+    te, keep = models.standardised(te, tr, LAGGED)
+    tr, _ = models.standardised(tr, tr, LAGGED)
+    cuts, beta = probit.fit(tr, keep, "label", 5)
+    return metrics.confusion(probit.predict(te, keep, cuts, beta), [], "label", "predicted")
+
+
+@query()
+def severe_classifier(spark, d):
+    """Classes 4 and 5 against 3, with three weightings of positives, as a gate on predicted class 3."""
+    train, test = _parts(frame(spark, d).filter("label >= 3").withColumn("severe", (F.col("label") >= 4).cast("int")))
+    out = None
+    for name, power in (("none", 0.0), ("root", 0.5), ("full", 1.0)):
+        scored = models.classify(train, test, LAGGED, "severe", {"maxIter": 4, "maxDepth": 3, "maxBins": 16}, power)
+        one = scored.select(F.lit(name).alias("weights"), F.col("label").alias("actual"), X.gated_promotion(F.lit(3), F.col("score"), 0.5).alias("promoted"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("weights", "actual", "promoted").agg(F.count("*").alias("n"))
+
+
+@query()
+def classifier_grid(spark, d):
+    rows = frame(spark, d).filter("label >= 3").withColumns({"severe": (F.col("label") >= 4).cast("int"), "year": F.year("month")})
+    folds = [(F.col("year") <= y, F.col("year") == y + 1) for y in (1997, 1998)]
+    return models.select_classifier(rows, folds, LAGGED, "severe", {"maxDepth": [2, 3], "maxIter": [3]})
+
+
+@query()
+def tree_shap(spark, d):
+    """Sums of attributions by label, and the largest gap between base value plus attributions and the model's own score."""
+    train, _ = _parts(frame(spark, d))
+    tr, inputs = models.filled(train, models.medians(train, LAGGED))
+    model = models.gbt(SMALL["upper"], "c3").fit(models.vector(tr, inputs).cache())
+    scored = model.transform(models.vector(tr, inputs)).drop("features")
+    out, base = attribution.tree_shap(scored, model, inputs)
+    gap = F.abs(F.lit(base) + F.aggregate("shap", F.lit(0.0), lambda a, v: a + v) - F.col("__p"))
+    return out.groupBy("label").agg(F.count("*").alias("n"), F.max(gap).alias("max_gap"), *(F.sum(F.col("shap")[k]).alias(f"shap_{c}") for k, c in enumerate(inputs)))
+
+
+@query()
+def perturbed_scores(spark, d):
+    """The same trees on features times 1.1: promotions and demotions of the label."""
+    train, test = _parts(frame(spark, d))
+    base, fitted = models.cumulative_boosted(train, test, LAGGED, TARGETS, **SMALL)
+    fills = models.medians(train, LAGGED)
+    moved, inputs = models.filled(X.scale_columns(test, "^lag_c", 1.1), fills)
+    hats = lambda df, name: df.select("entity", "month", X.majority_label({k: X.round_even(F.col(f"hat_c{k}")) for k in range(2, 6)}).alias(name))
+    both = hats(base, "before").join(hats(models.score(models.vector(moved, inputs), fitted), "after"), ["entity", "month"])
+    return metrics.change_counts(both, "before", "after")
+
+
+@query()
+def missingness_experiment(spark, d):
+    """Removing the features that are missing most: an OLS ensemble at thresholds, with status and change against none removed."""
+    from ..operators.aggregates import missing_ranking
+    from ..operators.joins import with_reference
+
+    train, test = _parts(frame(spark, d))
+    ranked = missing_ranking(train, LAGGED + CURRENT, 100.0).orderBy("rank").collect()  # one row a feature
+    out = None
+    for percent in (0, 10, 30):
+        drop = [r.feature for r in ranked][: -(-percent * len(ranked) // 100)]
+        cols = [c for c in LAGGED + CURRENT if c not in drop]
+        status, reason, scored = models.guarded("ols", lambda cols=cols: models.ols_ensemble(train, test, cols, TARGETS))
+        row = (_evaluated(scored, "ols") if scored is not None else spark.range(1).select(F.lit("ols").alias("model"))).withColumns({"percent": F.lit(percent), "removed": F.lit(",".join(drop)), "status": F.lit(status), "reason": F.lit(reason)})
+        out = row if out is None else out.unionByName(row, allowMissingColumns=True)
+    return with_reference(out, F.col("percent") == 0, ["model"], ["accuracy", "r2_share"])
+
+
+QUERIES, ORACLE_SQL = query.queries, query.sql
