@@ -24,8 +24,10 @@ def _held(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or a certified cutoff rejects go."""
-    measured, _ = common.written(quality.measure(_held(docs), "text").drop("text"), "measured")
-    return quality.judge(measured, common.table(spark, sf_dir, "labels")).filter("kept").select("__doc.*")
+    measured = quality.measure(_held(docs), "text")
+    small, _ = common.written(measured.select("doc_id", "lang", "base_failed", *quality.RULES), "measured")  # without texts
+    fitted = quality.fit(small, common.table(spark, sf_dir, "labels"))
+    return quality.apply(measured, fitted).filter("kept").select("__doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +43,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kind; ``n_chars`` follows the text where there is such a column."""
-    found, _ = common.written(pii.find(_held(docs), "text").select("__doc", "candidates"), "candidates")
-    decided = pii.decide(found)
+    found = pii.find(_held(docs), "text")
+    weights = pii.fit(common.written(found.select("candidates").filter(F.size("candidates") > 0), "candidates")[0])  # without texts
+    decided = pii.decide(found, weights=weights)
     clean = decided.select("__doc.*", pii.redact(F.col("__doc.text"), F.col("spans")).alias("__text"), "spans")
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

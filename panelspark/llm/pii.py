@@ -197,15 +197,19 @@ def _accepts(span: Column, weights: np.ndarray, threshold: float) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)) >= threshold
 
 
-def decide(found: DataFrame, column: str = "candidates", threshold: float = 0.5) -> DataFrame:
+def fit(found: DataFrame, column: str = "candidates") -> np.ndarray:
+    """The classifier's weights, from how often each combination of kind and votes occurs in all of ``found``."""
+    counts = found.select(F.explode(column).alias("s")).groupBy("s.kind", *(F.col(f"s.{v}").alias(v) for v in VOTES)).count()
+    return train(sorted(tuple(r) for r in counts.collect()))  # len(KINDS) * 3 ** len(VOTES) rows at most
+
+
+def decide(found: DataFrame, column: str = "candidates", threshold: float = 0.5, weights: np.ndarray | None = None) -> DataFrame:
     """Adds ``spans``: array of struct(start, kind, end), sorted; kinds are positions in KINDS.
 
-    Base spans stay. Another span is taken if the classifier accepts it and no base span overlaps it.
-    ``found`` is read twice: give a written table.
+    Base spans stay. Another span is taken if the classifier accepts it and no base span overlaps it. Without
+    ``weights``, they are fitted on ``found``, which is then read twice: give a written table.
     """
-    counts = found.select(F.explode(column).alias("s")).groupBy("s.kind", *(F.col(f"s.{v}").alias(v) for v in VOTES)).count()
-    rows = [tuple(r) for r in counts.collect()]  # len(KINDS) * 3 ** len(VOTES) rows at most
-    weights = train(sorted(rows))
+    weights = fit(found, column) if weights is None else weights
     is_base = lambda s: s["kind"] < len(BASE)
     base = F.filter(column, is_base)
     clear = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))

@@ -114,27 +114,45 @@ def cutoffs(labelled: DataFrame, risk: float = RISK, level: float = LEVEL) -> Da
     return certified.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(F.col("caught") - F.col("k"), "cutoff")).alias("cutoff"))
 
 
-def judge(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str | None = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """Adds ``kept`` (boolean) and ``failed_rules`` (array, sorted) to rows of ``measure``.
+def _stratum(stratum: str | None) -> Column:
+    return F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")
+
+
+def _named(df: DataFrame, own: DataFrame) -> DataFrame:
+    """``raw`` becomes ``stratum`` where it is one of its own (STRATA at most), and the rest otherwise."""
+    return df.join(F.broadcast(own.withColumn("stratum", F.col("raw"))), "raw", "left").withColumn("stratum", F.coalesce("stratum", F.lit("")))
+
+
+def fit(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str | None = "lang", risk: float = RISK, level: float = LEVEL) -> tuple[DataFrame, DataFrame]:
+    """The strata of their own and the cutoffs by stratum, from all labelled rows of ``measured``. Both are written and bounded by STRATA.
 
-    ``labels`` (its first columns named as ``doc_id`` and "quality"): of several labels of a document the least
-    counts; null ids or labels and labels of other documents are passed over. A null stratum joins the rest.
-    ``measured`` is read twice: give a written table. Without labels only the base rule rejects.
+    ``labels``: columns ``doc_id`` and "quality"; of several labels of a document the least counts, and null ids
+    or labels and labels of other documents are passed over. A null stratum joins the rest. ``measured`` is read
+    several times: give a written table. Without labels there are no cutoffs.
     """
     marks = labels.select(F.col(doc_id).alias("__id"), F.col("quality").alias("__q")).filter("__id IS NOT NULL AND __q IS NOT NULL").groupBy("__id").agg(F.min("__q").alias("__q"))
-    raw = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")
-    known = measured.select(F.col(doc_id).alias("__id"), raw.alias("raw"), "base_failed", *RULES).join(marks, "__id")
+    known = measured.select(F.col(doc_id).alias("__id"), _stratum(stratum).alias("raw"), "base_failed", *RULES).join(marks, "__id")
     own = known.groupBy("raw").agg(F.count("*").alias("n")).filter("raw <> ''").orderBy(F.desc("n"), "raw").limit(STRATA).select("raw")
-    named = lambda df: df.join(F.broadcast(own.withColumn("stratum", F.col("raw"))), "raw", "left").withColumn("stratum", F.coalesce("stratum", F.lit("")))
-    table = cutoffs(named(known).withColumn("good", F.col("__q") > 0), risk, level)
-    table, _ = common.written(table, "cutoffs")  # STRATA + 1 strata of len(RULES) rules at most
+    own, _ = common.written(own, "strata")
+    table = cutoffs(_named(known, own).withColumn("good", F.col("__q") > 0), risk, level)
     by_stratum = table.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__cut"))
-    judged = named(measured.withColumn("raw", raw)).join(F.broadcast(by_stratum), "stratum", "left")
+    return own, common.written(by_stratum, "cutoffs")[0]
+
+
+def apply(measured: DataFrame, fitted: tuple[DataFrame, DataFrame], stratum: str | None = "lang") -> DataFrame:
+    """Adds ``kept`` (boolean) and ``failed_rules`` (array, sorted) to rows of ``measure``; these are read once."""
+    own, by_stratum = fitted
+    judged = _named(measured.withColumn("raw", _stratum(stratum)), own).join(F.broadcast(by_stratum), "stratum", "left")
     failed = F.array_compact(F.array(*(F.when(F.col(r) > F.col("__cut")[r], F.lit(r)) for r in sorted(RULES))))
     judged = judged.withColumn("failed_rules", failed)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("raw", "stratum", "__cut")
 
 
+def judge(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str | None = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """``fit`` and ``apply`` on the same rows."""
+    return apply(measured, fit(measured, labels, doc_id, stratum, risk, level), stratum)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     measured, _ = common.written(measure(docs, "text").drop("text"), "measured")
