@@ -16,6 +16,7 @@ import functools
 import itertools
 import json
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -162,9 +163,6 @@ class PrefixBPE:
             return [piece[a:b] for _, (a, b) in self.library_split.pre_tokenize_str(piece)]
         return self.split.findall(piece)
 
-    def encode_piece(self, piece: str) -> list[int]:
-        return [i for w in self.words(piece) for i in self.encode_word(w.encode())]
-
     def decode(self, ids) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -172,17 +170,19 @@ class PrefixBPE:
 class PieceMap:
     """Maps a whole text to the values of its pieces, by memo."""
 
-    def __init__(self, bpe: PrefixBPE, value: Callable[[str], object], special: Callable[[str], object]):
+    def __init__(self, bpe: PrefixBPE, word: Callable[[str], object], total: Callable[[Iterator], object], special: Callable[[str], object]):
+        """``word``: the value of a pre-token; ``total``: that of a piece from its pre-tokens' values."""
+
         def inner(piece: str):
             if not piece or piece[0].isspace() or piece[-1].isspace():
                 raise Uneven
-            return value(" " + piece)
+            return outer(" " + piece)
 
         def outer(piece: str):
-            return value(piece)
+            return total(map(self.of_word.__getitem__, bpe.words(piece)))
 
         self.bpe, self.special = bpe, special
-        self.inner, self.outer = Memo(inner), Memo(outer, MEMO_ENTRIES // 5)
+        self.inner, self.outer, self.of_word = Memo(inner), Memo(outer, MEMO_ENTRIES // 5), Memo(word)
 
     def _plain(self, text: str) -> list:
         parts = text.split(" ")
@@ -224,14 +224,14 @@ def _encoder(source: str) -> PrefixBPE:
 @functools.lru_cache(2)
 def _id_map(source: str) -> PieceMap:
     bpe = _encoder(source)
-    packed = lambda ids: np.array(ids, "<u4").tobytes()
-    return PieceMap(bpe, lambda piece: packed(bpe.encode_piece(piece)), lambda s: packed([bpe.special[s]]))
+    packed = lambda ids: array("I", ids).tobytes()
+    return PieceMap(bpe, lambda word: packed(bpe.encode_word(word.encode())), b"".join, lambda s: packed([bpe.special[s]]))
 
 
 @functools.lru_cache(2)
 def _count_map(source: str) -> PieceMap:
     bpe = _encoder(source)
-    return PieceMap(bpe, lambda piece: sum(bpe.prefixes(w.encode())[1][-1] for w in bpe.words(piece)), lambda s: 1)
+    return PieceMap(bpe, lambda word: bpe.prefixes(word.encode())[1][-1], sum, lambda s: 1)
 
 
 def vocabulary(spark: SparkSession, path: str):
