@@ -5,9 +5,9 @@ payment card, phone number) have an exact check, and what passes it is always re
 kinds (secret, local phone number, social security number, bank account, person with a title) are
 reported if the classifier says so.
 
-Five labelers look at every candidate: its form (a stricter expression), a gazetteer (known domains,
-issuers, country codes, prefixes, names), words before it that speak for its kind, words before it
-that speak against personal data, and its shape. Each votes for, votes against or abstains. How often
+Five labelers look at every candidate. Its form (a stricter expression), a gazetteer (known domains,
+issuers, country codes, prefixes, names) and words before it can speak for its kind; other words before
+it and a poor variety of characters can speak against. Each votes or abstains. How often
 each combination of votes occurs in the whole corpus is counted; this table has no more rows than
 there are combinations. On it, expectation-maximisation estimates each kind's share of true spans and
 each labeler's reliability, and a logistic classifier over kind and votes is trained on the estimated
@@ -51,7 +51,7 @@ FORM = {
     "ip": r"^(?:[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.(?:0|[1-9][0-9]{0,2})){3}$",
     "card": r"^[3-6](?:[0-9]{13,15}|[0-9]{3}(?:[ -][0-9]{4}){3})$",
     "phone": r"^\+[1-9][0-9]{0,2}[ -]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){1,4}$",
-    "secret": r"^(?=.*[0-9])(?=.*[A-Za-z])(?:.{32}|.{40}|.{64}|AKIA.*|gh.*|xox.*|sk_.*)$",
+    "secret": r"[^0-9a-f]",  # plain hexadecimal digits may be a digest
     "local_phone": r"^(?:\([2-9][0-9]{2}\) |[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}$",
     "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
     "iban": r"^[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,6}(?: ?[0-9]{1,3})?$",
@@ -82,6 +82,10 @@ FOR = {
 AGAINST = r"(?i)(?:version|release|isbn|issn|sha|md5|digest|checksum|commit|revision|build|order|invoice|example|sample|page|fig)\W{0,6}(?:no|number|id)?\W{0,4}$"
 VOTES = ("form", "gazetteer", "before", "against", "shape")
 NO, YES, ABSTAIN = 0, 1, 2
+#: Votes that each labeler is taken to have cast before the first is counted: right and wrong ones.
+PRIOR = (8.0, 2.0)
+#: Bounds of a kind's share of true spans, so that a single vote of a trusted labeler can still decide.
+SHARES = (0.05, 0.75)
 SPAN = "array<struct<kind: int, start: int, end: int, form: int, gazetteer: int, before: int, against: int, shape: int>>"
 
 
@@ -118,11 +122,11 @@ def _placer(number: int, kind: str):
             F.lit(number).alias("kind"),
             start.alias("start"),
             end.alias("end"),
-            _vote(x["m"].rlike(FORM[kind]), YES, NO).alias("form"),
-            _vote(x["m"].rlike(GAZETTEER[kind]), YES, NO).alias("gazetteer"),
+            _vote(x["m"].rlike(FORM[kind]), YES, ABSTAIN).alias("form"),
+            _vote(x["m"].rlike(GAZETTEER[kind]), YES, ABSTAIN).alias("gazetteer"),
             _vote(left.rlike(FOR[kind]), YES, ABSTAIN).alias("before"),
             _vote(left.rlike(AGAINST), NO, ABSTAIN).alias("against"),
-            _vote(F.size(F.array_distinct(F.split(x["m"], ""))) > 5, YES, NO).alias("shape"),
+            _vote(F.size(F.array_distinct(F.split(x["m"], ""))) <= 5, NO, ABSTAIN).alias("shape"),
         )
         return F.struct(end.alias("at"), F.when(_valid(kind, x["m"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
@@ -141,30 +145,26 @@ def candidates(text: Column) -> Column:
     return F.when(text.rlike(PREFILTER), F.concat(*of_kinds)).otherwise(none)
 
 
-def estimate(counts: list[tuple], rounds: int = 60) -> tuple[dict[int, float], np.ndarray, np.ndarray]:
-    """EM over rows (kind, votes..., n): share of true spans by kind, P(vote | class) by labeler, and each row's probability.
+def estimate(counts: list[tuple], rounds: int = 100) -> tuple[dict[int, float], np.ndarray, np.ndarray]:
+    """EM over rows (kind, votes..., n): share of true spans by kind, accuracy of each labeler, and each row's probability.
 
-    Labelers are taken as independent given the class, with reliabilities that kinds share. The start is the
-    majority of votes; a weak prior keeps every probability off 0 and 1, and with it a labeler that votes at
-    random counts for nothing.
+    Labelers are taken as independent given the truth; an abstention says nothing, and a vote is right with the
+    labeler's accuracy, which kinds share. A prior worth PRIOR votes says that labelers are rather right than wrong,
+    so the two classes can't change places; accuracies stay between a half and 0.99, shares within SHARES.
     """
     table = np.array(counts, "f8").reshape(-1, len(VOTES) + 2)
     kinds, votes, n = table[:, 0].astype(int), table[:, 1:-1].astype(int), table[:, -1]
-    p = np.clip(((votes == YES).sum(1) + 0.5) / ((votes != ABSTAIN).sum(1) + 1.0), 0.05, 0.95)
-    share, odds = {}, np.full((2, len(VOTES), 3), 1 / 3)
+    accuracy, share = np.full(len(VOTES), PRIOR[0] / sum(PRIOR)), dict.fromkeys(sorted(set(kinds.tolist())), 0.5)
+    yes, no = votes == YES, votes == NO
     for _ in range(rounds):
-        for k in set(kinds.tolist()):
-            at = kinds == k
-            share[k] = float((p[at] @ n[at] + 1) / (n[at].sum() + 2))
-        for c, w in enumerate((n * (1 - p), n * p)):
-            for j in range(len(VOTES)):
-                got = np.array([w[votes[:, j] == v].sum() for v in (NO, YES, ABSTAIN)]) + 1.0
-                odds[c, j] = got / got.sum()
-        logit = np.array([np.log(share[k] / (1 - share[k])) for k in kinds])
-        for j in range(len(VOTES)):
-            logit = logit + np.log(odds[1, j, votes[:, j]] / odds[0, j, votes[:, j]])
+        logit = np.array([np.log(share[k] / (1 - share[k])) for k in kinds]) + (yes * 1.0 - no) @ np.log(accuracy / (1 - accuracy))
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return share, odds, p
+        right = n @ (p[:, None] * yes + (1 - p)[:, None] * no)
+        accuracy = np.clip((right + PRIOR[0]) / (n @ (yes | no) + sum(PRIOR)), 0.5, 0.99)
+        for k in share:
+            at = kinds == k
+            share[k] = float(np.clip((p[at] @ n[at] + 1) / (n[at].sum() + 2), *SHARES))
+    return share, accuracy, p
 
 
 def _features(kind: int, votes) -> list[float]:
