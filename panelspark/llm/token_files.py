@@ -13,8 +13,10 @@ position in the whole corpus.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +29,18 @@ from . import bpe, common
 
 SEQUENCE, BATCH = 2048, 64
 #: Pieces of text that a worker remembers, in each of two generations.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 500_000
+#: ASCII punctuation: neither letters, digits nor white space to the library's split.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library, which sees each piece of text once while a worker remembers it."""
+    """Ids by the tokenizers library, which sees each unit of text once while a worker remembers it.
+
+    The library always cuts before a run of white space, and between a letter or digit and the punctuation
+    behind it. So a text is cut at single spaces; a piece that isn't remembered is cut on at line ends and
+    before trailing punctuation, and only units that aren't remembered either go to the library.
+    """
 
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
@@ -41,35 +50,78 @@ class LibraryEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.size = self.library.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # without the space before them
+        self.units: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+        self.old_units: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ask(self, texts: list[str]) -> list[bytes]:
+        return [array(self.kind.char, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def cut(piece: str) -> list[str] | None:
+        """The units of a piece with what precedes it; None where white space makes a cut unsafe."""
+        units = []
+        for line in piece.replace("\n", "\0\n").split("\0") if "\n" in piece else (piece,):
+            if line[-1:].isspace() or line[1:2].isspace():
+                return None
+            stem = line.rstrip(PUNCTUATION)
+            units += [stem, line[len(stem) :]] if len(stem) < len(line) and stem[-1:].isalnum() else [line]
+        return units
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text. Pieces begin at single spaces, where the library always cuts."""
-        parts = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        need = set().union(*(p for p in parts if p is not None))
-        need.difference_update(self.memo.keys())
-        uneven = {p for p in need if p[-1:].isspace() or p[:1].isspace() and (p[0] != " " or p[1].isspace())}
-        if len(self.memo) + len(need) > MEMO_ENTRIES:
-            self.old, self.memo = self.memo, {}
-            need = set().union(*(p for p in parts if p is not None))
-        need -= uneven | {""}
-        for p in need & self.old.keys():
-            self.memo[p] = self.old[p]
-        need -= self.memo.keys()
-        ask = list(need)
-        self.memo.update(zip(ask, self._encode(ask), strict=True))
-        self.memo[""] = b""
-        out: list[bytes | None] = []
-        for t, p in zip(texts, parts, strict=True):
-            whole = p is None or any(s in t for s in self.special) or uneven and not uneven.isdisjoint(p)
-            out.append(None if whole else b"".join(map(self.memo.__getitem__, p)))
-        left = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(left, self._encode([texts[k] for k in left]), strict=True):
-            out[k] = x
+        """The packed ids of each text."""
+        if len(self.pieces) > MEMO_ENTRIES:
+            self.old_pieces, self.pieces = self.pieces, {}
+        if len(self.units) > MEMO_ENTRIES:
+            self.old_units, self.units = self.units, {}
+        get, found, open_, ask = self.pieces.get, [], [], {}
+        for k, text in enumerate(texts):
+            if "\0" in text or any(s in text for s in self.special):
+                found.append(None)
+                continue
+            parts = text.split(" ")
+            values = list(map(get, parts))
+            values[0] = None if text else b""
+            if None in values:
+                units = self._missing(parts, values, ask)
+                if units is None:
+                    values = None
+                else:
+                    open_.append((parts, values, units))
+            found.append(values)
+        self.units.update(zip(ask, self._ask(list(ask)), strict=True))
+        known = self.units
+        for parts, values, units in open_:
+            for at, us in units:
+                values[at] = x = b"".join(map(known.__getitem__, us))
+                if at and "\n" not in parts[at]:
+                    self.pieces[parts[at]] = x
+        left = [k for k, v in enumerate(found) if v is None]
+        whole = dict(zip(left, self._ask([texts[k] for k in left]), strict=True))
+        return [whole[k] if v is None else b"".join(v) for k, v in enumerate(found)]
+
+    def _missing(self, parts: list[str], values: list, ask: dict) -> list[tuple[int, list[str]]] | None:
+        out = []
+        for at in [k for k, v in enumerate(values) if v is None]:
+            part = parts[at]
+            old = self.old_pieces.get(part) if at else None
+            if old is not None:
+                values[at] = self.pieces[part] = old
+                continue
+            if at and not part or not at and part[:1].isspace():
+                return None
+            units = [" " + part] if at and part.isalnum() else self.cut(" " + part if at else part)
+            if units is None:
+                return None
+            for u in units:
+                if u not in self.units:
+                    old = self.old_units.get(u)
+                    if old is not None:
+                        self.units[u] = old
+                    else:
+                        ask[u] = None
+            out.append((at, units))
         return out
 
 
@@ -165,6 +217,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "do
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        gc.disable()  # the encoder makes many short-lived containers, and no cycles
         coder, part = _library(source.value), TaskContext.get().partitionId()
         first = next(batches, None)
         while first is not None and not first.num_rows:
