@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     measured = quality.measure(_held(docs), "text")
     small, _ = common.written(measured.select("doc_id", "lang", "base_failed", *quality.RULES), "measured")  # without texts
     fitted = quality.fit(small, common.table(spark, sf_dir, "labels"))
-    return quality.apply(measured, fitted).filter("kept").select("__doc.*")
+    return quality.keep(quality.apply(measured, fitted)).select("__doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kind; ``n_chars`` follows the text where there is such a column."""
     found = pii.find(_held(docs), "text")
-    weights = pii.fit(common.written(found.select("candidates").filter(F.size("candidates") > 0), "candidates")[0])  # without texts
+    weights = pii.fit(common.written(found.select("candidates"), "candidates")[0])  # without texts
     decided = pii.decide(found, weights=weights)
     clean = decided.select("__doc.*", pii.redact(F.col("__doc.text"), F.col("spans")).alias("__text"), "spans")
     if "n_chars" in docs.columns:

@@ -148,6 +148,14 @@ def apply(measured: DataFrame, fitted: tuple[DataFrame, DataFrame], stratum: str
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("raw", "stratum", "__cut")
 
 
+def keep(judged: DataFrame) -> DataFrame:
+    """The kept rows. The row number, which has no other use, keeps the filter above the measures.
+
+    Pushed below them, it would repeat their expressions inside each other.
+    """
+    return judged.withColumn("__at", F.monotonically_increasing_id()).filter("kept AND __at >= 0").drop("__at")
+
+
 def judge(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str | None = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """``fit`` and ``apply`` on the same rows."""
     return apply(measured, fit(measured, labels, doc_id, stratum, risk, level), stratum)
