@@ -211,4 +211,13 @@ def slot_imputation(spark, d):
     return r6(spatial.impute_slots(edges, targets, obs, p, "id", "month", "g", "lat", "lon", "v").filter("method IS NOT NULL"), "value")
 
 
+@query(f"""WITH {_POINTS}, c AS (SELECT c_custkey AS c, CAST(c_custkey * 37 % 1700 AS DOUBLE) / 10 - 85 AS lat, CAST(c_custkey * 91 % 3600 AS DOUBLE) / 10 - 180 AS lon FROM customer),
+p AS (SELECT c.c, points.id, (c.lat - points.lat) * (c.lat - points.lat) + (c.lon - points.lon) * (c.lon - points.lon) AS d2 FROM c, points)
+SELECT c, id, round(d2, 6) AS d2 FROM p QUALIFY row_number() OVER (PARTITION BY c ORDER BY d2, id) = 1""")
+def nearest_grid_point(spark, d):
+    k = F.col("c_custkey")
+    points = table(spark, d, "customer").select(k.alias("c"), ((k * 37 % 1700) / 10 - 85).alias("lat"), ((k * 91 % 3600) / 10 - 180).alias("lon"))
+    return r6(spatial.nearest_planar(points, _points(spark, d), "c", "id", "lat", "lon", 10.0), "d2")
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -121,6 +121,22 @@ def perturbed_scores(spark, d):
     return metrics.change_counts(both, "before", "after")
 
 
+@query()
+def spatial_conditions(spark, d):
+    """An OLS ensemble with coordinates, without, and with means of neighbours: the five nearest, and those within 500 km."""
+    from ..operators import spatial
+
+    rows = frame(spark, d)
+    places = rows.select("entity", "lat", "lon").distinct()
+    edges = {"knn5": spatial.nearest(places, "entity", "lat", "lon", 5), "km500": spatial.within(places, places, "entity", "lat", "lon", 500.0)}
+    out = None
+    for name, (inputs, cols) in models.spatial_conditions(rows, edges, "entity", "month", LAGGED).items():
+        inputs = inputs.cache()
+        one = _evaluated(models.ols_ensemble(inputs.filter("split = 'train'"), inputs.filter("split = 'test'"), cols, ["c2", "c3", "c4", "c5"]), name)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def missingness_experiment(spark, d):
     """Removing the features that are missing most: an OLS ensemble at thresholds, with status and change against none removed."""
