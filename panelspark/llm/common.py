@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
-    made = f"file://{tempfile.mkdtemp(prefix='panelspark-')}"  # only without a cluster setting, as in tests
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='panelspark-')}"  # only without a cluster's setting, as in tests
+    return _OWN[app]
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
