@@ -6,8 +6,7 @@ import random
 import corpus_pipeline
 import public_tokenizers
 import pytest
-from panelspark.llm import decontaminate, pii, simhash
-from pyspark.sql import functions as F
+from panelspark.llm import decontaminate, pii
 from test_pii import brute as spans_of
 from test_quality import brute as measures_of
 from test_simhash import brute as components_of
@@ -78,4 +77,3 @@ def test_stages_keep_the_columns(spark, tables):
         assert stage(spark, docs.limit(0), at).collect() == []
     changed = corpus_pipeline.personal_data(spark, docs, at).filter("doc_id = 41").first()
     assert "[PHONE] or [EMAIL]" in changed.text and changed.n_chars == len(changed.text)
-    assert simhash.LINK_BITS == 3 and F
