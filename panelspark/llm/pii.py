@@ -86,7 +86,39 @@ NO, YES, ABSTAIN = 0, 1, 2
 PRIOR = (8.0, 2.0)
 #: Bounds of a kind's share of true spans, so that a single vote of a trusted labeler can still decide.
 SHARES = (0.05, 0.75)
-SPAN = "array<struct<kind: int, start: int, end: int, form: int, gazetteer: int, before: int, against: int, shape: int>>"
+SPAN = "struct<kind: int, start: int, end: int, form: int, gazetteer: int, before: int, against: int, shape: int>"
+SHORT = "struct<start: int, kind: int, end: int>"
+#: Items of a scan that are taken together, and code points of the blocks that a text is cut into for redaction.
+RUN, BLOCK = 256, 4096
+NOWHERE = (1 << 31) - 1
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once, however often lambdas inside refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _scan(items: Column, start: Column, kind: str, step) -> Column:
+    """What ``step(state, item)`` gives for each item from left to right: the next state, and an array of ``kind`` to append.
+
+    Results are appended to runs of RUN items, so a long array isn't copied once for each item.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def over(whole: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            state, out = step(acc["state"], x)
+            return F.struct(state.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+        def run(acc: Column, at: Column) -> Column:
+            fresh = F.struct(acc["state"].alias("state"), none.alias("out"))
+            return F.aggregate(F.slice(whole, at, RUN), fresh, one, lambda a: F.struct(a["state"].alias("state"), F.concat(acc["runs"], F.array(a["out"])).alias("runs")))
+
+        begins = F.sequence(F.lit(1), F.size(whole), F.lit(RUN))
+        first = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("runs"))
+        return F.when(F.size(whole) > 0, F.aggregate(begins, first, run, lambda a: F.flatten(a["runs"]))).otherwise(none)
+
+    return _let(items, over)
 
 
 def _vote(test: Column, yes: int, no: int) -> Column:
@@ -112,10 +144,10 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def _placer(number: int, kind: str):
-    """Adds one match to the spans so far: ``at`` is where the last match ended."""
+    """Places one match; the state is where the last one ended."""
 
-    def place(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def place(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["m"])
         left = F.right(x["gap"], F.lit(40))
         span = F.struct(
@@ -128,20 +160,19 @@ def _placer(number: int, kind: str):
             _vote(left.rlike(AGAINST), NO, ABSTAIN).alias("against"),
             _vote(F.size(F.array_distinct(F.split(x["m"], ""))) <= 5, NO, ABSTAIN).alias("shape"),
         )
-        return F.struct(end.alias("at"), F.when(_valid(kind, x["m"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        return end, F.when(_valid(kind, x["m"]), F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
     return place
 
 
 def candidates(text: Column) -> Column:
     """Array of the candidate spans of a whole text (code points, end exclusive), base kinds already checked."""
-    none = F.array().cast(SPAN)
+    none = F.array().cast(f"array<{SPAN}>")
     of_kinds = []
     for number, kind in enumerate(KINDS):
         found, between = F.regexp_extract_all(text, F.lit(FIND[kind]), F.lit(0)), F.split(text, FIND[kind], -1)
         zipped = F.filter(F.arrays_zip(found.alias("m"), between.alias("gap")), lambda x: x["m"].isNotNull())
-        start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-        of_kinds.append(F.when(text.rlike(FIND[kind]), F.aggregate(zipped, start, _placer(number, kind), lambda acc: acc["spans"])).otherwise(none))
+        of_kinds.append(F.when(text.rlike(FIND[kind]), _scan(zipped, F.lit(0), SPAN, _placer(number, kind))).otherwise(none))
     return F.when(text.rlike(PREFILTER), F.concat(*of_kinds)).otherwise(none)
 
 
@@ -211,11 +242,24 @@ def decide(found: DataFrame, column: str = "candidates", threshold: float = 0.5,
     """
     weights = fit(found, column) if weights is None else weights
     is_base = lambda s: s["kind"] < len(BASE)
-    base = F.filter(column, is_base)
-    clear = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = F.filter(column, lambda s: ~is_base(s) & _accepts(s, weights, threshold) & clear(s))
-    short = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return found.withColumn("spans", F.sort_array(F.concat(short(base), short(more))))
+    marks = F.transform(
+        column,
+        lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.when(is_base(s), True).otherwise(_accepts(s, weights, threshold)).alias("taken")),
+    )
+    kept_if = lambda test, s, kind: F.when(test, F.array(s)).otherwise(F.array().cast(f"array<{kind}>"))
+
+    def from_left(reach: Column, s: Column) -> tuple[Column, Column]:
+        """Drops what no one takes, and what begins before a base span ends."""
+        return F.when(is_base(s), F.greatest(reach, s["end"])).otherwise(reach), kept_if(is_base(s) | s["taken"] & (s["start"] >= reach), s, marked)
+
+    def from_right(next_base: Column, s: Column) -> tuple[Column, Column]:
+        """Drops what ends behind the beginning of the next base span."""
+        short = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
+        return F.when(is_base(s), s["start"]).otherwise(next_base), kept_if(is_base(s) | (s["end"] <= next_base), short, SHORT)
+
+    marked = SHORT[:-1] + ", taken: boolean>"
+    left = _scan(F.sort_array(marks), F.lit(0), marked, from_left)
+    return found.withColumn("spans", F.sort_array(_scan(F.reverse(left), F.lit(NOWHERE), SHORT, from_right)))
 
 
 def find(docs: DataFrame, text: str) -> DataFrame:
@@ -226,14 +270,21 @@ def find(docs: DataFrame, text: str) -> DataFrame:
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span (or run of overlapping spans) replaced by its first kind in brackets; null stays null."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    size = F.length(text)
+    end = F.struct(size.alias("start"), F.lit(len(KINDS)).alias("kind"), size.alias("end"))  # stands for what follows the last span
+
+    def over(blocks: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+            return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), a - first * BLOCK + 1, b - a)
+
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            fresh = F.array(between(at, s["start"]), F.coalesce(F.get(names, s["kind"]), F.lit("")))
+            return F.greatest(at, s["end"]), F.when(s["start"] >= at, fresh).otherwise(F.array().cast("array<string>"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, out).otherwise(acc["out"]).alias("out"))
+        return F.array_join(_scan(F.concat(spans, F.array(end)), F.lit(0), "string", step), "")
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    done = _let(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0)), over)
     return F.when(F.size(spans) == 0, text).otherwise(done)
 
 

@@ -77,3 +77,18 @@ def test_em_finds_reliable_labelers():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.decide(pii.find(docs, "text")).collect() == []
+
+
+def test_redaction_of_many_spans_over_several_blocks(spark):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(["é", "😀 ", "plain\n", " a@b.org ", " +1 (743) 555-3824 ", "x" * 900]) for _ in range(n)) for n in (3, 60, 3000)] + ["a@b.org", " " * pii.BLOCK + "a@b.org", "x" * (pii.BLOCK - 4) + " a@b.org" + "y " * pii.BLOCK]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pii.decide(pii.find(docs, "text").cache()).withColumn("clean", pii.redact(F.col("text"), F.col("spans"))).collect()
+    assert max(len(r.spans) for r in got) > 2 * pii.RUN
+    for r in got:
+        want, at = [], 0
+        for start, kind, end in r.spans:
+            if start >= at:
+                want += [r.text[at:start], f"[{pii.KINDS[kind].upper()}]"]
+            at = max(at, end)
+        assert r.clean == "".join(want) + r.text[at:]
