@@ -81,9 +81,6 @@ SENTENCES = [
     ("warranty", "warranty", "(?:without|no) warranty of any kind"),
     ("warranty", "warranties", "without warranties or conditions of any kind"),
 ]
-#: Of these at least one stands in every text in which a rule or a base phrase can match.
-PREFILTER = r"(?i)licen|rights|spdx|permi|warrant|public|redistribut|commons|proprietary|unencumbered|altered|endorse|prohibited|copyleft|cc0|wtfpl|eupl|cddl|gpl|(?:^|[^0-9A-Za-z\x80-\x{10FFFF}])cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
-
 _GRANTS = "(?:licen[cs]ed|released|distributed|available|published|provided|covered) (?:under|by)(?: the)?(?: terms of)?(?: the)?(?: gnu)? "
 
 
@@ -116,12 +113,25 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
     return [(k, label, keyword, expr, tier, CONFIDENCE[tier]) for k, (label, keyword, expr, tier) in enumerate(out)]
 
 
+def _prefilter() -> str:
+    """An expression that finds a keyword of a rule or base phrase as a word; keywords are grouped by first letter."""
+    rests: dict[str, list[str]] = {}
+    for k in sorted({*BASE_KEYWORDS.values(), *(r[2] for r in rules())}):
+        rests.setdefault(k[0], []).append(k[1:])
+    edge = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    return f"(?i)(?:^|{edge})(?:{'|'.join(f'{c}(?:{"|".join(r)})' for c, r in rests.items())})(?:$|{edge})"
+
+
 def _plain(version: str) -> str:
     """The version in a label: its first form, with dots."""
     first = version.replace("(?: 0)?", " 0").replace("v?", "")
     return first.replace(" ", ".").replace(".clause", "-clause")
 
 
+#: A text without it holds no keyword, so no rule or base phrase is tried on it.
+PREFILTER = _prefilter()
+
+
 def _table(spark: SparkSession) -> DataFrame:
     """Rules by keyword; base phrases have tier 0 and no label of a rule. Its size is that of the rule list."""
     rows = [(keyword, number, label, expr, tier, conf) for number, label, keyword, expr, tier, conf in rules()]
