@@ -25,14 +25,16 @@ BASE_KEYWORDS = {"cc by": "cc", "general public license": "general", "all rights
 SPDX, TEXT, GRANT, VERSIONED, NAMED, SHORT = 6, 5, 4, 3, 2, 1
 CONFIDENCE = {SPDX: 1.0, TEXT: 0.98, GRANT: 0.95, VERSIONED: 0.9, NAMED: 0.75, SHORT: 0.5}
 
-#: (label, keyword, name over words, versions, words of the SPDX identifier without version)
+#: (label, keyword, name over words, versions, words of the SPDX identifier without version). The keyword
+#: stands in every form of the name.
 FAMILIES = [
     ("apache", "apache", "apache(?: software)?", ["1 0", "1 1", "2 0"], "apache"),
     ("mit", "mit", "mit(?: x11)?", [], "mit"),
     ("bsd", "bsd", "(?:(?:new|modified|simplified|revised|original) )?bsd", ["2 clause", "3 clause", "4 clause"], "bsd"),
     ("gpl", "general", "(?:gnu )?general public", ["1(?: 0)?", "2(?: 0)?", "3(?: 0)?"], "gpl"),
     ("gpl", "gpl", "(?:gnu )?gpl", ["v?1(?: 0)?", "v?2(?: 0)?", "v?3(?: 0)?"], "gpl"),
-    ("lgpl", "lesser", "(?:gnu )?(?:lesser|library) general public", ["2(?: 0)?", "2 1", "3(?: 0)?"], "lgpl"),
+    ("lgpl", "lesser", "(?:gnu )?lesser general public", ["2(?: 0)?", "2 1", "3(?: 0)?"], "lgpl"),
+    ("lgpl", "library", "(?:gnu )?library general public", ["2(?: 0)?", "2 1", "3(?: 0)?"], "lgpl"),
     ("lgpl", "lgpl", "(?:gnu )?lgpl", ["v?2(?: 0)?", "v?2 1", "v?3(?: 0)?"], "lgpl"),
     ("agpl", "affero", "(?:gnu )?affero general public", ["1(?: 0)?", "3(?: 0)?"], "agpl"),
     ("agpl", "agpl", "(?:gnu )?agpl", ["v?1(?: 0)?", "v?3(?: 0)?"], "agpl"),
@@ -40,14 +42,17 @@ FAMILIES = [
     ("mpl", "mozilla", "mozilla public", ["1 0", "1 1", "2 0"], "mpl"),
     ("mpl", "mpl", "mpl", ["1 0", "1 1", "2 0"], "mpl"),
     ("epl", "eclipse", "eclipse public", ["1 0", "2 0"], "epl"),
-    ("cddl", "cddl", "(?:common development and distribution|cddl)", ["1 0", "1 1"], "cddl"),
-    ("eupl", "eupl", "(?:european union public|eupl)", ["1 0", "1 1", "1 2"], "eupl"),
+    ("cddl", "distribution", "common development and distribution", ["1 0", "1 1"], "cddl"),
+    ("cddl", "cddl", "cddl", ["1 0", "1 1"], "cddl"),
+    ("eupl", "european", "european union public", ["1 0", "1 1", "1 2"], "eupl"),
+    ("eupl", "eupl", "eupl", ["1 0", "1 1", "1 2"], "eupl"),
     ("isc", "isc", "isc", [], "isc"),
     ("zlib", "zlib", "zlib(?: libpng)?", [], "zlib"),
     ("boost", "boost", "boost(?: software)?", ["1 0"], "bsl"),
     ("artistic", "artistic", "(?:perl )?artistic", ["1 0", "2 0"], "artistic"),
     ("unlicense", "unlicense", "unlicense", [], "unlicense"),
-    ("wtfpl", "wtfpl", "(?:do what the fuck you want to public|wtfpl)", ["2(?: 0)?"], "wtfpl"),
+    ("wtfpl", "fuck", "do what the fuck you want to public", ["2(?: 0)?"], "wtfpl"),
+    ("wtfpl", "wtfpl", "wtfpl", ["2(?: 0)?"], "wtfpl"),
     ("ofl", "sil", "sil open font", ["1 0", "1 1"], "ofl"),
     ("odbl", "database", "open(?: data commons)? (?:open )?database", ["1 0"], "odbl"),
     ("postgresql", "postgresql", "postgresql", [], "postgresql"),
@@ -56,12 +61,16 @@ FAMILIES = [
     ("upl", "universal", "universal permissive", ["1 0"], "upl"),
     ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)?", [], "ncsa"),
     ("vim", "vim", "vim", [], "vim"),
-    ("cc0", "cc0", "(?:creative commons zero|cc0)", ["1 0"], "cc0"),
+    ("cc0", "zero", "creative commons zero", ["1 0"], "cc0"),
+    ("cc0", "cc0", "cc0", ["1 0"], "cc0"),
 ]
+#: Keywords of names that are reported without a version or the word license, though they aren't the SPDX identifier.
+LONG = ("distribution", "european", "fuck", "zero")
 #: Parts of Creative Commons licenses; with five versions each they make the versioned rules.
 CC = {"by": "attribution", "by sa": "attribution share ?alike", "by nc": "attribution non ?commercial", "by nd": "attribution no ?deriv(?:ative)?s(?: works)?", "by nc sa": "attribution non ?commercial share ?alike", "by nc nd": "attribution non ?commercial no ?deriv(?:ative)?s(?: works)?"}
 CC_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
-#: Sentences of license texts: (label, keyword, words).
+#: Sentences of license texts: (label, keyword, words). The sentence of the Apache notice stands in notices of
+#: MPL 1.1 and CDDL too, so its keyword is no part of it but a word that must stand somewhere in the text.
 SENTENCES = [
     ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit", "substantial", "the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
@@ -88,7 +97,7 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
     """(number, label, keyword, expression, tier, confidence), in order. No rule matches empty text."""
     out: list[tuple[str, str, str, int]] = []
     for label, keyword, name, versions, spdx in FAMILIES:
-        own = keyword if spdx in keyword else None
+        own = spdx in keyword or keyword in LONG
         for v in versions:
             out.append((f"{label}-{_plain(v)}", keyword, f"{_GRANTS}{name}(?: licen[cs]e)?(?: version)? {v}(?: or later)?", GRANT))
             out.append((f"{label}-{_plain(v)}", keyword, f"{name}(?: licen[cs]e)?(?: version)? {v}", VERSIONED))

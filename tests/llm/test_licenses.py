@@ -1,5 +1,6 @@
 import random
 import re
+from unittest import mock
 
 from panelspark.llm import licenses
 from pyspark.sql import functions as F
@@ -102,3 +103,26 @@ def test_prefilter_finds_each_rule_alone(spark):
     got = licenses.scan(spark.createDataFrame(list(enumerate(ALONE)), "doc_id long, text string"), "text").collect()
     assert {r.doc_id: r.labels for r in got} == {0: "copyright", 1: "apache-2.0", 2: "mit", 3: "bsd-3-clause", 4: "mpl-2.0", 5: "ofl-1.1"}
     assert all(r.labels == brute(ALONE[r.doc_id])[5] for r in got)
+
+
+def every_rule(text):
+    """Brute force without the gate of keywords, but for the Apache notice, which hangs on a word outside it."""
+    first = (WORD.findall(lower(text)) or [""])[0]
+    free = [(n, label, k if expr.startswith("you may not use") else first, expr, *rest) for n, label, k, expr, *rest in licenses.rules()]
+    with mock.patch.object(licenses, "rules", lambda: free):
+        return brute(text)
+
+
+LONG_NAMES = {
+    "GNU Library General Public License version 2": "gpl,lgpl-2.0", "Common Development and Distribution License 1.0": "cddl-1.0", "European Union Public Licence 1.2": "eupl-1.2",
+    "do what the fuck you want to public": "wtfpl", "Creative Commons Zero": "cc0", "you may not use this file except in compliance with the license": "", "Apache: you may not use this file except in compliance with the License": "apache",
+}
+
+
+def test_every_alternative_matches_by_itself(spark):
+    texts = [*LONG_NAMES, *dict.fromkeys(t for *_, expr, _, _ in licenses.rules() for t in forms(expr))]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text").collect()}
+    assert [got[k].labels for k in range(len(LONG_NAMES))] == list(LONG_NAMES.values())
+    for k, t in enumerate(texts):
+        want = every_rule(t)
+        assert (got[k].labels, got[k].score, [tuple(d) for d in got[k].detections or []]) == want[5:], t
