@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 _LANCZOS = (76.18009172947146, -86.50532032941677, 24.01409824083091, -1.231739572450155, 0.001208650973866179, -0.000005395239384953)
@@ -71,23 +73,31 @@ def association(df: DataFrame, by: list[str], group: str, flag: str, least: int
     return out.withColumns({"chi2": F.when(able, F.col("chi2")), "p_value": F.when(able, chi2_tail(F.col("chi2"), F.col("df"))), "cramers_v": F.when(able, F.sqrt(F.col("chi2") / F.col("n")))})
 
 
+def _by_value(df: DataFrame, by: list[str], p: str, name: str, adjusted: Callable[[WindowSpec], Column]) -> DataFrame:
+    """Adds ``name``: ``adjusted`` of each family's distinct p-values, with counts ``__n`` of a value, ``__below`` it and ``__m`` in all.
+
+    Windows run over distinct values, so tied rows never gather in a family's task; rows take their value by a join.
+    """
+    keys = {c: f"__by{k}" for k, c in enumerate(by)}
+    values = df.filter(F.col(p).isNotNull()).groupBy(*(F.col(c).alias(k) for c, k in keys.items()), F.col(p).alias("__p")).agg(F.count("*").alias("__n"))
+    family = Window.partitionBy(*keys.values())
+    below = F.coalesce(F.sum("__n").over(family.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    values = values.withColumns({"__m": F.sum("__n").over(family), "__below": below})
+    values = values.select(*keys.values(), "__p", adjusted(family).alias(name))
+    rows = df.drop(name)
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()), F.col(p) == F.col("__p"))
+    return rows.join(values, same, "left").select(*rows.columns, name)
+
+
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str = "p_value", name: str = "q_value") -> DataFrame:
     """Adjusted p-values within groups; null ones stay null and don't count. Groups are families of tests."""
-    tested = F.col(p).isNotNull()
-    m = F.sum(tested.cast("int")).over(Window.partitionBy(*by))
-    rank = F.sum(tested.cast("int")).over(Window.partitionBy(*by).orderBy(F.asc_nulls_last(p)))  # ties share the last rank
-    raw = df.withColumns({"__m": m, "__r": rank}).withColumn("__q", F.when(tested, F.col(p) * F.col("__m") / F.col("__r")))
-    down = Window.partitionBy(*by).orderBy(F.desc_nulls_first(p))
-    return raw.withColumn(name, F.when(tested, F.least(F.min("__q").over(down), F.lit(1.0)))).drop("__m", "__r", "__q")
+    q = F.col("__p") * F.col("__m") / (F.col("__below") + F.col("__n"))  # ties share the last rank
+    return _by_value(df, by, p, name, lambda family: F.least(F.min(q).over(family.orderBy(F.desc("__p"))), F.lit(1.0)))
 
 
 def holm(df: DataFrame, by: list[str], p: str = "p_value", name: str = "p_holm") -> DataFrame:
-    tested = F.col(p).isNotNull()
-    m = F.sum(tested.cast("int")).over(Window.partitionBy(*by))
-    k = F.row_number().over(Window.partitionBy(*by).orderBy(F.asc_nulls_last(p)))
-    raw = df.withColumns({"__m": m, "__k": k}).withColumn("__q", F.when(tested, F.col(p) * (F.col("__m") - F.col("__k") + 1)))
-    up = Window.partitionBy(*by).orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
-    return raw.withColumn(name, F.when(tested, F.least(F.max("__q").over(up), F.lit(1.0)))).drop("__m", "__k", "__q")
+    q = F.col("__p") * (F.col("__m") - F.col("__below"))  # ties share the first rank, as its value is the largest of theirs
+    return _by_value(df, by, p, name, lambda family: F.least(F.max(q).over(family.orderBy("__p")), F.lit(1.0)))
 
 
 def clustered_difference(df: DataFrame, flag: str, y: str, cluster: str) -> DataFrame:

@@ -135,3 +135,24 @@ def test_benjamini_hochberg(spark):
 def test_changed_entities(spark):
     df = spark.createDataFrame([(1, 1, 3), (1, 2, 3), (1, 3, 4), (2, 1, 2), (2, 2, 2), (3, 1, 5)], "e long, d int, label int")
     assert {r.e for r in windows.changed_entities(df, "e", "d", "label").collect()} == {1, 3}
+
+
+@pytest.mark.parametrize("name", ["bh_adjust", "holm_adjust"])
+def test_adjusting_a_whole_table(spark, name):
+    """Over all of part, though the registered queries take a subset; windows see distinct values only."""
+    import duckdb
+    from panelspark.queries import testing
+
+    k, d = F.col("p_partkey"), "/root/testdata/sf0.01/part.parquet"
+    rows = spark.read.parquet(d).select((F.col("p_size") % 3).alias("family"), "p_partkey", F.when(k % 17 != 0, (k % 50 + 1) / 100).alias("p_value"))
+    sql = testing.ORACLE_SQL[name].replace("FROM part WHERE p_partkey <= 300", f"FROM '{d}'")
+    if name == "bh_adjust":
+        got, value, keys = statistics.benjamini_hochberg(rows, ["family"]), "q_value", ["family", "p_partkey", "p_value"]
+    else:
+        got, value, keys = statistics.holm(rows, ["family"]), "p_holm", ["family", "p_value"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and plan.rindex("Window [") < plan.rindex("Aggregate")
+    assert got.columns == ["family", "p_partkey", "p_value", value] and got.count() == rows.count() == 2000
+    got = got.filter("p_value is not null").select(*keys, value).distinct() if name == "holm_adjust" else got
+    show = lambda rs: sorted(tuple("" if v is None else f"{v:.6f}" for v in r) for r in rs)
+    assert show(got.select(*keys, value).collect()) == show(duckdb.sql(f"SELECT {', '.join(keys)}, {value} FROM ({sql})").fetchall())
