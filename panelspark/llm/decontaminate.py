@@ -84,7 +84,7 @@ def tables(items: Iterable[tuple[int, str]]) -> list[WuManber]:
 
 
 def occurrences(searches: list[WuManber], words: list[bytes]) -> tuple[list[tuple[int, int]], list[int]]:
-    """Merged intervals [start, end) of hit words, and the numbers of the items found."""
+    """Merged intervals [start, end) of hit words, and the numbers of the items found, but None."""
     spans, found = [], set()
     for search in searches:
         for start, items in search.search(words):
@@ -95,7 +95,7 @@ def occurrences(searches: list[WuManber], words: list[bytes]) -> tuple[list[tupl
                 spans.append((start, start + search.length))
     if len(searches) > 1:
         spans = merge(spans)
-    return spans, sorted(found)
+    return spans, sorted(found - {None})
 
 
 def merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -154,7 +154,7 @@ def contamination(docs: DataFrame, text: str, items: DataFrame, item_id: str, it
                     if before:
                         spans = merge([*spans, *((s["start"], s["end"]) for s in before[i]["spans"])])
                         found = sorted({*found, *before[i]["items"]})
-                    rows.append({"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in spans], "items": [x for x in found if x is not None]})
+                    rows.append({"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in spans], "items": found})
                 yield pa.array(rows, kind)
 
         if k == 0:

@@ -41,3 +41,8 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [(r.n_words, r.contaminated) for r in d.contamination(docs, "text", none, "item_id", "text").collect()] == [(2, False)]
     assert d.contamination(docs.limit(0), "text", none, "item_id", "text").collect() == []
+
+
+def test_null_item_beside_another():
+    items = [("7", "a b"), (None, "zz yy"), ("10", "yy a")]
+    assert d.occurrences(d.tables(items), d.words_of("zz yy a b")) == ([(0, 4)], ["10", "7"])
