@@ -1,8 +1,9 @@
 """License scans: ordered signature rules over words.
 
-A text is reduced to its words, lower-cased (A-Z) and parted by single spaces. A prefilter of
-keywords decides whether a text is looked at any further; of the rules, only those whose own
-keyword occurs are run. Each rule is a regular expression over words with a label, a confidence and
+A text is reduced to its words, lower-cased (A-Z) and parted by single spaces. Every rule has a
+keyword, a word without which it can't match; the keywords among a text's words decide whether the
+text is looked at any further, and which rules are. All rules of a keyword are first tried as one
+expression, and only where that matches one by one. Each rule is a regular expression over words with a label, a confidence and
 a tier of priority. A detection that lies inside another of the same or a higher tier is
 suppressed. Three base phrases are reported wherever they stand and are never suppressed.
 
@@ -12,140 +13,63 @@ is shuffled are detections.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, license_rules
+from .license_rules import CONFIDENCE
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 BASE_KEYWORDS = {"cc by": "cc", "general public license": "general", "all rights reserved": "reserved"}
 
-#: Tiers of priority, and the confidence of a rule in each.
-SPDX, TEXT, GRANT, VERSIONED, NAMED, SHORT = 6, 5, 4, 3, 2, 1
-CONFIDENCE = {SPDX: 1.0, TEXT: 0.98, GRANT: 0.95, VERSIONED: 0.9, NAMED: 0.75, SHORT: 0.5}
-
-#: (label, keyword, name over words, versions, words of the SPDX identifier without version). The keyword
-#: stands in every form of the name.
-FAMILIES = [
-    ("apache", "apache", "apache(?: software)?", ["1 0", "1 1", "2 0"], "apache"),
-    ("mit", "mit", "mit(?: x11)?", [], "mit"),
-    ("bsd", "bsd", "(?:(?:new|modified|simplified|revised|original) )?bsd", ["2 clause", "3 clause", "4 clause"], "bsd"),
-    ("gpl", "general", "(?:gnu )?general public", ["1(?: 0)?", "2(?: 0)?", "3(?: 0)?"], "gpl"),
-    ("gpl", "gpl", "(?:gnu )?gpl", ["v?1(?: 0)?", "v?2(?: 0)?", "v?3(?: 0)?"], "gpl"),
-    ("lgpl", "lesser", "(?:gnu )?lesser general public", ["2(?: 0)?", "2 1", "3(?: 0)?"], "lgpl"),
-    ("lgpl", "library", "(?:gnu )?library general public", ["2(?: 0)?", "2 1", "3(?: 0)?"], "lgpl"),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl", ["v?2(?: 0)?", "v?2 1", "v?3(?: 0)?"], "lgpl"),
-    ("agpl", "affero", "(?:gnu )?affero general public", ["1(?: 0)?", "3(?: 0)?"], "agpl"),
-    ("agpl", "agpl", "(?:gnu )?agpl", ["v?1(?: 0)?", "v?3(?: 0)?"], "agpl"),
-    ("gfdl", "documentation", "(?:gnu )?free documentation", ["1 1", "1 2", "1 3"], "gfdl"),
-    ("mpl", "mozilla", "mozilla public", ["1 0", "1 1", "2 0"], "mpl"),
-    ("mpl", "mpl", "mpl", ["1 0", "1 1", "2 0"], "mpl"),
-    ("epl", "eclipse", "eclipse public", ["1 0", "2 0"], "epl"),
-    ("cddl", "distribution", "common development and distribution", ["1 0", "1 1"], "cddl"),
-    ("cddl", "cddl", "cddl", ["1 0", "1 1"], "cddl"),
-    ("eupl", "european", "european union public", ["1 0", "1 1", "1 2"], "eupl"),
-    ("eupl", "eupl", "eupl", ["1 0", "1 1", "1 2"], "eupl"),
-    ("isc", "isc", "isc", [], "isc"),
-    ("zlib", "zlib", "zlib(?: libpng)?", [], "zlib"),
-    ("boost", "boost", "boost(?: software)?", ["1 0"], "bsl"),
-    ("artistic", "artistic", "(?:perl )?artistic", ["1 0", "2 0"], "artistic"),
-    ("unlicense", "unlicense", "unlicense", [], "unlicense"),
-    ("wtfpl", "fuck", "do what the fuck you want to public", ["2(?: 0)?"], "wtfpl"),
-    ("wtfpl", "wtfpl", "wtfpl", ["2(?: 0)?"], "wtfpl"),
-    ("ofl", "sil", "sil open font", ["1 0", "1 1"], "ofl"),
-    ("odbl", "database", "open(?: data commons)? (?:open )?database", ["1 0"], "odbl"),
-    ("postgresql", "postgresql", "postgresql", [], "postgresql"),
-    ("python", "python", "python(?: software foundation)?", ["2(?: 0)?"], "psf"),
-    ("openssl", "openssl", "openssl", [], "openssl"),
-    ("upl", "universal", "universal permissive", ["1 0"], "upl"),
-    ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)?", [], "ncsa"),
-    ("vim", "vim", "vim", [], "vim"),
-    ("cc0", "zero", "creative commons zero", ["1 0"], "cc0"),
-    ("cc0", "cc0", "cc0", ["1 0"], "cc0"),
-]
-#: Keywords of names that are reported without a version or the word license, though they aren't the SPDX identifier.
-LONG = ("distribution", "european", "fuck", "zero")
-#: Parts of Creative Commons licenses; with five versions each they make the versioned rules.
-CC = {"by": "attribution", "by sa": "attribution share ?alike", "by nc": "attribution non ?commercial", "by nd": "attribution no ?deriv(?:ative)?s(?: works)?", "by nc sa": "attribution non ?commercial share ?alike", "by nc nd": "attribution non ?commercial no ?deriv(?:ative)?s(?: works)?"}
-CC_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
-#: Sentences of license texts: (label, keyword, words). The sentence of the Apache notice stands in notices of
-#: MPL 1.1 and CDDL too, so its keyword is no part of it but a word that must stand somewhere in the text.
-SENTENCES = [
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", "substantial", "the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd", "endorse", "may be used to endorse or promote products derived from this software"),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it"),
-    ("gpl", "copyleft", "the gnu general public license is a free copyleft license"),
-    ("lgpl", "redistribute", "this library is free software you can redistribute it and or modify it"),
-    ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license"),
-    ("apache", "apache", "you may not use this file except in compliance with the license"),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("zlib", "altered", "altered source versions must be plainly marked as such"),
-    ("public-domain", "domain", "(?:is|are|dedicated to|released into|placed in(?:to)?|in) the public domain"),
-    ("proprietary", "confidential", "proprietary and confidential"),
-    ("proprietary", "prohibited", "unauthorized (?:copying|reproduction|use)(?: or distribution)?(?: of this \\w+)? is(?: strictly)? prohibited"),
-    ("warranty", "warranty", "(?:without|no) warranty of any kind"),
-    ("warranty", "warranties", "without warranties or conditions of any kind"),
-]
-_GRANTS = "(?:licen[cs]ed|released|distributed|available|published|provided|covered) (?:under|by)(?: the)?(?: terms of)?(?: the)?(?: gnu)? "
-
 
 def rules() -> list[tuple[int, str, str, str, int, float]]:
     """(number, label, keyword, expression, tier, confidence), in order. No rule matches empty text."""
-    out: list[tuple[str, str, str, int]] = []
-    for label, keyword, name, versions, spdx in FAMILIES:
-        own = spdx in keyword or keyword in LONG
-        for v in versions:
-            out.append((f"{label}-{_plain(v)}", keyword, f"{_GRANTS}{name}(?: licen[cs]e)?(?: version)? {v}(?: or later)?", GRANT))
-            out.append((f"{label}-{_plain(v)}", keyword, f"{name}(?: licen[cs]e)?(?: version)? {v}", VERSIONED))
-            out.append((f"{label}-{_plain(v)}", "spdx", f"spdx licen[cs]e identifier {spdx} {v}(?: only| or later)?", SPDX))
-        out.append((label, "spdx", f"spdx licen[cs]e identifier {spdx}", SPDX))
-        out.append((label, keyword, f"{_GRANTS}{name}(?: licen[cs]e)?", GRANT))
-        out.append((label, keyword, f"{name} licen[cs]e", NAMED))
-        if own and label not in ("mit", "vim", "python", "isc"):  # common words otherwise
-            out.append((label, keyword, f"{name}", SHORT))
-    for part, long_name in CC.items():
-        label = "cc-" + part.replace(" ", "-")
-        for v in CC_VERSIONS:
-            out.append((f"{label}-{_plain(v)}", "cc", f"(?:{_GRANTS}(?:an? )?)?cc {part} {v}", VERSIONED))
-            out.append((f"{label}-{_plain(v)}", "creative", f"(?:{_GRANTS}(?:an? )?)?creative commons {long_name}(?: licen[cs]e)?(?: version)? {v}", VERSIONED))
-            out.append((f"{label}-{_plain(v)}", "spdx", f"spdx licen[cs]e identifier cc {part} {v}", SPDX))
-        out.append((label, "cc", f"cc {part}", NAMED))
-        out.append((label, "creative", f"creative commons {long_name}", NAMED))
-        out.append((label, "creativecommons", f"creativecommons org licenses {part}", NAMED))
-    out += [(label, keyword, words, TEXT) for label, keyword, words in SENTENCES]
-    out += [("cc", "creative", "creative commons(?: licen[cs]e)?", SHORT), ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9][0-9]", SHORT)]
-    out += [("licensed", k, f"{k} under", SHORT) for k in ("licensed", "licenced")]
-    return [(k, label, keyword, expr, tier, CONFIDENCE[tier]) for k, (label, keyword, expr, tier) in enumerate(out)]
-
-
-def _prefilter() -> str:
-    """An expression that finds a keyword of a rule or base phrase as a word; keywords are grouped by first letter."""
-    rests: dict[str, list[str]] = {}
-    for k in sorted({*BASE_KEYWORDS.values(), *(r[2] for r in rules())}):
-        rests.setdefault(k[0], []).append(k[1:])
-    edge = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    return f"(?i)(?:^|{edge})(?:{'|'.join(f'{c}(?:{"|".join(r)})' for c, r in rests.items())})(?:$|{edge})"
-
-
-def _plain(version: str) -> str:
-    """The version in a label: its first form, with dots."""
-    first = version.replace("(?: 0)?", " 0").replace("v?", "")
-    return first.replace(" ", ".").replace(".clause", "-clause")
-
-
-#: A text without it holds no keyword, so no rule or base phrase is tried on it.
-PREFILTER = _prefilter()
+    return [(k, label, keyword, expr, tier, CONFIDENCE[tier]) for k, (label, tier, keyword, expr) in enumerate(license_rules.RULES)]
+
+
+def _by_keyword() -> dict[str, list[tuple]]:
+    """What is tried where a keyword occurs: (rule, label, expr, tier, confidence); base phrases have tier 0 and negative numbers."""
+    out: dict[str, list[tuple]] = {}
+    for k, (phrase, label) in enumerate(BASE.items()):
+        out.setdefault(BASE_KEYWORDS[phrase], []).append((-1 - k, label, phrase, 0, 1.0))
+    for number, label, keyword, expr, tier, conf in rules():
+        out.setdefault(keyword, []).append((number, label, expr, tier, conf))
+    return out
+
+
+def between_words(expr: str) -> str:
+    return f"(?<= )(?:{expr})(?= )"
 
 
 def _table(spark: SparkSession) -> DataFrame:
-    """Rules by keyword; base phrases have tier 0 and no label of a rule. Its size is that of the rule list."""
-    rows = [(keyword, number, label, expr, tier, conf) for number, label, keyword, expr, tier, conf in rules()]
-    rows += [(BASE_KEYWORDS[phrase], -1 - k, label, phrase, 0, 1.0) for k, (phrase, label) in enumerate(BASE.items())]
-    return common.literal_rows(spark, rows, ["keyword", "rule", "label", "expr", "tier", "confidence"])
+    """The rules by keyword, as one literal; as large as the list of rules is."""
+    rows = [{"keyword": k, "rule": n, "label": label, "expr": between_words(expr), "tier": tier, "confidence": conf} for k, tried in _by_keyword().items() for n, label, expr, tier, conf in tried]
+    kind = "array<struct<keyword: string, rule: int, label: string, expr: string, tier: int, confidence: double>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
+
+
+def lower_ascii(text: Column) -> Column:
+    """A-Z lower-cased and nothing else; texts of ASCII alone take the quicker way to the same."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def keywords_in(words: Column) -> Column:
+    """The gate: keywords among the words of a text. Without its keyword no rule or base phrase can match."""
+    return F.array_intersect(words, F.array(*map(F.lit, sorted(_by_keyword()))))
+
+
+def hits(words: Column, keywords: Column) -> Column:
+    """Of a text's keywords, those with a rule that matches: one literal expression for each keyword."""
+    tests = []
+    for k, tried in sorted(_by_keyword().items()):
+        any_rule = between_words("|".join(f"(?:{expr})" for _, _, expr, _, _ in tried))
+        tests.append(F.when(F.array_contains(keywords, k) & words.rlike(any_rule), F.lit(k)))
+    return F.array_compact(F.array(*tests))
 
 
 def places(words: Column, expr: Column) -> Column:
@@ -164,22 +88,17 @@ def scan(docs: DataFrame, text: str) -> DataFrame:
     ``score``: the largest confidence among them and the base phrases, 0 without any. A null text has no words.
     All columns of ``docs`` but ``text`` are kept, and repeated rows stay; columns of the new names are replaced.
     """
-    spark = docs.sparkSession
-    rid = common.free_name(docs, "__row")
+    rid, kept, gate = (common.free_name(docs, x) for x in ("__row", "__words", "__keywords"))
     t = common.text_or_empty(text)
     plain = F.trim(F.regexp_replace(t, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
-    n_words = F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
-    lower = F.translate(plain, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    seen = docs.withColumns({"n_words": n_words.cast("long"), rid: F.monotonically_increasing_id(), "__words": F.when(t.rlike(PREFILTER), F.concat(F.lit(" "), lower, F.lit(" ")))})
+    seen = docs.withColumn(kept, lower_ascii(plain)).withColumn(gate, F.split(kept, " "))
+    seen = seen.withColumns({"n_words": F.when(F.col(kept) == "", 0).otherwise(F.size(gate)).cast("long"), gate: keywords_in(F.col(gate)), rid: F.monotonically_increasing_id()})
+    seen = seen.withColumn(kept, F.when(F.size(gate) > 0, F.concat(F.lit(" "), F.col(kept), F.lit(" "))))
     seen, _ = common.written(seen if text == "n_words" else seen.drop(text), "license-texts")  # one pass over the texts; few keep their words
-    table = _table(spark)
-    keywords = sorted({*BASE_KEYWORDS.values(), *(r[2] for r in rules())})
-    some = seen.filter("__words IS NOT NULL").select(rid, "__words")
-    has = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("__words"), F.concat(F.lit(" "), k, F.lit(" "))))
-    tried = some.select("*", F.explode(has).alias("keyword")).join(F.broadcast(table), "keyword")
-    tried = tried.withColumn("expr", F.concat(F.lit("(?<= )(?:"), F.col("expr"), F.lit(")(?= )")))
-    tried = tried.filter(F.expr("__words rlike expr"))
-    found = tried.select(rid, "rule", "label", "tier", "confidence", F.explode(places(F.col("__words"), F.col("expr"))).alias("p")).select("*", "p.start", "p.end")
+    some = seen.filter(F.col(kept).isNotNull()).select(rid, F.col(kept).alias("words"), hits(F.col(kept), F.col(gate)).alias("hit"))
+    tried = some.select(rid, "words", F.explode("hit").alias("keyword")).join(F.broadcast(_table(docs.sparkSession)), "keyword")
+    tried = tried.filter(F.expr("words rlike expr"))
+    found = tried.select(rid, "rule", "label", "tier", "confidence", F.explode(places(F.col("words"), F.col("expr"))).alias("p")).select("*", "p.start", "p.end")
     before = Window.partitionBy(rid).orderBy("start", F.desc("end"), F.desc("tier"), "rule").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.lit(False)
     for tier in sorted(CONFIDENCE):  # the furthest end so far among detections of this tier or above
@@ -195,7 +114,7 @@ def scan(docs: DataFrame, text: str) -> DataFrame:
         F.max("confidence").alias("score"),
         F.array_sort(F.collect_list(F.when(~base, F.struct("start", "end", "label", "tier", "confidence")))).alias("detections"),
     )
-    plain_docs = seen.drop("__words", *[c for c in docs.columns if c in summed.columns and c != rid])
+    plain_docs = seen.drop(kept, gate, *[c for c in docs.columns if c in summed.columns and c != rid])
     every = plain_docs.join(summed, rid, "left").drop(rid)
     return every.fillna({"n_base": 0, "base_labels": "", "labels": "", "score": 0.0})
 
