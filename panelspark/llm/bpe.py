@@ -13,7 +13,6 @@ worked out for a piece is remembered in a memo of bounded size; this changes no
 from __future__ import annotations
 
 import functools
-import itertools
 import json
 import unicodedata
 from array import array
@@ -101,7 +100,8 @@ class PrefixBPE:
         self.pairs: dict[int, bool] = {}
         self.split = regex.compile(SPLIT)
         self.pieces = regex.compile(r"\s*\S+|\s+")
-        self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.space = regex.compile(r"\s+")
+        self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.library_split = None
         self.source = source
 
@@ -145,6 +145,28 @@ class PrefixBPE:
                 last[end], count[end] = token, count[rest] + 1
         return last, count
 
+    def reach(self, piece: str) -> list[int]:
+        """The tokens of each prefix of a piece, byte by byte, as a text that ends there has them.
+
+        A text that ends sooner has other pre-tokens in two places. A run of white space is one pre-token where
+        the text ends behind it, but leaves its last character to what follows where something does. A contraction of
+        three characters is one only when whole. A prefix that ends inside a character counts that pre-token's bytes.
+        """
+        out: list[int] = []
+        before, run, before_run = 0, None, 0
+        for word in self.words(piece):
+            raw = word.encode()
+            own = self.prefixes(raw)[1]
+            counts = [before + c for c in own]
+            if word in ("'re", "'ve", "'ll"):
+                counts[1] = before + own[0] + self.prefixes(raw[1:2])[1][0]
+            if run is not None and self.space.fullmatch(word[0]):
+                counts[len(word[0].encode()) - 1] = before_run + self.prefixes((run + word[0]).encode())[1][-1]
+            out += counts
+            run, before_run = (word, before) if self.space.fullmatch(word) else (None, 0)
+            before += own[-1]
+        return out
+
     def encode_word(self, word: bytes) -> list[int]:
         last, _ = self.prefixes(word)
         out, at = [], len(word) - 1
@@ -206,14 +228,14 @@ class PieceMap:
             at = m.end()
         return out + (self._plain(text[at:]) if at < len(text) else [])
 
-    def pieces(self, text: str) -> Iterator[str]:
-        """The pieces that ``values`` took, in order; for the few places where one is cut."""
+    def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
+        """The pieces that ``values`` took, in order, and whether each is a special token; for the few places where one is cut."""
         at = 0
         for m in self.bpe.specials.finditer(text) if self.bpe.specials else ():
-            yield from self.bpe.pieces.findall(text[at : m.start()])
-            yield m[0]
+            yield from ((p, False) for p in self.bpe.pieces.findall(text[at : m.start()]))
+            yield m[0], True
             at = m.end()
-        yield from self.bpe.pieces.findall(text[at:])
+        yield from ((p, False) for p in self.bpe.pieces.findall(text[at:]))
 
 
 @functools.lru_cache(2)
@@ -240,31 +262,57 @@ def vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def _inside(counts: PieceMap, piece: str, special: bool, before: int, last: tuple[str, int] | None) -> list[int]:
+    """The tokens of the prefixes that end in a piece, byte by byte; ``before``: those of all pieces before it.
+
+    The string of a special token is plain text until it is whole, and joins ``last``, the piece right before it (with
+    the tokens before that).
+    """
+    if not special:
+        return [before + c for c in counts.bpe.reach(piece)]
+    text, base = last or ("", before)
+    out: list[int] = []
+    for k, c in enumerate(piece[:-1], 1):
+        out += [base + sum(counts.values(text + piece[:k]))] * len(c.encode())
+    return out + [before + 1] * len(piece[-1].encode())
+
+
+def _each_prefix(counts: PieceMap, text: str) -> Iterator[int]:
+    before, last = 0, None
+    for piece, special in counts.pieces(text):
+        yield from _inside(counts, piece, special, before, last)
+        last = None if special else (piece, before)
+        before += 1 if special else counts.outer[piece]
+
+
 def cut_at(counts: PieceMap, text: str, budget: int) -> int:
-    """UTF-8 bytes of the longest prefix of ``text`` that takes ``budget`` tokens at most."""
-    done = used = 0
-    for piece in counts.pieces(text):
-        n = 1 if piece in counts.bpe.special else counts.outer[piece]
-        if used + n > budget:
-            if piece in counts.bpe.special:
-                return done
-            for word in counts.bpe.words(piece):
-                raw = word.encode()
-                reach = counts.bpe.prefixes(raw)[1]
-                if used + reach[-1] > budget:
-                    return done + max((k + 1 for k, c in enumerate(reach) if used + c <= budget), default=0)
-                done, used = done + len(raw), used + reach[-1]
-        done, used = done + len(piece.encode()), used + n
-    return done
+    """UTF-8 bytes of the longest prefix of ``text``, in whole characters, that takes ``budget`` tokens at most.
+
+    A longer prefix may take fewer tokens than a shorter one, but never fewer than the pieces before the last two.
+    """
+    best = at = used = earlier = 0
+    last = None
+    for piece, special in counts.pieces(text):
+        if earlier > budget:
+            break
+        raw, n = piece.encode(), 1 if special else counts.outer[piece]
+        if used + n <= budget:
+            best = at + len(raw)
+        else:
+            fits = [k for k, c in enumerate(_inside(counts, piece, special, used, last), 1) if c <= budget and (k == len(raw) or raw[k] & 0xC0 != 0x80)]
+            best = max([best, *(at + k for k in fits)])
+        last = None if special else (piece, used)
+        earlier, used, at = used, used + n, at + len(raw)
+    return best
 
 
 def count_tokens(docs: DataFrame, text: str, path: str, budgets: tuple[int, ...] = (512,), prefixes: bool = False) -> DataFrame:
     """Exact token counts of whole texts and of their prefixes.
 
     Adds ``n_bytes``, ``n_tokens``, ``cut_bytes`` (for each budget, the UTF-8 bytes of the longest prefix
-    whose tokens stay within it) and, with ``prefixes``, ``prefix_tokens``: the tokens of each prefix, byte
-    by byte, which answers any further budget without encoding again. A prefix that ends inside a
-    pre-token counts that pre-token's own prefix. A null text counts as empty: 0, 0, zeros, no prefixes.
+    of whole characters whose tokens stay within it) and, with ``prefixes``, ``prefix_tokens``: the tokens of
+    each prefix, byte by byte, which answers any further budget without encoding again. Where a character ends,
+    this is what the library counts for a text that ends there. A null text counts as empty: 0, 0, zeros, no prefixes.
     Columns of the same names are replaced; repeated rows stay; a text of any length is taken whole.
     """
     source = vocabulary(docs.sparkSession, path)
@@ -288,18 +336,6 @@ def count_tokens(docs: DataFrame, text: str, path: str, budgets: tuple[int, ...]
     return docs.withColumn(got, udf(F.col(text))).withColumns({c: F.col(f"`{got}`.{c}") for c in new}).drop(got)
 
 
-def _each_prefix(counts: PieceMap, text: str) -> Iterator[int]:
-    before = 0
-    for piece in counts.pieces(text):
-        if piece in counts.bpe.special:
-            yield from itertools.repeat(before := before + 1, len(piece.encode()))
-            continue
-        for word in counts.bpe.words(piece):
-            reach = counts.bpe.prefixes(word.encode())[1]
-            yield from (before + c for c in reach)
-            before += reach[-1]
-
-
 def encode_decode(docs: DataFrame, text: str, path: str) -> DataFrame:
     """Token ids of whole texts, and the text that these ids decode to.
 

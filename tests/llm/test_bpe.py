@@ -39,6 +39,25 @@ def test_memo_forgets_but_stays_right():
     assert [memo[k % 7] for k in range(50)] == [k % 7 * 2 for k in range(50)] and len(memo) <= 3
 
 
+def prefix_counts(library, text):
+    """Brute force: the library's tokens of each prefix, by its bytes."""
+    ends = range(1, len(text) + 1) if len(text) <= 500 else [*range(1, 80), len(text) // 2, len(text)]
+    return {len(text[:n].encode()): len(library.encode(text[:n], add_special_tokens=False).ids) for n in ends}
+
+
+SPACED = ["\n", "\n\n", " ", "   ", "\t", "\r\n", "\u3000", "\xa0", "the", "é", "'re", "'ll", "'ve", "'", "s", "!!", "22", "<|endoftext|>", "<|end", "  \n\n\n\n", "theé's22!\n\n", "<|endoftext|> hi", "漢", "\x1c"]
+
+
+def test_prefixes_and_cuts_equal_the_library():
+    library, counts = Tokenizer.from_file(PATH), bpe._count_map(open(PATH, encoding="utf-8").read())
+    rnd = random.Random(11)
+    for t in [*SPACED, *texts(400, 5), *("".join(rnd.choice(SPACED) for _ in range(rnd.randrange(0, 12))) for _ in range(3000))]:
+        want, got = prefix_counts(library, t), list(bpe._each_prefix(counts, t))
+        assert len(got) == len(t.encode()) and {k: got[k - 1] for k in want} == want, t
+        for budget in (0, 1, 2, 4, 9):
+            assert bpe.cut_at(counts, t, budget) == max((k for k, n in want.items() if n <= budget), default=0), (t, budget)
+
+
 def test_counts_prefixes_and_cuts(spark):
     rows = [(k, t) for k, t in enumerate(texts(150, 2))] + [(900, None), (901, ""), (902, "word " * 5000), (902, "word " * 5000), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
@@ -50,7 +69,9 @@ def test_counts_prefixes_and_cuts(spark):
         t = by[r.doc_id] or ""
         assert (r.n_bytes, r.n_tokens) == (len(t.encode()), len(library.encode(t, add_special_tokens=False).ids))
         assert len(r.prefix_tokens) == r.n_bytes and (not t or r.prefix_tokens[-1] == r.n_tokens)
-        assert r.cut_bytes == [max((k + 1 for k, n in enumerate(r.prefix_tokens) if n <= b), default=0) for b in (0, 3, 8)]
+        each = prefix_counts(library, t)
+        assert {k: r.prefix_tokens[k - 1] for k in each} == each
+        assert len(t) > 500 or r.cut_bytes == [max((k for k, n in each.items() if n <= b), default=0) for b in (0, 3, 8)]
 
 
 def test_encode_decode(spark):
