@@ -10,7 +10,8 @@ rejection above the risk, so few would be unlikely. Testing stops at the first c
 the number of strata and rules (Bonferroni). Of the certified cutoffs, the one that rejects the most
 bad less good documents is taken, the most lenient of equals; without any gain the rule rests.
 
-DataFrame functions only; texts are read once, and the table of cutoffs has a fixed bound.
+DataFrame functions only; texts are read once. The table of cutoffs has a row for each stratum with enough labelled
+documents for a cutoff, some hundreds at least.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from . import common
 SPACE = r"[\x20\x09-\x0D]+"
 #: Largest rate of false rejection of one rule in one stratum, and the chance that any of these claims is wrong.
 RISK, LEVEL = 0.01, 0.05
-#: Strata with most labelled documents that get cutoffs of their own; all others are one stratum together.
-STRATA = 200
+#: Strata with cutoffs up to which their table is broadcast; beyond, it is joined by a shuffle, with the same result.
+STRATA = 10_000
 RATIOS = [k / 50 for k in range(1, 50)]
 #: Rules: measure and cutoffs, strictest first.
 RULES = {
@@ -118,34 +119,31 @@ def _stratum(stratum: str | None) -> Column:
     return F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")
 
 
-def _named(df: DataFrame, own: DataFrame) -> DataFrame:
-    """``raw`` becomes ``stratum`` where it is one of its own (STRATA at most), and the rest otherwise."""
-    return df.join(F.broadcast(own.withColumn("stratum", F.col("raw"))), "raw", "left").withColumn("stratum", F.coalesce("stratum", F.lit("")))
+def fit(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str | None = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """The cutoffs of each stratum (stratum, cut: map of rule to cutoff), from all labelled rows of ``measured``; written.
 
+    ``labels``: columns ``doc_id`` and "quality"; of several labels of a document the least counts, and null ids
+    or labels and labels of other documents are passed over. Null and empty strata are one. A stratum without enough
+    labelled documents has no cutoffs. ``measured`` is read twice: give a written table.
+    """
+    marks = labels.select(F.col(doc_id).alias("id"), F.col("quality").alias("quality")).filter("id IS NOT NULL AND quality IS NOT NULL").groupBy("id").agg(F.min("quality").alias("quality"))
+    known = measured.select(F.col(doc_id).alias("id"), _stratum(stratum).alias("stratum"), "base_failed", *RULES).join(marks, "id")
+    table = cutoffs(known.withColumn("good", F.col("quality") > 0), risk, level)
+    return common.written(table.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut")), "cutoffs")[0]
 
-def fit(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str | None = "lang", risk: float = RISK, level: float = LEVEL) -> tuple[DataFrame, DataFrame]:
-    """The strata of their own and the cutoffs by stratum, from all labelled rows of ``measured``. Both are written and bounded by STRATA.
 
-    ``labels``: columns ``doc_id`` and "quality"; of several labels of a document the least counts, and null ids
-    or labels and labels of other documents are passed over. A null stratum joins the rest. ``measured`` is read
-    several times: give a written table. Without labels there are no cutoffs.
+def apply(measured: DataFrame, fitted: DataFrame, stratum: str | None = "lang") -> DataFrame:
+    """Adds ``kept`` (boolean) and ``failed_rules`` (array, sorted) to rows of ``measure``; these are read once.
+
+    Rows of a stratum without cutoffs are judged by the base rule alone. Columns of the two names are replaced; all others stay.
     """
-    marks = labels.select(F.col(doc_id).alias("__id"), F.col("quality").alias("__q")).filter("__id IS NOT NULL AND __q IS NOT NULL").groupBy("__id").agg(F.min("__q").alias("__q"))
-    known = measured.select(F.col(doc_id).alias("__id"), _stratum(stratum).alias("raw"), "base_failed", *RULES).join(marks, "__id")
-    own = known.groupBy("raw").agg(F.count("*").alias("n")).filter("raw <> ''").orderBy(F.desc("n"), "raw").limit(STRATA).select("raw")
-    own, _ = common.written(own, "strata")
-    table = cutoffs(_named(known, own).withColumn("good", F.col("__q") > 0), risk, level)
-    by_stratum = table.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__cut"))
-    return own, common.written(by_stratum, "cutoffs")[0]
-
-
-def apply(measured: DataFrame, fitted: tuple[DataFrame, DataFrame], stratum: str | None = "lang") -> DataFrame:
-    """Adds ``kept`` (boolean) and ``failed_rules`` (array, sorted) to rows of ``measure``; these are read once."""
-    own, by_stratum = fitted
-    judged = _named(measured.withColumn("raw", _stratum(stratum)), own).join(F.broadcast(by_stratum), "stratum", "left")
-    failed = F.array_compact(F.array(*(F.when(F.col(r) > F.col("__cut")[r], F.lit(r)) for r in sorted(RULES))))
+    key, cut = common.free_name(measured, "__stratum"), common.free_name(measured, "__cut")
+    named = fitted.select(F.col("stratum").alias(key), F.col("cut").alias(cut))
+    few = fitted.limit(STRATA + 1).count() <= STRATA
+    judged = measured.withColumn(key, _stratum(stratum)).join(F.broadcast(named) if few else named, key, "left")
+    failed = F.array_compact(F.array(*(F.when(F.col(r) > F.col(cut)[r], F.lit(r)) for r in sorted(RULES))))
     judged = judged.withColumn("failed_rules", failed)
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("raw", "stratum", "__cut")
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop(key, cut)
 
 
 def keep(judged: DataFrame) -> DataFrame:
@@ -153,7 +151,8 @@ def keep(judged: DataFrame) -> DataFrame:
 
     Pushed below them, it would repeat their expressions inside each other.
     """
-    return judged.withColumn("__at", F.monotonically_increasing_id()).filter("kept AND __at >= 0").drop("__at")
+    at = common.free_name(judged, "__at")
+    return judged.withColumn(at, F.monotonically_increasing_id()).filter(F.col("kept") & (F.col(at) >= 0)).drop(at)
 
 
 def judge(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str | None = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:

@@ -63,6 +63,28 @@ def test_rules_reject_bad_and_keep_good(spark):
     assert by_lang.count() == docs.count()
 
 
+def test_own_names_as_columns(spark):
+    docs, labels = labelled(spark, 600)
+    own = ["stratum", "raw", "__cut", "__at", "__stratum", "cut", "id", "good", "__words"]
+    measured = quality.measure(docs.withColumns({c: F.lit(c) for c in own}).withColumns({"kept": F.lit("clash"), "failed_rules": F.lit("clash")}), "text").drop("text").cache()
+    got = quality.keep(quality.judge(measured, labels, stratum=None, risk=0.05))
+    assert 0 < got.count() < 600 and all(r[c] == c for r in got.collect() for c in own)
+    assert [r.stratum for r in quality.judge(measured, labels, stratum="stratum").limit(1).collect()] == ["stratum"]
+
+
+def test_every_stratum_has_its_own_cutoffs_broadcast_or_not(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 12 < 6, "a").otherwise("b")).unionByName(spark.createDataFrame([(9000, " ".join(["abc###"] * 30 + [f"w{k}" for k in range(60)]), "unlabelled")], docs.schema))
+    measured = quality.measure(docs, "text").drop("text").cache()
+    both = []
+    for most in (10_000, 0):
+        monkeypatch.setattr(quality, "STRATA", most)
+        both.append(sorted(quality.judge(measured, labels, risk=0.05).select("doc_id", "kept", "failed_rules").collect()))
+    assert both[0] == both[1]
+    assert sum(not r.kept for r in both[0] if r.doc_id % 6 == 0 and r.doc_id < 2400) > 350
+    assert [r.kept for r in both[0] if r.doc_id == 9000] == [True]  # no labels, no cutoffs
+
+
 def test_no_labels_and_empty_table(spark):
     docs, labels = labelled(spark, 12)
     measured = quality.measure(docs, "text")
