@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import posixpath
 import tempfile
 import uuid
@@ -13,17 +14,24 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 
 
+#: A key of fewer rows is never hot; of a table, HOT_KEYS keys at most have more than 1/HOT_KEYS of its rows.
+HOT_ROWS, HOT_KEYS = 100_000, 1000
+
 _OWN: dict[str, str] = {}
+_SCRATCH: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine may leave it unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='panelspark-')}"  # only without a cluster's setting, as in tests
+        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='panelspark-')}"
     return _OWN[app]
 
 
@@ -34,10 +42,40 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives a lost executor."""
     path = fresh_path(df.sparkSession, what)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Removes at its end what ``written`` made inside, but for paths given to the function it yields; what that one keeps, an outer one may remove."""
+    keep: list[str] = []
+    _SCRATCH.append([])
+    try:
+        yield keep.append
+    finally:
+        for path in set(_SCRATCH.pop()) - set(keep):
+            remove(spark, path)
+        if _SCRATCH:
+            _SCRATCH[-1].extend(keep)
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``, which has each key once and, in ``n``, how many rows have it; ``n`` is dropped.
+
+    No task gets all rows of a hot key: keys with more than 1/HOT_KEYS of the ``total`` rows, HOT_KEYS of them at most, are
+    broadcast, and their rows stay where they are. The others are shuffled.
+    """
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    if total <= least:
+        return rows.join(per_key.drop(n), key)
+    hot = per_key.filter(F.col(n) > least)
+    apart = rows.join(F.broadcast(hot.drop(n)), key)
+    return apart.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per_key.filter(F.col(n) <= least).drop(n), key))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete what ``written`` made, once nothing reads it any more."""
     jvm = spark.sparkContext._jvm
@@ -54,8 +92,10 @@ def text_or_empty(col: str | Column) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for batches of the longest texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Keep Arrow batches small enough for batches of the longest texts: lowers the session's setting, which must hold when rows are worked out."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -66,8 +106,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-
-
 def file_system(uri: str):
     """(pyarrow file system, path in it) of a folder or file that tasks write or read themselves."""
     from pyarrow import fs
@@ -80,8 +118,6 @@ def put(uri: str, attempt: str):
 
     A task that runs again after a lost executor writes the file anew under the same name.
     """
-    import contextlib
-
     @contextlib.contextmanager
     def opened():
         at, path = file_system(uri)

@@ -10,15 +10,18 @@ then exactly.
 A count in a segment is kept in unary (0: 00, 1: 01, 2: 11), so that a vector is one long and the
 Manhattan distance is the number of differing bits of two such longs.
 
-Equal fingerprints are one node. A cell with too many nodes (close variants of one text) is not
-joined: its nodes go on to finer cells of exact bits (five of eight bytes, then thirteen of sixteen
-nibbles), and what is still crowded then shares all but three bits with its cell mates under some
-choice of these bits; nodes under such a key link to each other, so a star holds their links. No
-step makes more than a fixed number of rows for each node of a cell.
+Equal fingerprints are one node. With very many nodes the grid is a finer one (eight blocks, of which
+five agree). A cell with too many nodes (close variants of one text) is not joined: its nodes go on to
+cells of exact bits (five of eight bytes), and nodes of cells that are crowded even then are linked by
+stars. Each of these reports to all points within two bits of it; of two linked nodes, one is then within one bit of a
+point within two bits of the other. At a point, nodes within one bit link to all that report there, so a
+star around the least of them holds these links. A node makes 2081 such rows at most, a point gets 2081 at most,
+and no pairs of a crowd are made. No step makes more than a fixed number of rows for each node.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -53,7 +56,11 @@ def _choices(blocks: list[range], same: int) -> list[int]:
 
 GRID = _choices([range(0, 12), range(12, 22), range(22, 32), range(32, 44), range(44, 54), range(54, 64)], 3)
 BYTES = _choices([range(k, k + 8) for k in range(0, 64, 8)], 5)
-NIBBLES = _choices([range(k, k + 4) for k in range(0, 64, 4)], 13)
+#: Nodes up to which the grid of six blocks is taken, whose cells tell some 2 ** 24 places apart; that of eight tells 2 ** 30.
+GRID_NODES = 1 << 27
+#: Differences of one bit and of two.
+NEAR = [0, *(1 << b for b in range(64))]
+BESIDE = [1 << a | 1 << b for a, b in combinations(range(64), 2)]
 
 
 def fingerprint(text: str) -> int:
@@ -96,7 +103,8 @@ def embedding(fp: Column) -> Column:
 def links(nodes: DataFrame) -> DataFrame:
     """Edges (a, b), a < b, that connect all and only what links of distinct fingerprints ``fp`` connect."""
     found: list[DataFrame] = []
-    for what, masks in (("grid", GRID), ("bytes", BYTES), ("nibbles", NIBBLES)):
+    fine = nodes.count() > GRID_NODES
+    for what, masks in (("grid", BYTES if fine else GRID), ("bytes", BYTES)):
         key = embedding(F.col("fp")) if what == "grid" else F.col("fp")
         cells = _cells(nodes, key, masks)
         sizes, _ = common.written(cells.groupBy("choice", "cell").agg(F.count("*").alias("n")).filter("n > 1"), f"cells-{what}")
@@ -111,8 +119,7 @@ def links(nodes: DataFrame) -> DataFrame:
         crowded = sizes.filter(F.col("n") > CELL_NODES)
         if crowded.isEmpty():
             break
-        rest = cells.join(crowded.drop("n"), ["choice", "cell"])
-        nodes, _ = common.written((rest.select("fp").distinct() if what != "nibbles" else rest), f"crowded-{what}")
+        nodes, _ = common.written(cells.join(crowded.drop("n"), ["choice", "cell"]).select("fp").distinct(), f"crowded-{what}")
     else:
         found.append(_stars(nodes))
     every = found[0]
@@ -122,15 +129,12 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def _stars(crowded: DataFrame) -> DataFrame:
-    """Links in cells that leave 12 bits free: nodes equal but for three of these bits, linked to the least."""
-    free = [[b for b in range(64) if not m >> b & 1] for m in NIBBLES]
-    table = crowded.sparkSession.createDataFrame(
-        [(c, [_signed(~_mask(t) & (1 << 64) - 1) for t in combinations(bits, LINK_BITS)]) for c, bits in enumerate(free)], "choice int, masks array<long>"
-    )
-    keyed = crowded.join(F.broadcast(table), "choice").select("fp", F.explode("masks").alias("mask")).distinct()
-    keyed = keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    least = keyed.groupBy("mask", "key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return keyed.join(least, ["mask", "key"]).filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
+    """Links of nodes within three bits, as stars: at each point, its reporters and the least of those within one bit."""
+    masks = F.from_json(F.lit(json.dumps([_signed(m) for m in NEAR + BESIDE])), "array<long>")
+    reports = crowded.select("fp", F.posexplode(masks).alias("k", "mask")).select("fp", (F.col("k") < len(NEAR)).alias("near"), F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
+    points = reports.groupBy("point").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("centre"), F.collect_list("fp").alias("all"))  # NEAR + BESIDE at most
+    star = points.filter("centre IS NOT NULL AND size(all) > 1").select("centre", F.explode("all").alias("fp")).filter("centre <> fp")
+    return star.select(F.least("centre", "fp").alias("a"), F.greatest("centre", "fp").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -141,13 +145,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     star, path = common.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
+    before, total = None, star.count()
     while True:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = common.spread_join(both.filter("v > u"), least, "u", "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = common.spread_join(large, least, "u", "n", total)
         moved = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         star, new = common.written(moved.filter("u <> v").distinct(), "edges")
         common.remove(spark, path)
@@ -155,7 +159,11 @@ def components(edges: DataFrame) -> DataFrame:
         now = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return star.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
+        before, total = now, now[0]
+
+
+def _row_key(doc_id: str, text: str) -> Column:
+    return F.md5(F.concat_ws("\x00", F.coalesce(F.col(doc_id).cast("string"), F.lit("\x01")), common.text_or_empty(text)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -165,30 +173,38 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     a component of null ids has null. A null or blank text has fingerprint 0, which is linked like any
     other. Repeated rows stay, with equal results. Other columns are not read.
     """
-    common.small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    common.small_batches(spark)
     udf = F.arrow_udf(fingerprints, "long")
-    row_key = F.md5(F.concat_ws("\x00", F.coalesce(F.col(doc_id).cast("string"), F.lit("\x01")), common.text_or_empty(text)))
-    each, _ = common.written(docs.select(F.col(doc_id).alias("id"), row_key.alias("row_key"), udf(F.col(text)).alias("fp")), "fingerprints")
-    nodes, _ = common.written(each.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp")))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted, _ = common.written(rooted, "rooted")
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.join(of_root, "root").select("fp", "root", "component_id")
-    return each.join(of_fp, "fp").select(F.col("id").alias(doc_id), "row_key", "fp", "root", "component_id")
+    with common.scratch(spark) as keep:
+        each, path = common.written(docs.select(F.col(doc_id).alias("id"), _row_key(doc_id, text).alias("row_key"), udf(F.col(text)).alias("fp")), "fingerprints")
+        keep(path)
+        nodes, _ = common.written(each.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
+        roots = components(links(nodes.select("fp")))
+        rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+        rooted, _ = common.written(rooted, "rooted")
+        total = rooted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+        of_fp, path = common.written(common.spread_join(rooted, of_root, "root", "m", total), "components")
+        keep(path)
+    return common.spread_join(each, of_fp.select("fp", "root", "component_id", "n"), "fp", "n", total).select(F.col("id").alias(doc_id), "row_key", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component, the row with the least id stays.
 
-    Rows with a null id rank last; rows that repeat both id and text count as one. All columns are kept.
+    Rows with a null id rank last; of rows that repeat both id and text, the one whose other columns have the least hash
+    stays. All columns are kept.
     """
-    found = near_duplicates(docs, doc_id, text)
-    first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), "row_key"))
-    stay, _ = common.written(found.groupBy("root").agg(first.alias("x")).select(F.col("x.row_key").alias("__row_key")), "stay")
-    row_key = F.md5(F.concat_ws("\x00", F.coalesce(F.col(doc_id).cast("string"), F.lit("\x01")), common.text_or_empty(text)))
-    kept = docs.withColumn("__row_key", row_key).join(stay, "__row_key", "left_semi")
-    return kept.dropDuplicates(["__row_key"]).drop("__row_key")
+    spark, key, rest = docs.sparkSession, common.free_name(docs, "__row_key"), [c for c in docs.columns if c not in (doc_id, text)]
+    with common.scratch(spark) as keep:
+        found = near_duplicates(docs, doc_id, text)
+        first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), "row_key"))
+        stay, path = common.written(found.groupBy("root").agg(first.alias("x")).select(F.col("x.row_key").alias(key)), "stay")
+        keep(path)
+    kept = docs.withColumn(key, _row_key(doc_id, text)).join(stay, key, "left_semi")
+    others = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in rest)))) if rest else F.lit(0)
+    return kept.groupBy(key).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), others).alias("row")).select("row.*")
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

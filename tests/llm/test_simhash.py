@@ -1,7 +1,8 @@
 import random
 
+import pytest
 import xxhash
-from panelspark.llm import simhash
+from panelspark.llm import common, simhash
 from pyspark.sql import functions as F
 
 
@@ -40,7 +41,11 @@ def test_seed_and_hash_are_those_of_spark(spark):
     assert got & (1 << 64) - 1 == xxhash.xxh64_intdigest("a b ç".encode(), 42)
 
 
-def test_rows_against_brute_force(spark):
+@pytest.mark.parametrize("hot, fine", [(100_000, False), (4, True)])
+def test_rows_against_brute_force(spark, monkeypatch, hot, fine):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
+    monkeypatch.setattr(simhash, "GRID_NODES", 0 if fine else 1 << 27)
     rnd = random.Random(4)
     words = ["Alpha", "beta", "ç", "Δelta", "e", "f\x0bg", "h i"]
     rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice([1, 2, 3, 4, 40, 300])))) for i in range(120)]
@@ -56,8 +61,11 @@ def test_rows_against_brute_force(spark):
     assert {r.doc_id for r in kept} == {r for r in roots}
 
 
-def test_crowded_cells_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [100_000, 4])
+def test_crowded_cells_lose_no_link(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "CELL_NODES", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
     rnd = random.Random(2)
     base = [rnd.getrandbits(64) for _ in range(6)]
     prints = set(base)
@@ -75,6 +83,32 @@ def test_crowded_cells_lose_no_link(spark, monkeypatch):
     assert [roots.get(x, x) for x in signed] == want
 
 
+def test_one_text_holds_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = [(i, "the same text in most rows") for i in range(400)] + [(i, None) for i in range(400, 600)] + [(i, f"other {i} words {i * 7} and {i * 31} more") for i in range(600, 640)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, "doc_id", "text").collect()}
+    assert len(got) == 640 and {got[i] for i in range(400)} == {0} and {got[i] for i in range(400, 600)} == {400}
+    assert simhash.keep_one(docs).count() == len(set(got.values()))
+
+
+def test_keep_one_keeps_all_columns_and_settles_ties(spark):
+    rows = [(1, "a b c d", x, y, 0) for x, y in (("p", 1), ("q", 2), ("r", 3))] + [(2, "a b c d", "s", 4, 0)]
+    schema = "doc_id long, text string, __row_key string, root long, row int"
+    kept = [simhash.keep_one(spark.createDataFrame(r, schema)).collect() for r in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and len(kept[0]) == 1 and kept[0][0].doc_id == 1 and kept[0][0].asDict().keys() == {"doc_id", "text", "__row_key", "root", "row"}
+    assert kept[0][0]["__row_key"] in "pqr"
+
+
+def test_inner_tables_are_removed(spark):
+    import os
+
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    simhash.keep_one(spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "x")], "doc_id long, text string")).collect()
+    assert len(set(os.listdir(folder)) - before) <= 3
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs, "doc_id", "text").collect() == []
