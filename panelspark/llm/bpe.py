@@ -12,6 +12,7 @@ worked out for a piece is remembered in a memo of bounded size; this changes no
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import json
 import unicodedata
@@ -206,36 +207,37 @@ class PieceMap:
         self.bpe, self.special = bpe, special
         self.inner, self.outer, self.of_word = Memo(inner), Memo(outer, MEMO_ENTRIES // 5), Memo(word)
 
-    def _plain(self, text: str) -> list:
+    def quick(self, text: str) -> list | None:
+        """The values of the parts of a text between single spaces, each with the space before it; None where it can't be cut so."""
+        if not text or any(s in text for s in self.bpe.special):
+            return None
         parts = text.split(" ")
         try:
             if not parts[0] or parts[0][-1].isspace():
                 raise Uneven
             return [self.outer[parts[0]], *map(self.inner.__getitem__, parts[1:])]
         except Uneven:
-            return list(map(self.outer.__getitem__, self.bpe.pieces.findall(text)))
+            return None
 
     def values(self, text: str) -> list:
-        if not text:
-            return []
-        specials = self.bpe.specials
-        if specials is None or not any(s in text for s in self.bpe.special):
-            return self._plain(text)
-        out, at = [], 0
-        for m in specials.finditer(text):
-            out += self._plain(text[at : m.start()]) if m.start() > at else []
-            out.append(self.special(m[0]))
-            at = m.end()
-        return out + (self._plain(text[at:]) if at < len(text) else [])
-
-    def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
-        """The pieces that ``values`` took, in order, and whether each is a special token; for the few places where one is cut."""
-        at = 0
-        for m in self.bpe.specials.finditer(text) if self.bpe.specials else ():
-            yield from ((p, False) for p in self.bpe.pieces.findall(text[at : m.start()]))
+        if (found := self.quick(text)) is not None:
+            return found
+        return [self.special(p) if special else self.outer[p] for p, special in self.pieces(text)]
+
+    def value(self, piece: str):
+        """The value of one piece, from the memo that ``values`` filled."""
+        if piece[0] == " " and len(piece) > 1:
+            with contextlib.suppress(Uneven):
+                return self.inner[piece[1:]]
+        return self.outer[piece]
+
+    def pieces(self, text: str, at: int = 0) -> Iterator[tuple[str, bool]]:
+        """The pieces of a text from a place between two of them on, and whether each is a special token."""
+        for m in self.bpe.specials.finditer(text, at) if self.bpe.specials else ():
+            yield from ((p[0], False) for p in self.bpe.pieces.finditer(text, at, m.start()))
             yield m[0], True
             at = m.end()
-        yield from ((p, False) for p in self.bpe.pieces.findall(text[at:]))
+        yield from ((p[0], False) for p in self.bpe.pieces.finditer(text, at))
 
 
 @functools.lru_cache(2)
@@ -282,20 +284,30 @@ def _each_prefix(counts: PieceMap, text: str) -> Iterator[int]:
     for piece, special in counts.pieces(text):
         yield from _inside(counts, piece, special, before, last)
         last = None if special else (piece, before)
-        before += 1 if special else counts.outer[piece]
+        before += 1 if special else counts.value(piece)
 
 
-def cut_at(counts: PieceMap, text: str, budget: int) -> int:
+def cut_at(counts: PieceMap, text: str, budget: int, quick: list | None = None) -> int:
     """UTF-8 bytes of the longest prefix of ``text``, in whole characters, that takes ``budget`` tokens at most.
 
-    A longer prefix may take fewer tokens than a shorter one, but never fewer than the pieces before the last two.
+    A longer prefix may take fewer tokens than a shorter one, but never fewer than the pieces before the last two. Parts that fit
+    as a whole are passed over by the counts in ``quick``, what PieceMap.quick says of the text.
     """
-    best = at = used = earlier = 0
-    last = None
-    for piece, special in counts.pieces(text):
+    at = used = start = 0
+    if quick is not None:
+        for k, n in enumerate(quick):  # noqa: B007
+            if used + n > budget:
+                break
+            used += n
+        else:
+            return len(text.encode())
+        start = sum(map(len, text.split(" ", k)[:k])) + max(0, k - 1)
+        at = len(text[:start].encode())
+    best, earlier, last = at, used, None
+    for piece, special in counts.pieces(text, start):
         if earlier > budget:
             break
-        raw, n = piece.encode(), 1 if special else counts.outer[piece]
+        raw, n = piece.encode(), 1 if special else counts.value(piece)
         if used + n <= budget:
             best = at + len(raw)
         else:
@@ -324,9 +336,10 @@ def count_tokens(docs: DataFrame, text: str, path: str, budgets: tuple[int, ...]
         for batch in batches:
             rows = []
             for x in batch.to_pylist():
-                n = sum(counts.values(x := x or ""))
+                quick = counts.quick(x := x or "")
+                n = sum(counts.values(x) if quick is None else quick)
                 size = len(x.encode())
-                cuts = [size if n <= b else cut_at(counts, x, b) for b in budgets]
+                cuts = [size if n <= b else cut_at(counts, x, b, quick) for b in budgets]
                 rows.append({"n_bytes": size, "n_tokens": n, "cut_bytes": cuts, "prefix_tokens": list(_each_prefix(counts, x)) if prefixes else None})
             yield pa.array(rows, kind)
 

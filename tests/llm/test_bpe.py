@@ -51,11 +51,12 @@ SPACED = ["\n", "\n\n", " ", "   ", "\t", "\r\n", "\u3000", "\xa0", "the", "é",
 def test_prefixes_and_cuts_equal_the_library():
     library, counts = Tokenizer.from_file(PATH), bpe._count_map(open(PATH, encoding="utf-8").read())
     rnd = random.Random(11)
-    for t in [*SPACED, *texts(400, 5), *("".join(rnd.choice(SPACED) for _ in range(rnd.randrange(0, 12))) for _ in range(3000))]:
+    for t in [*SPACED, *texts(400, 5), *(" ".join(rnd.choice(["the", "a\nb", "éé", "!!", "x" * 9, "a  b", "c\n\nd"]) for _ in range(rnd.randrange(0, 12))) for _ in range(500)), *("".join(rnd.choice(SPACED) for _ in range(rnd.randrange(0, 12))) for _ in range(3000))]:
         want, got = prefix_counts(library, t), list(bpe._each_prefix(counts, t))
         assert len(got) == len(t.encode()) and {k: got[k - 1] for k in want} == want, t
         for budget in (0, 1, 2, 4, 9):
-            assert bpe.cut_at(counts, t, budget) == max((k for k, n in want.items() if n <= budget), default=0), (t, budget)
+            want_cut = max((k for k, n in want.items() if n <= budget), default=0)
+            assert bpe.cut_at(counts, t, budget) == bpe.cut_at(counts, t, budget, counts.quick(t)) == want_cut, (t, budget)
 
 
 def test_counts_prefixes_and_cuts(spark):
