@@ -44,12 +44,10 @@ def record_id(page_id, url: str | None, payload_digest: str) -> str:
     return f"<urn:x-page:{'' if page_id is None else page_id}:{payload_digest}:{zlib.crc32((url or '').encode()):08x}>"
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None, revisit: bool, date: str) -> bytes:
-    """The bytes of one record."""
-    own = digest(payload)
-    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    if not revisit:
-        block += payload
+def record(page_id, url: str | None, payload: bytes | None, sha1: bytes, n_bytes: int, refers_to: int | None, refers_url: str | None, date: str) -> bytes:
+    """The bytes of one record; without its payload it is a revisit."""
+    revisit, own = payload is None, base64.b32encode(sha1).decode()
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode() + (payload or b"")
     clean = "".join("%%%02X" % ord(c) if c in "\r\n" else c for c in url or "")
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
@@ -141,8 +139,9 @@ def frames(data: bytes, dictionary: zstandard.ZstdCompressionDict | None) -> Ite
 
 
 def train(pages: DataFrame, html: str) -> bytes:
-    """A dictionary from a bounded sample of pages; empty if these don't suffice for one."""
-    rows = pages.select(F.substring(common.text_or_empty(html), 1, SAMPLE_CHARS).alias("x")).filter("x <> ''").limit(SAMPLE_PAGES).collect()
+    """A dictionary from a bounded sample of pages, those with the least hashes; empty if these don't suffice for one."""
+    beginnings = pages.select(F.substring(common.text_or_empty(html), 1, SAMPLE_CHARS).alias("x")).filter("x <> ''")
+    rows = beginnings.select("x", F.xxhash64("x").alias("h")).orderBy("h", "x").limit(SAMPLE_PAGES).collect()
     try:
         return zstandard.train_dictionary(DICT_BYTES, [r.x.encode() for r in rows]).as_bytes()
     except zstandard.ZstdError:
@@ -155,18 +154,28 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     Of pages with equal payloads of ``least_bytes`` or more, those with the least id are responses, the
     others revisits of it. A null page counts as empty; rows that repeat the least id are responses all;
     null ids rank last (records without a number). Other columns are not written.
+
+    Which rows are responses is settled on ids and digests; only responses move with their payload, by payload and
+    id, so a payload that very many pages share is no task's burden.
     """
     spark = pages.sparkSession
     common.small_batches(spark)
     common.make_dir(folder)
     dictionary = spark.sparkContext.broadcast(train(pages, html))  # DICT_BYTES at most
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), common.text_or_empty(html).alias("html"))
-    rows = rows.withColumn("payload_key", F.sha2("html", 256))
-    firsts = rows.groupBy("payload_key").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("first"))
-    long_enough = F.octet_length("html") >= least_bytes
-    planned = rows.join(firsts, "payload_key").select(
-        "page_id", "url", "html", "first", (long_enough & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))).alias("revisit")
-    )
+    rows = rows.withColumns({"payload_key": F.sha2("html", 256), "sha1": F.unhex(F.sha1("html")), "n_bytes": F.octet_length("html").cast("long")})
+    slim, _ = common.written(rows.drop("html"), "pages")
+    short = F.col("n_bytes") < least_bytes
+    firsts = slim.groupBy("payload_key").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("first"), F.count("*").alias("n"))
+    firsts, _ = common.written(firsts, "payloads")
+    total = slim.count()
+    beside = common.spread_join(slim.filter(~short), firsts, "payload_key", "n", total).filter(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+    revisits = beside.select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha1", "n_bytes", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"))
+    first_key = lambda page: F.concat_ws(":", "payload_key", F.coalesce(page.cast("string"), F.lit("-")))
+    chosen = common.spread_join(rows.filter(~short).withColumn("key", first_key(F.col("page_id"))), firsts.select(first_key(F.col("first.page_id")).alias("key"), "n"), "key", "n", total)
+    responses = rows.filter(short).unionByName(chosen.drop("key")) if least_bytes > 0 else chosen
+    responses = responses.select("page_id", "url", "html", "sha1", "n_bytes", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
+    planned = responses.unionByName(revisits)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -182,7 +191,8 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
                 at = out.write(dictionary_frame(dictionary.value))
                 begun, records = at, 0
                 while row is not None and at < ARCHIVE_BYTES:
-                    one = record(row["page_id"], row["url"], row["html"].encode(), row["first"]["page_id"], row["first"]["url"], row["revisit"], date)
+                    payload = None if row["html"] is None else row["html"].encode()
+                    one = record(row["page_id"], row["url"], payload, row["sha1"], row["n_bytes"], row["refers_to"], row["refers_url"], date)
                     at += out.write(coder.compress(one))
                     records += 1
                     if at - begun >= RUN_BYTES:

@@ -24,8 +24,10 @@ def want(rows, least):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("least", [0, 30])
-def test_round_trip(spark, monkeypatch, least):
+@pytest.mark.parametrize("least, hot", [(0, 100_000), (30, 100_000), (0, 5), (30, 5)])
+def test_round_trip(spark, monkeypatch, least, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
     monkeypatch.setattr(warc, "RUN_BYTES", 400)
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 40_000)
     pages = spark.createDataFrame(ROWS, "page_id long, url string, html string").withColumn("payload_key", F.lit(1))
@@ -50,7 +52,7 @@ def test_whole_archive_reads_with_a_plain_decoder(spark):
 
 
 def test_broken_records_are_found():
-    raw = warc.record(5, "u", b"abc", None, None, False, "1970-01-01T00:00:00Z")
+    raw = warc.record(5, "u", b"abc", hashlib.sha1(b"abc").digest(), 3, None, None, "1970-01-01T00:00:00Z")
     assert warc.parse(raw)["payload"] == "abc"
     for bad in (raw[:-1], raw.replace(b"abc", b"abd"), raw.replace(b"WARC/1.1", b"WARD/1.1"), raw.replace(b"WARC-Date", b"WARC-Dat")):
         with pytest.raises(warc.BadArchive):
