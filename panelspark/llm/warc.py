@@ -138,10 +138,15 @@ def frames(data: bytes, dictionary: zstandard.ZstdCompressionDict | None) -> Ite
         data = one.unused_data
 
 
-def train(pages: DataFrame, html: str) -> bytes:
-    """A dictionary from a bounded sample of pages, those with the least hashes; empty if these don't suffice for one."""
-    beginnings = pages.select(F.substring(common.text_or_empty(html), 1, SAMPLE_CHARS).alias("x")).filter("x <> ''")
-    rows = beginnings.select("x", F.xxhash64("x").alias("h")).orderBy("h", "x").limit(SAMPLE_PAGES).collect()
+def train(pages: DataFrame, page_id: str, url: str, html: str) -> bytes:
+    """A dictionary from a bounded sample of pages, those with the least hashes; empty if these don't suffice for one.
+
+    Tasks only hand on pages whose hashes are among the least four times as many or so, so the driver gets no more with more tasks.
+    """
+    beginnings = pages.select(F.substring(common.text_or_empty(html), 1, SAMPLE_CHARS).alias("x"), F.col(page_id).alias("i"), F.col(url).alias("u")).filter("x <> ''")
+    share = min(1.0, 4 * SAMPLE_PAGES / max(1, pages.count()))
+    low = beginnings.select("x", F.xxhash64("i", "u", "x").alias("h")).filter(F.col("h") <= int((share - 0.5) * (1 << 63) * 2) - (share == 1.0))
+    rows = low.orderBy("h", "x").limit(SAMPLE_PAGES).collect()
     try:
         return zstandard.train_dictionary(DICT_BYTES, [r.x.encode() for r in rows]).as_bytes()
     except zstandard.ZstdError:
@@ -161,7 +166,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     spark = pages.sparkSession
     common.small_batches(spark)
     common.make_dir(folder)
-    dictionary = spark.sparkContext.broadcast(train(pages, html))  # DICT_BYTES at most
+    dictionary = spark.sparkContext.broadcast(train(pages, page_id, url, html))  # DICT_BYTES at most
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), common.text_or_empty(html).alias("html"))
     rows = rows.withColumns({"payload_key": F.sha2("html", 256), "sha1": F.unhex(F.sha1("html")), "n_bytes": F.octet_length("html").cast("long")})
     slim, _ = common.written(rows.drop("html"), "pages")
