@@ -39,11 +39,17 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return posixpath.join(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
 
 
-def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives a lost executor."""
-    path = fresh_path(df.sparkSession, what)
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A fresh path that goes with the inner tables of ``scratch``."""
+    path = fresh_path(spark, what)
     if _SCRATCH:
         _SCRATCH[-1].append(path)
+    return path
+
+
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives a lost executor."""
+    path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

@@ -6,14 +6,18 @@ for the block that ends at a position, how far the search may move on without mi
 where it says zero, a bucket keyed by that block lists the patterns that end with it, and these
 are compared word by word.
 
-The benchmark is cut into tables of bounded size, whatever it holds; every document is searched
-for every table, one table at a time, and documents are never shuffled for the search.
+The windows are cut into slices of bounded size, whatever the benchmark holds. Tasks write the slices
+to the shared folder and workers load them from there; neither an item nor a slice passes through the driver. Every document is
+searched for every slice, one slice at a time. Documents aren't shuffled for the search; with more than one slice they are
+written once, and what later slices find joins them at the end.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from re import compile as pattern
 
 import pyarrow as pa
@@ -26,8 +30,10 @@ from . import common
 WINDOW = 10
 #: Words of a block in the shift tables.
 BLOCK = 2
-#: Item words that one broadcast table holds; each adds a pattern of WINDOW words at most.
+#: Windows of items that a slice holds, or so; each is a pattern of WINDOW words at most.
 TABLE_WORDS = 200_000
+#: Windows that a task hands on at once.
+CUT_ROWS = 10_000
 _WORD = pattern(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -72,17 +78,25 @@ class WuManber:
             end += 1
 
 
-def tables(items: Iterable[tuple[int, str]]) -> list[WuManber]:
-    """Search tables, one for each pattern length. ``items``: (number, text)."""
+def windows_of(text: str | None) -> Iterator[tuple[bytes, ...]]:
+    words = words_of(text)
+    width = min(WINDOW, len(words))
+    return (tuple(words[i : i + width]) for i in range(len(words) - width + 1)) if words else iter(())
+
+
+def search_tables(windows: Iterable[tuple[tuple[bytes, ...], str | None]]) -> list[WuManber]:
+    """Search tables, one for each pattern length, of (window, item)."""
     by_length: dict[int, dict] = defaultdict(lambda: defaultdict(list))
-    for number, text in items:
-        words = words_of(text)
-        width = min(WINDOW, len(words))
-        for window in {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if words else ():
-            by_length[width][window].append(number)
+    for window, item in windows:
+        by_length[len(window)][window].append(item)
     return [WuManber(p) for _, p in sorted(by_length.items())]
 
 
+def tables(items: Iterable[tuple[str | None, str]]) -> list[WuManber]:
+    """Search tables of (item, text)."""
+    return search_tables((w, item) for item, text in items for w in set(windows_of(text)))
+
+
 def occurrences(searches: list[WuManber], words: list[bytes]) -> tuple[list[tuple[int, int]], list[int]]:
     """Merged intervals [start, end) of hit words, and the numbers of the items found, but None."""
     spans, found = [], set()
@@ -108,104 +122,85 @@ def merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _slices(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in lists of TABLE_WORDS words or so, fetched one list at a time.
-
-    Only one list is on the driver at once; a single item is as long as its text.
-    """
-    part, words = [], 0
-    for row in items.toLocalIterator():
-        part.append((row.number, row.text))
-        words += len(words_of(row.text))
-        if words >= TABLE_WORDS:
-            yield part
-            part, words = [], 0
-    if part:
-        yield part
-
+def write_slices(items: DataFrame, item_id: str, item_text: str) -> tuple[str, int]:
+    """Write the distinct windows of all items (window, item), in slices of TABLE_WORDS or so; returns the folder and their number."""
+    schema = pa.schema({"window": pa.string(), "item": pa.string()})
 
-def contamination(docs: DataFrame, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
-    """Adds ``n_words``, ``hit_spans`` (array of struct(start, end) over words), ``item_ids`` (strings, sorted), ``n_hit``, ``contaminated``.
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            each = ({"window": b" ".join(w).decode(), "item": row["item"]} for w in windows_of(row["text"]))
+            while part := list(islice(each, CUT_ROWS)):
+                yield pa.RecordBatch.from_pylist(part, schema)
 
-    Null texts (documents or items) have no words, and an item without words has no window. Items with
-    equal ids count as one; a null item id is left out of ``item_ids`` but its windows still hit. Rows of
-    ``docs`` stay as they are, repeated ones too; columns of the new names are replaced.
-    """
-    spark = docs.sparkSession
-    common.small_batches(spark)
     wanted = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull())
-    kind = pa.struct({"n_words": pa.int64(), "spans": pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()})), "items": pa.list_(pa.string())})
-    sql_kind = "n_words long, spans array<struct<start: long, end: long>>, items array<string>"
-    slices = _slices(wanted.select(F.col("item").alias("number"), "text"))
-    first = next(slices, [])
-    got, state = common.free_name(docs, "found"), docs
-    for k, part in enumerate(_and_last([first], slices)):
-        part, last = part
-        known = spark.sparkContext.broadcast(part)
-
-        def search(batches: Iterator[tuple[pa.Array, ...]] | Iterator[pa.Array], known=known, more=k > 0) -> Iterator[pa.Array]:
-            searches = _tables_of(known)
-            for batch in batches:
-                texts, before = (batch[0], batch[1].to_pylist()) if more else (batch, None)
-                rows = []
-                for i, x in enumerate(texts.to_pylist()):
-                    words = words_of(x)
-                    spans, found = occurrences(searches, words)
-                    if before:
-                        spans = merge([*spans, *((s["start"], s["end"]) for s in before[i]["spans"])])
-                        found = sorted({*found, *before[i]["items"]})
-                    rows.append({"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in spans], "items": found})
-                yield pa.array(rows, kind)
-
-        if k == 0:
-            state = docs.withColumn(got, F.arrow_udf(_one(search), sql_kind)(F.col(text)))
-        else:
-            state = state.withColumn(got, F.arrow_udf(_two(search), sql_kind)(F.col(text), F.col(got)))
-        if not last:  # the next table's pass reads what this one found, and this table is let go
-            state, _ = common.written(state, "searched")
-            known.unpersist()
-    n_hit = F.aggregate(F.col(f"`{got}`.spans"), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    state = state.withColumns({"n_words": F.col(f"`{got}`.n_words"), "hit_spans": F.col(f"`{got}`.spans"), "item_ids": F.col(f"`{got}`.items"), "n_hit": n_hit})
-    return state.withColumn("contaminated", F.col("n_hit") > 0).drop(got)
-
+    windows, path = common.written(wanted.mapInArrow(cut, "window string, item string").distinct(), "windows")
+    n = max(1, -(-windows.count() // TABLE_WORDS))
+    folder = common.scratch_path(items.sparkSession, "slices")
+    windows.withColumn("slice", F.pmod(F.xxhash64("window", "item"), F.lit(n))).repartition(n, "slice").write.partitionBy("slice").parquet(folder)
+    return folder, n
 
-def _and_last(first: list, rest: Iterator) -> Iterator[tuple[list, bool]]:
-    """Each part of ``first`` and ``rest``, and whether it is the last."""
-    now = first[0]
-    for after in rest:
-        yield now, False
-        now = after
-    yield now, True
 
+@functools.lru_cache(1)
+def load_slice(uri: str) -> list[WuManber]:
+    """The tables of one slice; a worker keeps the last it loaded."""
+    from pyarrow import fs, parquet
 
-def _one(search):
-    def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return search(batches)
+    at, path = common.file_system(uri)
+    if at.get_file_info(path).type == fs.FileType.NotFound:  # no window fell to it
+        return []
+    table, same = parquet.read_table(path, filesystem=at, partitioning=None), {}
+    words = lambda window: tuple(same.setdefault(w, w) for w in window.encode().split(b" "))
+    return search_tables((words(r["window"]), r["item"]) for b in table.to_batches() for r in b.to_pylist())
 
-    return one
 
+KIND = pa.struct({"n_words": pa.int64(), "spans": pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()})), "items": pa.list_(pa.string())})
+SQL_KIND = "n_words long, spans array<struct<start: long, end: long>>, items array<string>"
 
-def _two(search):
-    def two(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        return search(batches)
 
-    return two
+def _searched(uri: str):
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        searches = load_slice(uri)
+        for batch in batches:
+            rows = []
+            for x in batch.to_pylist():
+                words = words_of(x)
+                spans, found = occurrences(searches, words)
+                rows.append({"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in spans], "items": found})
+            yield pa.array(rows, KIND)
 
+    return F.arrow_udf(search, SQL_KIND)
 
-_KEPT: dict = {}
 
+def _merged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([[{"start": a, "end": b} for a, b in merge((s["start"], s["end"]) for s in spans)] for spans in batch.to_pylist()], KIND.field("spans").type)
 
-def _tables_of(known) -> list[WuManber]:
-    """A worker builds the tables of a broadcast once."""
-    key = known._jbroadcast.id() if getattr(known, "_jbroadcast", None) else id(known.value)
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = tables(_unique(known.value)), known.value
-    return _KEPT[key][0]
 
+def contamination(docs: DataFrame, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """Adds ``n_words``, ``hit_spans`` (array of struct(start, end) over words), ``item_ids`` (strings, sorted), ``n_hit``, ``contaminated``.
 
-def _unique(items: list[tuple]) -> list[tuple]:
-    return list(dict.fromkeys(map(tuple, items)))
+    Null texts (documents or items) have no words, and an item without words has no window. Items with
+    equal ids count as one; a null item id is left out of ``item_ids`` but its windows still hit. Rows of
+    ``docs`` stay as they are, repeated ones too; columns of the new names are replaced.
+    """
+    common.small_batches(docs.sparkSession)
+    folder, n = write_slices(items, item_id, item_text)
+    got, rid = common.free_name(docs, "found"), common.free_name(docs, "__row")
+    state = docs.withColumn(got, _searched(f"{folder}/slice=0")(F.col(text)))
+    if n > 1:
+        state, _ = common.written(state.withColumn(rid, F.monotonically_increasing_id()), "searched")
+        hits = state.select(rid, F.col(f"`{got}`.spans"), F.col(f"`{got}`.items"))
+        for k in range(1, n):
+            later = state.select(rid, _searched(f"{folder}/slice={k}")(F.col(text)).alias("f")).select(rid, "f.spans", "f.items")
+            hits = hits.unionByName(common.written(later.filter(F.size("spans") > 0), "hits")[0])
+        all_of = hits.filter(F.size("spans") > 0).groupBy(rid).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        all_of = all_of.select(rid, F.arrow_udf(_merged, "array<struct<start: long, end: long>>")("spans").alias("spans"), "items")
+        none = lambda c: F.coalesce(F.col(f"a.{c}"), F.array().cast(all_of.schema[c].dataType)).alias(c)
+        joined = state.alias("s").join(all_of.alias("a"), rid, "left")
+        state = joined.select(*(F.col(f"s.`{c}`") for c in docs.columns), F.struct(F.col(f"s.`{got}`.n_words").alias("n_words"), none("spans"), none("items")).alias(got))
+    n_hit = F.aggregate(F.col(f"`{got}`.spans"), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    state = state.withColumns({"n_words": F.col(f"`{got}`.n_words"), "hit_spans": F.col(f"`{got}`.spans"), "item_ids": F.col(f"`{got}`.items"), "n_hit": n_hit})
+    return state.withColumn("contaminated", F.col("n_hit") > 0).drop(got)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,15 @@ from panelspark.llm import decontaminate as d
 from pyspark.sql import functions as F
 
 
+def words_of(text):
+    """Words again, written apart from the operator."""
+    return "".join(c.lower() if "A" <= c <= "Z" else c if c.isascii() and c.isalnum() or c > "\x7f" else " " for c in text or "").split(" ")
+
+
 def brute(text, items):
-    words, hit, found = d.words_of(text), set(), set()
+    words, hit, found = [w for w in words_of(text) if w], set(), set()
     for item, t in items:
-        w = d.words_of(t)
+        w = [x for x in words_of(t) if x]
         k = min(10, len(w))
         for i in range(len(w) - k + 1) if w else ():
             for j in range(len(words) - k + 1):
@@ -36,6 +41,16 @@ def test_against_brute_force(spark, monkeypatch, table_words):
     assert rows == [(*w, w[2] > 0) for w in want]
 
 
+def test_own_names_as_columns_and_one_item_beside_many(spark, monkeypatch):
+    monkeypatch.setattr(d, "TABLE_WORDS", 30)
+    words = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(words[:15])) for k in range(50)] + [(99, " ".join(words))]  # a window of 51 items, an item of 391 windows
+    docs = spark.createDataFrame([(1, " ".join(["x", *words, "y"]), *"abcdef"), (2, "nothing here", *"abcdef")], "doc_id long, text string, found string, __row string, spans string, items string, f string, slice string")
+    got = {r.doc_id: r for r in d.contamination(docs, "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text").collect()}
+    assert (got[1].n_hit, len(got[1].item_ids), got[2].n_hit) == (400, 51, 0)
+    assert all([r[c] for c in ("found", "__row", "spans", "items", "f", "slice")] == list("abcdef") for r in got.values())
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
