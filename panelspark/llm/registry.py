@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("bpe", "token_files", "licenses", "quality", "decontaminate", "simhash", "warc", "chat", "pii")
+MODULES = ("bpe", "token_files", "licenses", "quality", "decontaminate", "simhash", "warc", "chat", "pii", "pipeline")
 
 
 def _modules():
@@ -13,13 +13,8 @@ def _modules():
 
 
 def queries() -> dict[str, Callable]:
-    import corpus_pipeline
-
-    return {k: f for m in _modules() for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
+    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
-    found = {k: s for m in _modules() for k, s in getattr(m, "ORACLE_SQL", {}).items()}
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {k: s for m in _modules() for k, s in (getattr(m, "ORACLE_SQL", None) or {}).items()}
