@@ -1,76 +1,5 @@
-"""The corpus pipeline over ``documents``: five stages, each written as Parquet and read again.
+"""The corpus pipeline: STAGES, run and ORACLE_SQL, from the package of the training-data operators."""
 
-Quality rules drop documents, of near-duplicates one stays, documents that share a window with a
-benchmark item go, personal data in texts is replaced by its kind, and what is left becomes token
-ids. Every stage but the last returns the columns that it was given; each treats nulls, empty
-texts, repeated rows and empty tables as its operator says.
+from panelspark.llm.pipeline import ORACLE_SQL, STAGES, run
 
-ORACLE_SQL is None: SQL has neither XXH64 fingerprints nor byte-pair encoding. tests/llm holds the
-pipeline against a brute-force version.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from panelspark.llm import bpe, common, decontaminate, pii, quality, simhash
-
-
-def _held(docs: DataFrame) -> DataFrame:
-    """The documents' columns in one struct, out of reach of any operator's own columns, beside what operators read."""
-    return docs.select(F.struct("*").alias("__doc"), "doc_id", "text", "lang")
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or a certified cutoff rejects go."""
-    measured = quality.measure(_held(docs), "text")
-    small, _ = common.written(measured.select("doc_id", "lang", "base_failed", *quality.RULES), "measured")  # without texts
-    fitted = quality.fit(small, common.table(spark, sf_dir, "labels"))
-    return quality.keep(quality.apply(measured, fitted)).select("__doc.*")
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints, the document with the least id stays."""
-    return simhash.keep_one(docs)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of a benchmark item occurs go."""
-    found = decontaminate.contamination(_held(docs), "text", common.table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return found.filter("NOT contaminated").select("__doc.*")
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kind; ``n_chars`` follows the text where there is such a column."""
-    found = pii.find(_held(docs), "text")
-    weights = pii.fit(common.written(found.select("candidates"), "candidates")[0])  # without texts
-    decided = pii.decide(found, weights=weights)
-    clean = decided.select("__doc.*", pii.redact(F.col("__doc.text"), F.col("spans")).alias("__text"), "spans")
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return clean.withColumn("text", F.col("__text")).select(docs.columns)
-
-
-def byte_pair_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, their number, and digests of them and of the text that they decode to."""
-    coded = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), "text", bpe._path())
-    return coded.select("doc_id", "lang", "source", "ids", *bpe.code_digests())
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("personal_data", personal_data),
-    ("byte_pair_codes", byte_pair_codes),
-]
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from the table ``documents`` in ``sf_dir``."""
-    docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs, _ = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
