@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import haversine_atan2
+from ..held import hold
+from .spatial import around
 
 TIE_KM = 1e-9
 
@@ -44,29 +46,43 @@ def with_fallback(targets: DataFrame, observations: DataFrame, entity: str, date
     An observation qualifies if its date is at most ``lag_months`` months before the target's (inclusive), or
     strictly before it for lag 0. Own history comes first; else the latest date on which any entity of the
     group was observed, and of those observed then the nearest (ties within TIE_KM: the least id); else the same
-    over all entities. The latest date is worked out on distinct (group, date) pairs, so only targets without
-    history meet candidates, and only those of one date.
+    over all entities. Places that are missing come last: where no distance is known, the least id is taken.
+    Every target comes back, repeated ones as often as they are; a null group has no group tier, a null date no source.
+
+    Targets without history are reduced to distinct questions (group, latest date, place), which meet the observations of
+    that date in the cubes around them only.
     """
     inclusive = lag_months > 0
-    obs = observations.select(entity, date, group, lat, lon, value).cache()
+    obs = observations.select(entity, date, group, lat, lon, value)
     t = targets.withColumn("__bound", F.add_months(date, -lag_months) if lag_months else F.col(date))
     seen = F.struct(F.col(date).alias("d"), F.col(entity).alias("e"), F.col(value).alias("v"))
-    own = latest(t, obs, [entity], "__bound", date, seen, inclusive).withColumn("source", F.when(F.col("found").isNotNull(), "own")).cache()
+    own = hold(latest(t, obs, [entity], "__bound", date, seen, inclusive).withColumn("source", F.when(F.col("found").isNotNull(), "own")))
+    kind = own.schema["found"].dataType
     done, rest = [own.filter("found IS NOT NULL")], own.filter("found IS NULL").drop("found", "source")
-    row = Window.partitionBy(entity, date)
-    for tier, key in (("group", [group]), ("global", ["__all"])):
-        marked = lambda df, key=key: df if key == [group] else df.withColumn("__all", F.lit(1))
-        bounds, dates = marked(rest).select(*key, "__bound").distinct(), marked(obs).select(*key, date).distinct()
-        last = latest(bounds, dates, key, "__bound", date, F.struct(F.col(date).alias("d")), inclusive).select(*key, "__bound", F.col("found.d").alias("__date"))
-        wanted = marked(rest).join(last, [*key, "__bound"], "left")
-        near = marked(obs).select(*key, F.col(date).alias("__date"), F.struct(F.col(entity).alias("e"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.col(value).alias("v")).alias("c"))
-        met = wanted.join(near, [*key, "__date"], "left").withColumn("__km", haversine_atan2(F.col(lat), F.col(lon), F.col("c.lat"), F.col("c.lon")))
-        close = met.withColumn("__least", F.min("__km").over(row)).filter(F.col("c").isNull() | (F.col("__km") <= F.col("__least") + TIE_KM))
-        pick = close.groupBy(*rest.columns, "__date").agg(F.min("c").alias("c"))
-        found = pick.withColumn("found", F.when(F.col("c").isNotNull(), F.struct(F.col("__date").alias("d"), F.col("c.e").alias("e"), F.col("c.v").alias("v")))).drop("c", "__date").cache()
-        done.append(found.filter("found IS NOT NULL").withColumn("source", F.lit(tier)))
-        rest = found.filter("found IS NULL").drop("found")
-    done.append(rest.withColumns({"found": F.lit(None).cast(own.schema["found"].dataType), "source": F.lit(None).cast("string")}))
+    for tier, scope in (("group", F.col(group)), ("global", F.lit(1))):
+        asked = rest.select(scope.alias("__key"), "__bound", F.col(lat).alias("__lat"), F.col(lon).alias("__lon")).filter("__key IS NOT NULL").distinct()
+        marked = obs.filter(F.col(date).isNotNull()).select(scope.alias("__key"), date, F.struct(F.col(entity).alias("e"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.col(value).alias("v")).alias("c"))
+        last = latest(asked.select("__key", "__bound").distinct(), marked.select("__key", date).distinct(), ["__key"], "__bound", date, F.struct(F.col(date).alias("d")), inclusive)
+        last = last.filter("found IS NOT NULL").select("__key", "__bound", F.col("found.d").alias("__date"))
+        last = hold(last)
+        places = hold(asked.join(last, ["__key", "__bound"]).select("__key", "__date", "__lat", "__lon").distinct())
+        by = ["__key", "__date"]
+        near = marked.withColumnRenamed(date, "__date").join(places.select(*by).distinct(), by, "left_semi")
+        at = near.groupBy(*by, F.col("c.lat").alias("__lat"), F.col("c.lon").alias("__lon")).agg(F.min("c").alias("point"))
+        pairs = around(places, at, by, "__lat", "__lon", 1).withColumn("__km", haversine_atan2(F.col("__lat"), F.col("__lon"), F.col("point.lat"), F.col("point.lon")))
+        question = [*by, "__lat", "__lon"]
+        least = F.min("__km").over(Window.partitionBy(*question))
+        close = pairs.withColumn("__least", least).filter(F.col("__km") <= F.col("__least") + TIE_KM).groupBy(*question).agg(F.min("point").alias("c"))
+        same_place = F.col("q.__lat").eqNullSafe(F.col("n.__lat")) & F.col("q.__lon").eqNullSafe(F.col("n.__lon")) & (F.col("q.__key") == F.col("n.__key")) & (F.col("q.__date") == F.col("n.__date"))
+        any_of = near.groupBy(*by).agg(F.min("c").alias("__any"))
+        answers = places.alias("q").join(close.alias("n"), same_place, "left").select("q.*", "n.c").join(any_of, by).select(*question, F.coalesce("c", "__any").alias("c"))
+        answers = answers.join(last, by).select("__key", "__bound", F.col("__lat").alias("__qlat"), F.col("__lon").alias("__qlon"), F.struct(F.col("__date").alias("d"), F.col("c.e").alias("e"), F.col("c.v").alias("v")).alias("found"))
+        keyed = rest.withColumn("__k", scope).withColumnRenamed("__bound", "__b")
+        on = (F.col("__k") == F.col("__key")) & (F.col("__b") == F.col("__bound")) & F.col(lat).eqNullSafe(F.col("__qlat")) & F.col(lon).eqNullSafe(F.col("__qlon"))
+        met = hold(keyed.join(answers, on, "left").drop("__k", "__key", "__bound", "__qlat", "__qlon").withColumnRenamed("__b", "__bound"))
+        done.append(met.filter("found IS NOT NULL").withColumn("source", F.lit(tier)))
+        rest = met.filter("found IS NULL").drop("found")
+    done.append(rest.withColumns({"found": F.lit(None).cast(kind), "source": F.lit(None).cast("string")}))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -217,7 +217,7 @@ SELECT c, id, round(d2, 6) AS d2 FROM p QUALIFY row_number() OVER (PARTITION BY
 def nearest_grid_point(spark, d):
     k = F.col("c_custkey")
     points = table(spark, d, "customer").select(k.alias("c"), ((k * 37 % 1700) / 10 - 85).alias("lat"), ((k * 91 % 3600) / 10 - 180).alias("lon"))
-    return r6(spatial.nearest_planar(points, _points(spark, d), "c", "id", "lat", "lon", 10.0), "d2")
+    return r6(spatial.nearest_planar(points, _points(spark, d), "c", "id", "lat", "lon"), "d2")
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -1,6 +1,8 @@
 """Hand-made cases of the panel operators."""
 
+import datetime
 import math
+import random
 
 import numpy as np
 import pytest
@@ -156,3 +158,69 @@ def test_adjusting_a_whole_table(spark, name):
     got = got.filter("p_value is not null").select(*keys, value).distinct() if name == "holm_adjust" else got
     show = lambda rs: sorted(tuple("" if v is None else f"{v:.6f}" for v in r) for r in rs)
     assert show(got.select(*keys, value).collect()) == show(duckdb.sql(f"SELECT {', '.join(keys)}, {value} FROM ({sql})").fetchall())
+
+
+def _km(a, b):
+    la, lo, lb, lp = map(math.radians, (*a, *b))
+    h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lp - lo) / 2) ** 2
+    return 2 * 6371.0088 * math.asin(min(1.0, math.sqrt(h)))
+
+
+def test_fallback_returns_every_target_and_the_nearest(spark):
+    rnd = random.Random(4)
+    month = lambda k: datetime.date(2020 + k // 12, k % 12 + 1, 1)
+    place = lambda: (None, None) if rnd.random() < 0.15 else (float("nan"), 1.0) if rnd.random() < 0.1 else (rnd.uniform(-80, 80), rnd.uniform(-180, 180))
+    obs = [(e, month(rnd.randrange(12)), rnd.choice("ab"), *place(), rnd.randrange(9)) for e in range(60) for _ in range(2)]
+    obs += [(500, month(0), "c", None, None, 1), (501, month(0), "c", None, None, 2), (None, month(3), "a", 1.0, 1.0, 3), (502, None, "a", 1.0, 1.0, 3)]
+    targets = [(1000 + k, month(rnd.randrange(14)), rnd.choice(["a", "b", "c", "z", None]), *place(), "x") for k in range(80)] + [(e, month(13), "a", 0.0, 0.0, "own") for e in range(5)]
+    targets += [targets[3], targets[3], targets[81], (2000, None, "a", 0.0, 0.0, "no date"), (2001, month(0), "a", 0.0, 0.0, "nothing before")]
+    o = spark.createDataFrame(obs, "entity long, month date, grp string, lat double, lon double, label int")
+    t = spark.createDataFrame(targets, "entity long, month date, grp string, lat double, lon double, extra string")
+    got = asof.with_fallback(t, o, "entity", "month", "grp", "lat", "lon", "label").collect()
+    assert len(got) == len(targets)
+    known = lambda *xs: all(x is not None and not math.isnan(x) for x in xs)
+    for r in got:
+        before = [x for x in obs if x[1] is not None and r.month is not None and x[1] < r.month]
+        tiers = [("own", [x for x in before if x[0] == r.entity]), ("group", [x for x in before if x[2] == r.grp and r.grp is not None]), ("global", before)]
+        tier, some = next(((n, c) for n, c in tiers if c), (None, []))
+        assert r.source == tier, r
+        if tier:
+            latest = [x for x in some if x[1] == max(y[1] for y in some)]
+            assert r.source_date == latest[0][1]
+            if tier != "own":
+                far = [_km((r.lat, r.lon), x[3:5]) if known(r.lat, r.lon, *x[3:5]) else math.inf for x in latest]
+                best = [x for x, km in zip(latest, far, strict=True) if km <= min(far) + 1e-9]
+                assert r.source_entity == min((x[0] for x in best), key=lambda e: (e is not None, e)), r
+    assert asof.with_fallback(t.limit(0), o, "entity", "month", "grp", "lat", "lon", "label").collect() == []
+    assert [r.source for r in asof.with_fallback(t.limit(2), o.limit(0), "entity", "month", "grp", "lat", "lon", "label").collect()] == [None, None]
+
+
+def test_nearest_in_crowded_and_empty_places(spark):
+    rnd = random.Random(5)
+    points = [(k, 48.0 + rnd.gauss(0, 1e-4), 2.0 + rnd.gauss(0, 1e-4)) for k in range(150)] + [(200 + k, 10.0, 10.0) for k in range(12)] + [(300 + k, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for k in range(30)] + [(400, 90.0, 0.0), (401, -90.0, 77.0), (402, None, 1.0), (403, float("nan"), 1.0)]
+    df = spark.createDataFrame(points, "id long, lat double, lon double")
+    got = {}
+    for r in spatial.nearest(df, "id", "lat", "lon", 4).collect():
+        got.setdefault(r.src, []).append((r["rank"], round(r.km, 6), r.dst))
+    placed = [p for p in points if p[1] is not None and not math.isnan(p[1])]
+    assert set(got) == {p[0] for p in placed}
+    for i, *at in placed:
+        want = sorted((round(_km(at, p[1:]), 6), p[0]) for p in placed if p[0] != i)[:4]
+        assert [km for _, km, _ in sorted(got[i])] == [km for km, _ in want]
+        if 200 <= i < 300:
+            assert [d for _, _, d in sorted(got[i])] == [d for _, d in want]
+    assert spatial.nearest(df.limit(1), "id", "lat", "lon", 4).collect() == [] and spatial.nearest(df.limit(0), "id", "lat", "lon", 4).collect() == []
+    assert len(spatial.nearest(df.limit(3), "id", "lat", "lon", 4).collect()) == 6
+
+
+def test_nearest_node_on_a_plane(spark):
+    rnd = random.Random(6)
+    nodes = [(k, rnd.uniform(0, 5), rnd.uniform(0, 5)) for k in range(40)] + [(90, 1.0, 1.0), (91, 1.0, 1.0), (92, float("nan"), 1.0), (93, None, 0.0)]
+    points = [(k, rnd.uniform(-20, 20), rnd.uniform(-20, 20)) for k in range(60)] + [(99, 1.0, 1.0), (100, float("nan"), 1.0), (101, 1.0, None)]
+    df = lambda rows, name: spark.createDataFrame(rows, f"{name} long, x double, y double")
+    got = {r.p: (r.g, r.d2) for r in spatial.nearest_planar(df(points, "p"), df(nodes, "g"), "p", "g", "x", "y").collect()}
+    for p, x, y in points[:-2]:
+        d2, g = min(((x - a) ** 2 + (y - b) ** 2, n) for n, a, b in nodes[:-2])
+        assert got[p] == (g, pytest.approx(d2))
+    assert set(got) == {p for p, _, _ in points[:-2]}
+    assert spatial.nearest_planar(df(points, "p"), df(nodes[:0], "g"), "p", "g", "x", "y").collect() == []
