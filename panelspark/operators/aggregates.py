@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import is_missing
+from .ranges import beside, quantiles
 
 
 def unit_profile(units: DataFrame, entity: str, means: list[str], by: list[str]) -> DataFrame:
@@ -41,7 +42,8 @@ def missing_by_group(rows: DataFrame, group: str, col: str) -> DataFrame:
 
 def spread(rows: DataFrame, by: list[str], value: str, within: list[str]) -> DataFrame:
     """Count, exact median and maximum by group, and the group's share of the rows of its ``within`` group."""
-    per = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(value, F.lit(0.5)).alias("median"), F.max(value).alias("max"))
+    per = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max(value).alias("max"))
+    per = beside(per, quantiles(rows, by, value, {"median": 0.5}), by)
     return per.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*within)))
 
 
@@ -69,11 +71,6 @@ def macro(metrics: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     return metrics.groupBy(*by).agg(F.count("*").alias("n_groups"), *(f(v).alias(n) for v in values for f, n in ((F.avg, f"macro_{v}"), (F.count, f"n_{v}"))))
 
 
-def quantiles(rows: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation."""
-    return rows.groupBy(*by).agg(*(F.percentile(value, F.lit(q)).alias(n) for n, q in qs.items()))
-
-
 def missing_ranking(rows: DataFrame, cols: list[str], percent: float) -> DataFrame:
     """Features by missing rate, ties in source order; ``selected``: the first ceil(percent % of them). One pass over the rows."""
     rates = rows.agg(*(F.avg(is_missing(F.col(c).cast("double")).cast("double")).alias(c) for c in cols))

@@ -1,8 +1,8 @@
 """Threshold frontiers, average precision and choice of policies.
 
 Scores are counted by value first, so windows run over distinct scores, not rows; the running sums
-over them are taken in two steps (within score ranges, then over the ranges' totals), so no single
-task orders all scores.
+over them are taken in two steps (within ranges that follow the scores' density, then over the ranges' totals), so no
+single task orders all scores.
 """
 
 from __future__ import annotations
@@ -12,10 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import finite
 from .metrics import ratio
-
-#: Width of the score ranges in which running sums are taken apart.
-RANGE = 1 / 256
-
+from .ranges import cut
 
 def counts_by_score(df: DataFrame, by: list[str], score: str, target: str) -> DataFrame:
     """Positives and negatives of each distinct finite score."""
@@ -26,18 +23,18 @@ def counts_by_score(df: DataFrame, by: list[str], score: str, target: str) -> Da
 def frontier(df: DataFrame, by: list[str], score: str, target: str) -> DataFrame:
     """One row for each distinct score as threshold (score >= threshold is positive), and one, ``nothing``, above all scores.
 
-    Adds tp, fp, fn, tn, precision, recall, F2 and false positives in 100 rows.
+    Adds tp, fp, fn, tn, the positives ``gained`` at the score itself, precision, recall, F2 and false positives in 100 rows.
     """
-    per = counts_by_score(df, by, score, target).withColumn("__range", F.floor(F.col(score) / RANGE))
+    per = cut(counts_by_score(df, by, score, target), by, score)
     ranges = per.groupBy(*by, "__range").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))
     above = Window.partitionBy(*by).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     ranges = ranges.select(*by, "__range", F.coalesce(F.sum("rp").over(above), zero).alias("ap"), F.coalesce(F.sum("rn").over(above), zero).alias("an"))
     inside = Window.partitionBy(*by, "__range").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     run = per.withColumns({"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside)}).join(ranges, [*by, "__range"])
-    run = run.select(*by, F.col(score).alias("threshold"), F.lit(False).alias("nothing"), (F.col("tp") + F.col("ap")).alias("tp"), (F.col("fp") + F.col("an")).alias("fp"))
+    run = run.select(*by, F.col(score).alias("threshold"), F.lit(False).alias("nothing"), (F.col("tp") + F.col("ap")).alias("tp"), (F.col("fp") + F.col("an")).alias("fp"), F.col("pos").alias("gained"))
     totals = per.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.max(score).alias("__max"))
-    none = totals.select(*by, F.col("__max").alias("threshold"), F.lit(True).alias("nothing"), zero.alias("tp"), zero.alias("fp"))
+    none = totals.select(*by, F.col("__max").alias("threshold"), F.lit(True).alias("nothing"), zero.alias("tp"), zero.alias("fp"), zero.alias("gained"))
     every = run.unionByName(none)
     every = every.join(F.broadcast(totals.drop("__max")) if not by else totals.drop("__max"), by) if by else every.crossJoin(F.broadcast(totals.drop("__max")))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("positives") - F.col("tp")
@@ -50,14 +47,8 @@ def frontier(df: DataFrame, by: list[str], score: str, target: str) -> DataFrame
 def average_precision(front: DataFrame, by: list[str]) -> DataFrame:
     """Step-wise area under precision and recall, tied scores together; null if only one class occurs."""
     rows = front.filter("NOT nothing")
-    own = Window.partitionBy(*by, F.floor(F.col("threshold") / RANGE)).orderBy(F.desc("threshold"))
-    # recall gained at a threshold: the positives of that score
-    firsts = rows.groupBy(*by, F.floor(F.col("threshold") / RANGE).alias("r")).agg(F.max("tp").alias("last_tp"))
-    before = Window.partitionBy(*by).orderBy(F.desc("r"))
-    firsts = firsts.withColumn("prior", F.coalesce(F.lag("last_tp").over(before), F.lit(0)))
-    gained = rows.withColumn("r", F.floor(F.col("threshold") / RANGE)).join(firsts.drop("last_tp"), [*by, "r"]).withColumn("gain", F.col("tp") - F.coalesce(F.lag("tp").over(own), F.col("prior")))
-    ap = F.when((F.max("positives") > 0) & (F.max("negatives") > 0), F.sum(F.col("gain") / F.col("positives") * F.col("precision")))
-    return gained.groupBy(*by).agg(ap.alias("average_precision"))
+    ap = F.when((F.max("positives") > 0) & (F.max("negatives") > 0), F.sum(F.col("gained") / F.col("positives") * F.col("precision")))
+    return rows.groupBy(*by).agg(ap.alias("average_precision"))
 
 
 def choose(candidates: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

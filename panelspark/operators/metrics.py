@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import CLASSES, SHARE_RULE, is_missing
+from .ranges import quantiles
 
 POSITIVE = 3
 
@@ -133,5 +134,5 @@ def panel_summary(df: DataFrame, by: list[str], entity: str, x: str, y: str) ->
 def alert_table(df: DataFrame, entity: str, share: str, q: float = 0.7) -> DataFrame:
     """One row: entities, the exact q-quantile of their greatest share, and how many pass the fixed and the quantile threshold."""
     per = df.groupBy(entity).agg(F.max(share).alias("share")).filter(~is_missing(F.col("share")))
-    cut = per.agg(F.percentile("share", F.lit(q)).alias("cutoff"))
+    cut = quantiles(per, [], "share", {"cutoff": q})
     return per.crossJoin(F.broadcast(cut)).groupBy("cutoff").agg(F.count("*").alias("entities"), _n(F.col("share") >= SHARE_RULE).alias("fixed_alerts"), _n(F.col("share") >= F.col("cutoff")).alias("quantile_alerts"))

@@ -16,8 +16,8 @@ def running_number(rows: DataFrame, by: list[str], order: list[Column], name: st
 
 
 def changed_entities(rows: DataFrame, entity: str, date: str, label: str) -> DataFrame:
-    """Entities whose two latest labels differ, or that have one row: the population of changes. Adds to ``rows`` nothing."""
-    latest = top(rows, [entity], [F.desc(date)], 2)
+    """Rows of entities whose two latest labels differ, or that have one row: the population of changes. Of equal dates the higher label is the later."""
+    latest = top(rows, [entity], [F.desc(date), F.desc(label)], 2)
     chosen = latest.groupBy(entity).agg(F.count_distinct(label).alias("labels"), F.count("*").alias("n")).filter("labels > 1 OR n = 1")
     return rows.join(chosen.select(entity), entity, "left_semi")
 

@@ -127,7 +127,7 @@ front AS (SELECT threshold, nothing, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT
 
 @query(f'WITH {_FRONT} SELECT * REPLACE (round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f2, 6) AS f2, round(false_per_100, 6) AS false_per_100) FROM front')
 def pr_frontier(spark, d):
-    return r6(frontier.frontier(_scored(spark, d), [], "score", "target"), "precision", "recall", "f2", "false_per_100")
+    return r6(frontier.frontier(_scored(spark, d), [], "score", "target").drop("gained"), "precision", "recall", "f2", "false_per_100")
 
 
 @query(f"""WITH {_FRONT}, g AS (SELECT *, tp - coalesce(lag(tp) OVER (ORDER BY threshold DESC), 0) AS gain FROM front WHERE NOT nothing)

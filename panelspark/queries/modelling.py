@@ -51,7 +51,8 @@ def two_layer_residual(spark, d):
 
 @query()
 def out_of_fold_scores(spark, d):
-    return _evaluated(models.out_of_fold(frame(spark, d), "fold", 3, LAGGED + CURRENT, TARGETS[1:2] + TARGETS[:1] + TARGETS[2:], **SMALL), "out_of_fold")
+    """One set of parameters for all classes."""
+    return _evaluated(models.out_of_fold(frame(spark, d), "fold", 3, LAGGED + CURRENT, TARGETS, general=SMALL["general"], upper=SMALL["general"]), "out_of_fold")
 
 
 @query()
