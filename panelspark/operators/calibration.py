@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contracts import ContractError
@@ -40,14 +40,32 @@ def offset_grid(rows: DataFrame, offsets: DataFrame, scores: dict[int, str], act
     )
 
 
+def _order():
+    c = F.col
+    return [~c("ok"), c("mae"), -c("recall4"), -c("balanced"), F.abs("d3") + F.abs("d4"), c("d3"), c("d4")]
+
+
+def _judged(grid: DataFrame, within: float) -> DataFrame:
+    base = grid.filter("d3 = 0 AND d4 = 0").select(*(F.col(c).alias(f"b_{c}") for c in ("mae", "recall4", "balanced", "precision", "recall")))
+    c = F.col
+    good = (c("mae") < c("b_mae")) & (c("recall4") > c("b_recall4")) & (c("balanced") >= c("b_balanced")) & (c("precision") >= c("b_precision") - within) & (c("recall") >= c("b_recall") - within)
+    return grid.crossJoin(F.broadcast(base)).withColumn("ok", F.coalesce(good, F.lit(False))).select(*grid.columns, "ok")
+
+
+def ranked(grid: DataFrame, within: float = 0.02) -> DataFrame:
+    """Every candidate with ``ok`` and ``rank``: acceptable ones first, then by mae, recall of class 4, balanced accuracy, size and value of the offsets.
+
+    A grid has GRID_LIMIT rows at most, so one task orders it.
+    """
+    return _judged(grid, within).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*_order())))
+
+
 def accept(grid: DataFrame, within: float = 0.02) -> DataFrame:
     """The best acceptable offsets, or (0, 0): lower mae, higher recall of class 4, no worse balanced accuracy, precision and recall near those of (0, 0).
 
     Adds ``status``: accepted or identity. The grid must hold the pair (0, 0).
     """
-    base = grid.filter("d3 = 0 AND d4 = 0").select(*(F.col(c).alias(f"b_{c}") for c in ("mae", "recall4", "balanced", "precision", "recall")))
     c = F.col
-    good = (c("mae") < c("b_mae")) & (c("recall4") > c("b_recall4")) & (c("balanced") >= c("b_balanced")) & (c("precision") >= c("b_precision") - within) & (c("recall") >= c("b_recall") - within)
-    ranked = grid.crossJoin(F.broadcast(base)).withColumn("ok", F.coalesce(good, F.lit(False))).filter(c("ok") | ((c("d3") == 0) & (c("d4") == 0)))
-    best = F.min_by(F.struct("d3", "d4", "mae", "recall4", "balanced", "precision", "recall", "ok"), F.struct(~c("ok"), "mae", -c("recall4"), -c("balanced"), F.abs("d3") + F.abs("d4"), "d3", "d4"))
-    return ranked.agg(best.alias("b")).select("b.*").withColumn("status", F.when(c("ok"), "accepted").otherwise("identity")).drop("ok")
+    some = _judged(grid, within).filter(c("ok") | ((c("d3") == 0) & (c("d4") == 0)))
+    best = F.min_by(F.struct("d3", "d4", "mae", "recall4", "balanced", "precision", "recall", "ok"), F.struct(*(o.alias(f"o{k}") for k, o in enumerate(_order()))))
+    return some.agg(best.alias("b")).select("b.*").withColumn("status", F.when(c("ok"), "accepted").otherwise("identity")).drop("ok")

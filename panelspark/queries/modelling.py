@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as X
+from ..held import hold
 from ..operators import metrics, splits
-from ..plans import attribution, models, probit
+from ..plans import attribution, experiments, models, probit
+from ..plans.experiments import Task
 from .base import CUTOFF, Registry, groups, panel, r6
 
 query = Registry()
@@ -23,7 +25,7 @@ def frame(spark, d) -> DataFrame:
     rows = panel(spark, d).filter("s1 IS NOT NULL").join(groups(spark, d), "entity")
     rows = rows.withColumns({**{f"lag_{t}": F.lag(t).over(before) for t in TARGETS}, "lag_total": F.ln(F.lag("total").over(before))})
     rows = rows.withColumns({"log_total": F.ln("total"), "month_number": F.month("month").cast("double"), "split": splits.temporal(F.col("month"), CUTOFF), "fold": splits.hashed_folds(["entity"], 3)})
-    return rows.select("entity", "month", "grp", "label", "split", "fold", *TARGETS, *LAGGED, *CURRENT).cache()
+    return hold(rows.select("entity", "month", "grp", "label", "split", "fold", *TARGETS, *LAGGED, *CURRENT))
 
 
 def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +54,7 @@ def two_layer_residual(spark, d):
 @query()
 def out_of_fold_scores(spark, d):
     """One set of parameters for all classes."""
-    return _evaluated(models.out_of_fold(frame(spark, d), "fold", 3, LAGGED + CURRENT, TARGETS, general=SMALL["general"], upper=SMALL["general"]), "out_of_fold")
+    return _evaluated(models.out_of_fold(frame(spark, d), "fold", range(3), LAGGED + CURRENT, TARGETS, general=SMALL["general"], upper=SMALL["general"]), "out_of_fold")
 
 
 @query()
@@ -91,11 +93,31 @@ def severe_classifier(spark, d):
     return out.groupBy("weights", "actual", "promoted").agg(F.count("*").alias("n"))
 
 
+@query()
+def severe_classifier_residual(spark, d):
+    """The same with a second layer on the month's own features, and out of fold, each with three weightings."""
+    rows = frame(spark, d).filter("label >= 3").withColumn("severe", (F.col("label") >= 4).cast("int"))
+    train, test = _parts(rows)
+    params, out = {"maxIter": 4, "maxDepth": 3, "maxBins": 16}, None
+    for name, power in (("none", 0.0), ("root", 0.5), ("full", 1.0)):
+        for form, scored in (("residual", models.classify_residual(train, test, LAGGED, CURRENT, "severe", params, power)), ("out_of_fold", models.out_of_fold_classify(rows, "fold", range(3), LAGGED + CURRENT, "severe", params, power))):
+            one = scored.select(F.lit(form).alias("form"), F.lit(name).alias("weights"), F.col("label").alias("actual"), X.gated_promotion(F.lit(3), F.col("score"), 0.5).alias("promoted"))
+            out = one if out is None else out.unionByName(one)
+    return out.groupBy("form", "weights", "actual", "promoted").agg(F.count("*").alias("n"))
+
+
 @query()
 def classifier_grid(spark, d):
+    """24 candidates on three forward folds."""
     rows = frame(spark, d).filter("label >= 3").withColumns({"severe": (F.col("label") >= 4).cast("int"), "year": F.year("month")})
-    folds = [(F.col("year") <= y, F.col("year") == y + 1) for y in (1997, 1998)]
-    return models.select_classifier(rows, folds, LAGGED, "severe", {"maxDepth": [2, 3], "maxIter": [3]})
+    folds = [(F.col("year") <= y, F.col("year") == y + 1) for y in (1996, 1997, 1998)]
+    return models.select_classifier(rows, folds, LAGGED, "severe", {"maxDepth": [2, 3], "maxIter": [2, 3, 4], "stepSize": [0.1, 0.3], "power": [0.0, 0.5]}, workers=8)
+
+
+@query()
+def ols_residual_layer(spark, d):
+    train, test = _parts(frame(spark, d))
+    return _evaluated(models.ols_two_layer(train, test, LAGGED, CURRENT, TARGETS), "ols_two_layer")
 
 
 @query()
@@ -122,38 +144,48 @@ def perturbed_scores(spark, d):
     return metrics.change_counts(both, "before", "after")
 
 
+#: The experiments fit hundreds of regressors.
+TINY = {"general": {"maxIter": 2, "maxDepth": 2, "stepSize": 0.3, "maxBins": 16}, "upper": {"maxIter": 2, "maxDepth": 2, "stepSize": 0.2, "maxBins": 16}}
+
+
+def _panel() -> experiments.Panel:
+    return experiments.Panel(how=TINY)
+
+
+def _tasks() -> dict[str, Task]:
+    return {"forecasting": Task(tuple(LAGGED)), "nowcasting": Task(tuple(LAGGED), tuple(CURRENT)), "contemporaneous": Task((*LAGGED, *CURRENT), (), "fold", (0, 1, 2))}
+
+
 @query()
 def spatial_conditions(spark, d):
-    """An OLS ensemble with coordinates, without, and with means of neighbours: the five nearest, and those within 500 km."""
+    """Models with coordinates, without, and with means of neighbours: the five nearest, and those within 500 km; one layer and two."""
     from ..operators import spatial
 
     rows = frame(spark, d)
-    places = rows.select("entity", "lat", "lon").distinct()
-    edges = {"knn5": spatial.nearest(places, "entity", "lat", "lon", 5), "km500": spatial.within(places, places, "entity", "lat", "lon", 500.0)}
-    out = None
-    for name, (inputs, cols) in models.spatial_conditions(rows, edges, "entity", "month", LAGGED).items():
-        inputs = inputs.cache()
-        one = _evaluated(models.ols_ensemble(inputs.filter("split = 'train'"), inputs.filter("split = 'test'"), cols, ["c2", "c3", "c4", "c5"]), name)
-        out = one if out is None else out.unionByName(one)
-    return out
+    places = hold(rows.select("entity", "lat", "lon").distinct())
+    edges = {"knn5": hold(spatial.nearest(places, "entity", "lat", "lon", 5)), "km500": hold(spatial.within(places, places, "entity", "lat", "lon", 500.0))}
+    tasks = {k: t for k, t in _tasks().items() if t.fold is None}
+    return experiments.spatial(rows, edges, tasks, _panel(), workers=8)
 
 
 @query()
 def missingness_experiment(spark, d):
-    """Removing the features that are missing most: an OLS ensemble at thresholds, with status and change against none removed."""
-    from ..operators.aggregates import missing_ranking
-    from ..operators.joins import with_reference
+    """Features or groups that miss most are removed: three thresholds by two removals by three tasks by three models."""
+    return experiments.missingness(frame(spark, d), _tasks(), _panel(), workers=8)
 
-    train, test = _parts(frame(spark, d))
-    ranked = missing_ranking(train, LAGGED + CURRENT, 100.0).orderBy("rank").collect()  # one row a feature
-    out = None
-    for percent in (0, 10, 30):
-        drop = [r.feature for r in ranked][: -(-percent * len(ranked) // 100)]
-        cols = [c for c in LAGGED + CURRENT if c not in drop]
-        status, reason, scored = models.guarded("ols", lambda cols=cols: models.ols_ensemble(train, test, cols, TARGETS))
-        row = (_evaluated(scored, "ols") if scored is not None else spark.range(1).select(F.lit("ols").alias("model"))).withColumns({"percent": F.lit(percent), "removed": F.lit(",".join(drop)), "status": F.lit(status), "reason": F.lit(reason)})
-        out = row if out is None else out.unionByName(row, allowMissingColumns=True)
-    return with_reference(out, F.col("percent") == 0, ["model"], ["accuracy", "r2_share"])
+
+@query()
+def missingness_without_indicators(spark, d):
+    """The same without indicators of what was missing; of the models that have these as a choice."""
+    return experiments.missingness(frame(spark, d), _tasks(), _panel(), kinds=("ols", "probit"), indicators=False, workers=8)
+
+
+@query()
+def leave_group_out(spark, d):
+    """Each group by models of the others, over all times and strictly in time."""
+    rows = frame(spark, d)
+    every = experiments.groups_out(rows, _tasks()["forecasting"], _panel(), "ols", workers=8)
+    return every.unionByName(experiments.groups_out(rows, _tasks()["forecasting"], _panel(), "ols", CUTOFF, workers=8))
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql
