@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("panel", "joining", "grouping", "evaluating", "testing", "modelling")
+MODULES = ("panel", "joining", "grouping", "evaluating", "testing", "modelling", "publishing")
 
 
 def _each(attribute: str) -> dict:
