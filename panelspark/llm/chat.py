@@ -92,15 +92,16 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 def read_chats(chats: DataFrame) -> DataFrame:
     """Adds what the output says: ``turns`` (array of struct(role, parts: array of struct(type, text))) and ``loss_texts`` (array).
 
-    Fails on a string that isn't of this format, and on runs that don't fit it.
+    Columns of the two names are replaced, all others stay. Fails on a string that isn't of this format, and on runs that don't fit it.
     """
     tokens = F.regexp_extract_all("formatted", F.lit(_CONTROL), F.lit(0))
-    df = chats.withColumn("__tokens", tokens)
-    whole = F.array_join("__tokens", "") == F.col("formatted")
-    paired = F.arrays_zip(F.col("__tokens").alias("token"), F.col("loss_runs").alias("run"))
-    fits = (F.size("__tokens") == F.size("loss_runs")) & F.forall(paired, lambda x: F.length(x["token"]) == x["run"]["length"])
-    checked = F.when(whole & fits, F.col("__tokens")).otherwise(F.raise_error(F.lit("not a formatted conversation, or its mask doesn't fit")).cast("array<string>"))
-    df = df.withColumn("__tokens", checked).withColumn("loss_texts", F.transform(F.filter(paired, lambda x: x["run"]["loss"]), lambda x: unescape(x["token"])))
+    at = common.free_name(chats, "__tokens")
+    df = chats.withColumn(at, tokens)
+    whole = F.array_join(at, "") == F.col("formatted")
+    paired = F.arrays_zip(F.col(at).alias("token"), F.col("loss_runs").alias("run"))
+    fits = (F.size(at) == F.size("loss_runs")) & F.forall(paired, lambda x: F.length(x["token"]) == x["run"]["length"])
+    checked = F.when(whole & fits, F.col(at)).otherwise(F.raise_error(F.lit("not a formatted conversation, or its mask doesn't fit")).cast("array<string>"))
+    df = df.withColumn(at, checked).withColumn("loss_texts", F.transform(F.filter(paired, lambda x: x["run"]["loss"]), lambda x: unescape(x["token"])))
     bodies = F.slice(F.split("formatted", TURN_END, -1), 1, F.greatest(F.size(F.split("formatted", TURN_END, -1)) - 1, F.lit(0)))
 
     def part(p: Column) -> Column:
@@ -112,7 +113,7 @@ def read_chats(chats: DataFrame) -> DataFrame:
         rest = F.regexp_replace(body, r'^<turn role="[^"]*">\n', "")
         return F.struct(unescape(F.replace(name, F.lit("&quot;"), F.lit('"'))).alias("role"), F.transform(F.split(rest, PART, -1), part).alias("parts"))
 
-    return df.withColumn("turns", F.transform(bodies, parsed)).drop("__tokens")
+    return df.withColumn("turns", F.transform(bodies, parsed)).drop(at)
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
