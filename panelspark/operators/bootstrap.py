@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import numbered
+
+
+#: Slots of a draw that one row unfolds to.
+BLOCK = 10_000
+
 
 def draws(spark: SparkSession, clusters: DataFrame, cluster: str, n: int, seed: int = 0) -> DataFrame:
     """(draw, cluster, times): as many clusters as there are, drawn with replacement, n times; from hashes, so the same in every run.
 
-    Clusters are numbered once; the table has n rows for each cluster at most.
+    Clusters are numbered in ranges of their hashes, and a draw is made in blocks of slots; the table has n rows for each
+    cluster at most.
     """
-    numbered = clusters.select(cluster).distinct().withColumn("__k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(cluster)) - 1)
-    size = numbered.agg(F.count("*").alias("__size"))
-    slots = spark.range(n).select(F.col("id").alias("draw")).crossJoin(F.broadcast(size)).select("draw", "__size", F.explode(F.sequence(F.lit(0), F.col("__size") - 1)).alias("__slot"))
-    picked = slots.select("draw", F.pmod(F.xxhash64(F.lit(seed), "draw", "__slot"), F.col("__size")).cast("int").alias("__k"))
-    return picked.groupBy("draw", "__k").agg(F.count("*").alias("times")).join(numbered, "__k").drop("__k")
+    order = numbered(clusters.select(cluster).distinct(), cluster, "__k")
+    size = order.count()
+    blocks = max(1, -(-size // BLOCK))
+    first = F.col("id") % blocks * BLOCK
+    slots = spark.range(n * blocks if size else 0).select(F.floor(F.col("id") / blocks).alias("draw"), F.explode(F.sequence(first, F.least(first + BLOCK, F.lit(size)) - 1)).alias("__slot"))
+    picked = slots.select("draw", F.pmod(F.xxhash64(F.lit(seed), "draw", "__slot"), F.lit(size)).alias("__k"))
+    return picked.groupBy("draw", "__k").agg(F.count("*").alias("times")).join(order, "__k").drop("__k")
 
 
 def intervals(counts: DataFrame, drawn: DataFrame, cluster: str, statistics: dict, low: float = 0.025, high: float = 0.975) -> DataFrame:

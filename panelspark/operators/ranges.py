@@ -32,6 +32,15 @@ def cut(per: DataFrame, by: list[str], value: str, parts: int = PARTS) -> DataFr
     return beside(per, bounds, by).withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col(value)))).drop("__edges")
 
 
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds a number from 0 to each row, in the order of the key's hash; keys are distinct. No task orders all of them."""
+    cut_up = cut(rows.withColumn("__h", F.xxhash64(key)), [], "__h")
+    sizes = cut_up.groupBy("__range").agg(F.count("*").alias("__n"))  # PARTS rows at most
+    sizes = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__range")) - F.col("__n")).drop("__n")
+    own = F.row_number().over(Window.partitionBy("__range").orderBy("__h", key)) - 1
+    return cut_up.join(F.broadcast(sizes), "__range").withColumn(name, F.col("__before") + own).select(*rows.columns, name)
+
+
 def quantiles(rows: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation, by group; null and NaN are left out, and a group without values has nulls."""
     x = F.col(value).cast("double")

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from panelspark.operators import calibration, frontier, ranges
+from panelspark.operators import bootstrap, calibration, frontier, ranges
 from panelspark.plans import experiments, models
 from panelspark.sources.publish import CheckpointStore
 from pyspark.sql import functions as F
@@ -127,3 +127,16 @@ def test_all_candidates_are_ranked(spark):
     got = {(r.d3, r.d4): (r["rank"], r.ok) for r in calibration.ranked(grid).collect()}
     assert got == {(0.1, 0.0): (1, True), (0.2, 0.0): (2, True), (0.0, 0.1): (3, False), (0.0, 0.0): (4, False)}
     assert calibration.accept(grid).first().d3 == 0.1
+
+
+def test_draws_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "BLOCK", 7)
+    clusters = spark.range(40).selectExpr("cast(id as string) c").unionByName(spark.range(3).selectExpr("cast(id as string) c"))
+    one, two = (bootstrap.draws(spark, clusters, "c", 30).collect() for _ in range(2))
+    assert sorted(one) == sorted(two)
+    totals = {}
+    for r in one:
+        totals[r.draw] = totals.get(r.draw, 0) + r.times
+    assert totals == {d: 40 for d in range(30)} and {r.c for r in one} == {str(k) for k in range(40)}
+    assert bootstrap.draws(spark, clusters.limit(0), "c", 3).collect() == []
+    assert sorted(r.k for r in ranges.numbered(clusters.distinct(), "c", "k").collect()) == list(range(40))
