@@ -29,7 +29,7 @@ from . import bpe, common
 
 SEQUENCE, BATCH = 2048, 64
 #: Pieces of text that a worker remembers, in each of two generations.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 800_000
 #: ASCII punctuation: neither letters, digits nor white space to the library's split.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -73,56 +73,73 @@ class LibraryEncoder:
         """The packed ids of each text."""
         if len(self.pieces) > MEMO_ENTRIES:
             self.old_pieces, self.pieces = self.pieces, {}
-        if len(self.units) > MEMO_ENTRIES:
+        if len(self.units) > MEMO_ENTRIES // 4:
             self.old_units, self.units = self.units, {}
-        get, found, open_, ask = self.pieces.get, [], [], {}
-        for k, text in enumerate(texts):
+        get, found, words, mixed, ask = self.pieces.get, [], [], [], {}
+        for text in texts:
             if "\0" in text or any(s in text for s in self.special):
                 found.append(None)
                 continue
             parts = text.split(" ")
             values = list(map(get, parts))
             values[0] = None if text else b""
-            if None in values:
-                units = self._missing(parts, values, ask)
-                if units is None:
-                    values = None
-                else:
-                    open_.append((parts, values, units))
-            found.append(values)
-        self.units.update(zip(ask, self._ask(list(ask)), strict=True))
-        known = self.units
-        for parts, values, units in open_:
-            for at, us in units:
-                values[at] = x = b"".join(map(known.__getitem__, us))
-                if at and "\n" not in parts[at]:
-                    self.pieces[parts[at]] = x
+            found.append(values if None not in values or self._missing(parts, values, words, mixed, ask) else None)
+        got = dict(zip(ask, self._ask(list(ask)), strict=True))
+        pieces = self.pieces
+        for values, at, part, unit in words:
+            values[at] = pieces[part] = got[unit]
+        for values, at, part, units in mixed:
+            values[at] = x = b"".join([u if type(u) is bytes else got[u] for u in units])
+            if at and "\n" not in part:
+                pieces[part] = x
+            for u in units:
+                if type(u) is str:
+                    self._learn(u, got[u])
         left = [k for k, v in enumerate(found) if v is None]
         whole = dict(zip(left, self._ask([texts[k] for k in left]), strict=True))
         return [whole[k] if v is None else b"".join(v) for k, v in enumerate(found)]
 
-    def _missing(self, parts: list[str], values: list, ask: dict) -> list[tuple[int, list[str]]] | None:
-        out = []
-        for at in [k for k, v in enumerate(values) if v is None]:
+    def _learn(self, unit: str, ids: bytes) -> None:
+        """A word with a space before it is a piece like any other; the rest are units."""
+        if unit[0] == " " and unit[1:].isalnum():
+            self.pieces[unit[1:]] = ids
+        else:
+            self.units[unit] = ids
+
+    def _known(self, unit: str) -> bytes | str:
+        """The ids of a unit, or the unit itself if it isn't remembered."""
+        if unit[0] == " " and unit[1:].isalnum():
+            return self.pieces.get(unit[1:]) or self.old_pieces.get(unit[1:]) or unit
+        return self.units.get(unit) or self.old_units.get(unit) or unit
+
+    def _missing(self, parts: list[str], values: list, words: list, mixed: list, ask: dict) -> bool:
+        """Takes what an older generation has, and notes what the library must be asked; False where white space makes cuts unsafe."""
+        old, pieces = self.old_pieces.get, self.pieces
+        at = values.index(None)
+        while True:
             part = parts[at]
-            old = self.old_pieces.get(part) if at else None
-            if old is not None:
-                values[at] = self.pieces[part] = old
-                continue
-            if at and not part or not at and part[:1].isspace():
-                return None
-            units = [" " + part] if at and part.isalnum() else self.cut(" " + part if at else part)
-            if units is None:
-                return None
-            for u in units:
-                if u not in self.units:
-                    old = self.old_units.get(u)
-                    if old is not None:
-                        self.units[u] = old
-                    else:
+            x = old(part) if at else None
+            if x is not None:
+                values[at] = pieces[part] = x
+            elif at and part.isalnum():
+                unit = " " + part
+                ask[unit] = None
+                words.append((values, at, part, unit))
+            else:
+                if at and not part or not at and part[:1].isspace():
+                    return False
+                units = self.cut(" " + part if at else part)
+                if units is None:
+                    return False
+                units = [self._known(u) for u in units if u]
+                for u in units:
+                    if type(u) is str:
                         ask[u] = None
-            out.append((at, units))
-        return out
+                mixed.append((values, at, part, units))
+            try:
+                at = values.index(None, at + 1)
+            except ValueError:
+                return True
 
 
 @functools.lru_cache(1)
