@@ -149,3 +149,17 @@ def one_by_one(rows: DataFrame, key: str) -> DataFrame:
 def literal_rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
     """A small fixed table, as literals in the plan."""
     return spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, r, strict=True))) for r in rows))))
+
+
+def list_files(folder: str) -> list[tuple[str, int]]:
+    """(URI, size) of the files in a folder of the shared one: what a job wrote, so as many as its tasks."""
+    from pyarrow import fs
+
+    at, path = file_system(folder)
+    found = at.get_file_info(fs.FileSelector(path, recursive=True))
+    return sorted((f"{folder.rstrip('/')}{x.path.removeprefix(path.rstrip('/'))}", x.size) for x in found if x.is_file)
+
+
+def path_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A row (file, path) for each path, numbered from 0."""
+    return spark.createDataFrame(list(enumerate(paths)), "file int, path string")
