@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("bpe", "token_files", "licenses", "quality", "decontaminate", "simhash", "warc", "chat", "pii", "suffix_dedup", "pipeline")
+MODULES = ("bpe", "token_files", "licenses", "quality", "decontaminate", "simhash", "warc", "chat", "pii", "suffix_dedup", "fill_middle", "vector_codes", "pipeline")
 
 
 def _modules():
