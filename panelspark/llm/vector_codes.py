@@ -227,7 +227,7 @@ def _round(k: int) -> str:
     return f"""
 n{k} AS MATERIALIZED (
   SELECT vec_id, p, arg_min(i, d * 256 + i) AS i, min(d) AS d FROM (
-    SELECT vec_id, x.p, i, CAST(list_sum(list_transform(range(1, len(v) + 1), j -> (v[j] - c[j]) * (v[j] - c[j]))) AS BIGINT) AS d
+    SELECT vec_id, x.p, i, CAST(list_sum(list_transform(range(1, len(v) + 1), lambda j: (v[j] - c[j]) * (v[j] - c[j]))) AS BIGINT) AS d
     FROM parts x JOIN b{k} USING (p)) GROUP BY vec_id, p),
 m{k} AS (
   SELECT p, i, j, CAST(floor(sum(v[j]) / count(*)) AS BIGINT) AS x
@@ -240,8 +240,8 @@ b{k + 1} AS MATERIALIZED (
 ORACLE_SQL = {
     "op13_vector_codes": rf"""
 WITH kept AS (
-  SELECT vec_id, label, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 parts AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS v FROM kept, range(0, 4) r(p)),
 b0 AS MATERIALIZED (
   SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS i, v AS c
