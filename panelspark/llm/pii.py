@@ -9,10 +9,11 @@ Five labelers look at each of these: its form (expressions, check digits), what
 lengths by country, names; published examples), the words before it, the words after it, and the variety
 of its characters. Each votes yes or no, or abstains. How often each combination of votes occurs in the
 whole corpus is counted; this table has no more rows than there are combinations. On it, and for each
-kind apart, expectation-maximisation estimates the share of true spans and how often each labeler votes yes,
-no or not at all on true and on false ones. A weak prior says that yes speaks rather for a span and no
-against it. A logistic classifier over kind, votes and length is then trained on the estimated probabilities, of all
-combinations: those that don't occur have a little weight, so no vote is ever met unprepared.
+kind apart, expectation-maximisation estimates the share of true spans and how often each labeler that votes
+says yes on true and on false ones. Whether it votes says nothing, yes never speaks against a span and no never for one: a
+corpus that shows one combination only can't turn votes round. A prior worth some spans holds what the counts leave open.
+A logistic classifier over kind, votes and length is then trained on the estimated probabilities, of all
+combinations: those that don't occur have a little weight, so no vote is ever met unprepared. A span on which nobody votes isn't reported.
 
 DataFrame functions only; candidates are found and placed within each row, and nothing but the
 counts is shuffled.
@@ -80,7 +81,7 @@ SURNAMES = (
 NO_NAMES = "The This That These And But For From With When Where Who Inc Ltd Llc Corp Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April June July August September October November December Street Avenue Road Chapter Section Figure Table".split()
 #: ``before``: words before a span that speak for it; those that speak against any.
 BEFORE = {
-    "secret": r"(?i)(?:token|secret|password|passwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|auth\w*)\W{0,6}$",
+    "secret": r"(?i)(?:token|secret|password|passwd|\bkey|api_?key|access_?key|private_?key|credentials?|auth\w*)\W{0,6}$",
     "local_phone": r"(?i)(?:phone|tel|call|mobile|fax|cell|number is|reach me at|ring)\W{0,12}$",
     "ssn": r"(?i)(?:ssn|social security)\W{0,12}(?:no|number)?\W{0,4}$",
     "iban": r"(?i)(?:iban|account|bank|transfer to)\W{0,12}$",
@@ -101,12 +102,15 @@ VARIETY = {"secret": (5, 10), "local_phone": (2, 5), "ssn": (2, 5), "iban": (2,
 RUNS = r"0123456|1234567|2345678|3456789|9876543|8765432"
 VOTES = ("form", "known", "before", "after", "variety")
 NO, YES, ABSTAIN = 0, 1, 2
-#: Votes (no, yes, none) that each labeler is taken to have cast on true and on false spans before the first is counted,
-#: and true and false spans of a kind.
-PRIOR = {True: (0.5, 3.0, 2.0), False: (3.0, 0.5, 2.0)}
+#: Votes (no, yes) that each labeler is taken to have cast on true and on false spans before the first is counted, and true
+#: and false spans of a kind. A no of ``known`` (published examples, impossible lengths) is hardly ever cast on a true one.
+PRIOR = {True: (0.5, 3.0), False: (3.0, 0.5)}
+PRIOR_KNOWN = {True: (0.005, 3.0), False: (3.0, 0.5)}
 SHARE_PRIOR = (1.0, 2.0)
-#: Weight of a combination of votes that doesn't occur, in training.
-UNSEEN = 0.01
+#: So much of a kind's spans the prior of votes is worth besides, and the largest share that counts when spans are judged: votes must speak for them.
+PRIOR_SHARE, SHARE_MOST = 0.03, 0.4
+#: Weight in training that all combinations of votes share, whether they occur or not, besides that of a kind's spans.
+UNSEEN = 0.06
 #: Lengths are told apart in so many steps of so many characters.
 SIZES, SIZE_STEP = 4, 12
 SPAN = "struct<start: int, kind: int, end: int, form: int, known: int, before: int, after: int, variety: int, size: int>"
@@ -172,7 +176,10 @@ def votes(kind: str, span: Column, left: Column, right: Column) -> list[Column]:
         form = _two_sided(*(span.rlike(e) for e in FORM[kind]))
         words = F.split(span, " ")
         any_of = lambda names: F.arrays_overlap(words, F.array(*map(F.lit, names)))
-        known = _two_sided(any_of(NAMES + SURNAMES), any_of(NO_NAMES)) if kind == "person" else _two_sided(*(span.rlike(e) for e in KNOWN[kind]))
+        if kind == "person":
+            known = _two_sided(any_of(NAMES + SURNAMES), any_of(NO_NAMES))
+        else:  # a published example says no, whatever it begins with
+            known = F.when(span.rlike(KNOWN[kind][1]), NO).otherwise(_two_sided(span.rlike(KNOWN[kind][0]), F.lit(False)))
     before = _two_sided(left.rlike(BEFORE[kind]), left.rlike(NOT_BEFORE))
     after = _two_sided(right.rlike(AFTER[kind]), right.rlike(NOT_AFTER))
     if kind == "person":
@@ -261,26 +268,37 @@ JUDGED = range(len(BASE), len(KINDS))
 def estimate(counts: list[tuple], rounds: int = 100) -> tuple[dict[int, float], dict[int, np.ndarray]]:
     """EM over rows (kind, votes..., size, n), for each kind alone: share of true spans, and rates of the labelers' votes.
 
-    Rates are an array [true or false, labeler, vote]. Labelers are taken as independent given the truth; that one
-    abstains may say something too. The priors are worth a handful of spans, so with more the counts decide. Kinds
-    without any span keep the priors.
+    Rates are an array [true or false, labeler, vote]. Labelers are taken as independent given the truth, and abstain as often on
+    true spans as on false ones. If yes would be rarer on true spans than on false ones, the labeler counts as saying
+    nothing: both get the common rate. Kinds without any span keep the priors.
     """
     table = np.array(counts, "f8").reshape(-1, len(VOTES) + 3)
     shares, rates = {}, {}
-    prior = np.array([[PRIOR[c]] * len(VOTES) for c in (False, True)])
+    prior = np.array([[(PRIOR_KNOWN if v == "known" else PRIOR)[c] for v in VOTES] for c in (False, True)])
     for kind in JUDGED:
         rows = table[table[:, 0] == kind]
         said, n = rows[:, 1:-2].astype(int), rows[:, -1]
-        share, rate = SHARE_PRIOR[0] / sum(SHARE_PRIOR), prior / prior.sum(2, keepdims=True)
+        before = prior * (1 + PRIOR_SHARE * n.sum() / prior.sum(2, keepdims=True))
+        voting = np.array([(n * (said[:, j] != ABSTAIN)).sum() + 1 for j in range(len(VOTES))]) / (n.sum() + 2)
+        share, rate = SHARE_PRIOR[0] / sum(SHARE_PRIOR), _rates(before, voting)
         for _ in range(rounds if len(rows) else 0):
             p = posterior(said, share, rate)
-            seen = np.array([[[(n * q * (said[:, j] == v)).sum() for v in (NO, YES, ABSTAIN)] for j in range(len(VOTES))] for q in (1 - p, p)])
-            rate = (seen + prior) / (seen + prior).sum(2, keepdims=True)
+            seen = np.array([[[(n * q * (said[:, j] == v)).sum() for v in (NO, YES)] for j in range(len(VOTES))] for q in (1 - p, p)])
+            rate = _rates(seen + before, voting)
             share = float((n @ p + SHARE_PRIOR[0]) / (n.sum() + sum(SHARE_PRIOR)))
         shares[kind], rates[kind] = share, rate
     return shares, rates
 
 
+def _rates(votes: np.ndarray, voting: np.ndarray) -> np.ndarray:
+    """Rates [true or false, labeler, vote] from votes [true or false, labeler, no or yes] and how often each labeler votes."""
+    both = votes.sum(0)
+    given = votes / votes.sum(2, keepdims=True)
+    turned = given[1, :, YES] < given[0, :, YES]
+    given = np.where(turned[None, :, None], (both / both.sum(1, keepdims=True))[None], given)
+    return np.concatenate([given * voting[None, :, None], np.broadcast_to(1 - voting[None, :, None], (2, len(voting), 1))], 2)
+
+
 def posterior(said: np.ndarray, share: float, rate: np.ndarray) -> np.ndarray:
     """The probability that spans with these votes are true."""
     logit = np.full(len(said), np.log(share / (1 - share)))
@@ -311,13 +329,16 @@ def train(counts: list[tuple]) -> np.ndarray:
     said, size = np.repeat(every, SIZES, 0), np.tile(np.arange(SIZES), len(every))
     x, out = _features(said, size), np.zeros((len(KINDS), WEIGHTS))
     for kind in JUDGED:
-        n = np.array([seen.get((kind, *map(int, v), int(z)), 0.0) + UNSEEN for v, z in zip(said, size, strict=True)])
-        p, n, w = posterior(said, shares[kind], rates[kind]), n / n.sum(), np.zeros(WEIGHTS)
+        n = np.array([seen.get((kind, *map(int, v), int(z)), 0.0) for v, z in zip(said, size, strict=True)])
+        n = n + UNSEEN * (n.sum() + 1) / len(n)
+        p, n, w = posterior(said, min(shares[kind], SHARE_MOST), rates[kind]), n / n.sum(), np.zeros(WEIGHTS)
         for _ in range(25):
             q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             gradient = x.T @ (n * (p - q)) - 1e-5 * w
             curve = (x * (n * q * (1 - q))[:, None]).T @ x + 1e-5 * np.eye(WEIGHTS)
             w = w + np.linalg.solve(curve, gradient)
+        for j in range(len(VOTES)):  # as in the probabilities, whatever the fit leaves
+            w[1 + 3 * j + NO], w[1 + 3 * j + YES] = min(w[1 + 3 * j + NO], 0), max(w[1 + 3 * j + YES], 0)
         out[kind] = np.round(w, 6)
     return out
 
