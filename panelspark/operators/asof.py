@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import haversine_atan2
 from ..held import hold
-from .spatial import around
+from .nearby import around
 
 TIE_KM = 1e-9
 
@@ -22,11 +22,11 @@ def latest(targets: DataFrame, observations: DataFrame, by: list[str], bound: st
     """``targets`` with ``found``: the ``value`` (a struct that begins with the date) of the latest observation before ``bound``.
 
     ``inclusive`` also admits an observation at the bound. Of equal dates the greatest value is taken. Null if
-    there is none; observations with a null key or date are no one's.
+    there is none; observations with a null key or date are no one's, and targets with a null key find none.
     """
     at = F.col(bound).cast("timestamp")
     t = targets.select(*by, at.alias("__at"), F.lit(0 if not inclusive else 1).alias("__side"), F.struct("*").alias("__t"), F.lit(None).cast(observations.select(value.alias("v")).schema["v"].dataType).alias("__v"))
-    o = observations.filter(F.col(date).isNotNull()).select(*by, F.col(date).cast("timestamp").alias("__at"), F.lit(1 - (0 if not inclusive else 1)).alias("__side"), F.lit(None).cast(t.schema["__t"].dataType).alias("__t"), value.alias("__v"))
+    o = observations.dropna(subset=[*by, date]).select(*by, F.col(date).cast("timestamp").alias("__at"), F.lit(1 - (0 if not inclusive else 1)).alias("__side"), F.lit(None).cast(t.schema["__t"].dataType).alias("__t"), value.alias("__v"))
     both = t.unionByName(o).withColumn("__period", F.date_trunc(period, "__at"))
     seen = Window.partitionBy(*by, "__period").orderBy("__at", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
     merged = both.withColumn("__own", F.last("__v", ignorenulls=True).over(seen)).filter("__t IS NOT NULL")
@@ -50,7 +50,7 @@ def with_fallback(targets: DataFrame, observations: DataFrame, entity: str, date
     Every target comes back, repeated ones as often as they are; a null group has no group tier, a null date no source.
 
     Targets without history are reduced to distinct questions (group, latest date, place), which meet the observations of
-    that date in the cubes around them only.
+    that date in the leaves around them only.
     """
     inclusive = lag_months > 0
     obs = observations.select(entity, date, group, lat, lon, value)
