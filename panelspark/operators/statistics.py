@@ -21,18 +21,35 @@ def ln_gamma(x: Column) -> Column:
     return (x + 0.5) * F.ln(base) - base + F.ln(F.lit(math.sqrt(2 * math.pi)) * series / x)
 
 
-def chi2_tail(x: Column, df: Column, terms: int = 400) -> Column:
-    """P(chi-square with df degrees exceeds x), by the series of the lower incomplete gamma function.
+def _gamma_density(a: Column, z: Column) -> Column:
+    """z ** a * exp(-z) / gamma(a). For large a by Stirling's series, so that large logarithms don't cancel each other."""
+    off = (z - a) / a
+    star = 1 / (12 * a) - 1 / (360 * F.pow(a, F.lit(3.0))) + 1 / (1260 * F.pow(a, F.lit(5.0))) - 1 / (1680 * F.pow(a, F.lit(7.0)))
+    large = F.exp(a * (F.log1p(off) - off) - star) * F.sqrt(a / F.lit(2 * math.pi))
+    return F.when(a >= 10, large).otherwise(F.exp(a * F.ln(z) - z - ln_gamma(a)))
 
-    The series has all-positive terms; ``terms`` suffice for x up to about ``terms``. Beyond, the tail is 0 to
-    double precision for moderate df, and 0 is given.
+
+def chi2_tail(x: Column, df: Column) -> Column:
+    """P(chi-square with df degrees exceeds x), for any x and df > 0.
+
+    Up to the mean by the series of the lower incomplete gamma function, whose terms are all positive; beyond by the continued fraction
+    of the upper one, whose small values keep their relative precision. Both take steps in proportion to the root of df.
     """
-    a, z = df / 2.0, x / 2.0
+    a, z = df / F.lit(2.0), x / F.lit(2.0)
+    steps = F.sequence(F.lit(1), F.ceil(F.sqrt(a) * 12).cast("int") + 80)
     start = F.struct((1 / a).alias("term"), (1 / a).alias("sum"))
-    step = lambda acc, k: F.struct((acc["term"] * z / (a + k)).alias("term"), (acc["sum"] + acc["term"] * z / (a + k)).alias("sum"))
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step)["sum"]
-    lower = F.exp(-z + a * F.ln(z) - ln_gamma(a)) * total
-    return F.when(x <= 0, 1.0).when(x > terms, 0.0).otherwise(F.greatest(1 - lower, F.lit(0.0)))
+    term = lambda acc, k: acc["term"] * z / (a + k)
+    lower = F.aggregate(steps, start, lambda acc, k: F.struct(term(acc, k).alias("term"), (acc["sum"] + term(acc, k)).alias("sum")))["sum"]
+    first = z + 1 - a
+
+    def fraction(acc: Column, k: Column) -> Column:
+        top, bottom = -k * (k - a), first + 2 * k
+        d, c = 1 / (top * acc["d"] + bottom), bottom + top / acc["c"]
+        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
+
+    upper = F.aggregate(steps, F.struct(F.lit(1e300).alias("c"), (1 / first).alias("d"), (1 / first).alias("h")), fraction)["h"]
+    density = _gamma_density(a, z)
+    return F.when(x <= 0, 1.0).when(z < a + 1, F.greatest(1 - density * lower, F.lit(0.0))).otherwise(density * upper)
 
 
 def t_tail(t: Column, df: Column, steps: int = 400) -> Column:
@@ -61,8 +78,8 @@ def association(df: DataFrame, by: list[str], group: str, flag: str, least: int
     ``status``: ok, sparse (a fifth of the expected counts is under 5, or one under 1) or not_estimable.
     """
     cells = df.groupBy(*by, group).agg(F.count("*").alias("n"), F.sum(F.col(flag).cast("long")).alias("ones")).filter(F.col("n") >= least)
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    cells = cells.withColumns({"all_n": F.sum("n").over(w), "all_ones": F.sum("ones").over(w)})
+    totals = cells.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.sum("n").alias("all_n"), F.sum("ones").alias("all_ones"))
+    cells = cells.join(totals, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))) if by else cells.crossJoin(F.broadcast(totals))  # one row
     e1, e0 = F.col("n") * F.col("all_ones") / F.col("all_n"), F.col("n") * (F.col("all_n") - F.col("all_ones")) / F.col("all_n")
     chi = F.when(e1 > 0, F.pow(F.col("ones") - e1, F.lit(2.0)) / e1).otherwise(0.0) + F.when(e0 > 0, F.pow(F.col("n") - F.col("ones") - e0, F.lit(2.0)) / e0).otherwise(0.0)
     low = lambda edge: F.sum((e1 < edge).cast("int") + (e0 < edge).cast("int"))

@@ -38,6 +38,16 @@ def chi2_cramers_v(spark, d):
     return r6(statistics.association(t, ["lang"], "source", "miss", 10), "chi2", "cramers_v", "p_value")
 
 
+@query("""WITH c AS (SELECT o_custkey, count(*) AS n, sum((o_orderstatus = 'F')::INT) AS k FROM orders GROUP BY 1 HAVING count(*) >= 5), t AS (SELECT sum(n) AS nn, sum(k) AS kk, count(*) AS g FROM c),
+s AS (SELECT max(g) AS n_groups, max(nn) AS n, sum(pow(k - n * kk / nn, 2) / (n * kk / nn) + pow(n - k - n * (nn - kk) / nn, 2) / (n * (nn - kk) / nn)) AS chi2 FROM c, t)
+SELECT n_groups, CAST(n AS BIGINT) AS n, n_groups - 1 AS df, round(chi2, 6) AS chi2,
+  round(greatest(0, 1 - list_sum(list_transform(range(0, 40000), lambda k: exp((df0 / 2.0 + k) * ln(chi2 / 2) - chi2 / 2 - lgamma(df0 / 2.0 + k + 1))))), 6) AS p_value FROM (SELECT *, n_groups - 1 AS df0 FROM s)""")
+def chi2_many_groups(spark, d):
+    """One group a customer, so that statistic and degrees run into thousands."""
+    rows = table(spark, d, "orders").select("o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("f"))
+    return r6(statistics.association(rows, [], "o_custkey", "f", 5), "chi2", "p_value").select("n_groups", "n", "df", "chi2", "p_value")
+
+
 _PS = "p AS (SELECT p_size % 3 AS family, p_partkey, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE (p_partkey % 50 + 1) / 100.0::DOUBLE END AS p_value FROM part)"
 
 

@@ -224,3 +224,31 @@ def test_nearest_node_on_a_plane(spark):
         assert got[p] == (g, pytest.approx(d2))
     assert set(got) == {p for p, _, _ in points[:-2]}
     assert spatial.nearest_planar(df(points, "p"), df(nodes[:0], "g"), "p", "g", "x", "y").collect() == []
+
+
+def chi2_reference(x, df):
+    """The tail by sums of positive terms in forty digits: of a Poisson law for even df, from erfc on for odd."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 40
+    z, total = Decimal(x) / 2, Decimal(0)
+    if df % 2 == 0:
+        term = (-z).exp()
+        for k in range(df // 2):
+            total += term
+            term = term * z / (k + 1)
+        return float(total)
+    term = (-z).exp() * 2 * z.sqrt() / Decimal("3.141592653589793238462643383279502884197").sqrt()
+    for k in range(1, (df + 1) // 2):
+        total += term
+        term = term * z / (k + Decimal("0.5"))
+    return math.erfc(math.sqrt(x / 2)) + float(total)
+
+
+def test_chi2_tail_for_all_sizes(spark):
+    rows = [(float(x), d) for d in (1, 2, 3, 5, 9, 10, 19, 20, 21, 50, 99, 400, 401, 1000) for x in (0.01, 0.5, 1.0, d / 2, d - 0.5, d + 0.5, d + 1.0, d + 2.5, 1.3 * d, 2 * d + 10, 700.0)]
+    rows += [(float(d + s * math.sqrt(2 * d)), d) for d in (10_000, 100_000, 1_000_000) for s in (-4, -1, 0, 0.5, 2, 6, 12)] + [(1000.0, 1000), (450.0, 500)]
+    got = spark.createDataFrame(rows, "x double, df long").withColumn("p", statistics.chi2_tail(F.col("x"), F.col("df"))).collect()
+    for r in got:
+        want = chi2_reference(r.x, r.df)
+        assert abs(r.p - want) <= 1e-8 * want + 1e-300, (r, want)
