@@ -37,7 +37,7 @@ from . import common
 #: Bytes of a repeated string; of the strings whose hashes are keys.
 LENGTH, GRAM = 50, 24
 #: Documents of a file, and bytes of texts that a task works on together.
-FILE_ROWS, BLOCK_BYTES = 16_384, 16 << 20
+FILE_ROWS, BLOCK_BYTES = 16_384, 8 << 20
 #: Bytes of a text that are hashed together: arrays of this size stay in the processor's cache.
 PIECE_BYTES = 1 << 17
 #: Bytes of written documents for which there is one bucket.
@@ -82,17 +82,46 @@ def window_keys(data: np.ndarray, length: int, gram: int) -> np.ndarray:
     return _mixed(least)
 
 
-def key_runs(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of one text that share a key: first window, one behind the last, key. Runs end where pieces do."""
-    starts, ends, keys, whole = [], [], [], np.frombuffer(data, "u1")
-    for at in range(0, len(whole) - length + 1, PIECE_BYTES):
-        key = window_keys(whole[at : at + PIECE_BYTES + length - 1], length, gram)
-        begin = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
-        starts.append(begin + at)
-        ends.append(np.append(begin[1:], len(key)) + at)
-        keys.append(key[begin])
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return join(starts, "i8"), join(ends, "i8"), join(keys, "u8")
+def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first text, offset in it, texts): short texts in groups of some PIECE_BYTES, pieces of longer ones alone; the next piece repeats length - 1 bytes."""
+    first, size = 0, 0
+    for row, text in enumerate(texts):
+        if size and size + len(text) > PIECE_BYTES:
+            yield first, 0, texts[first:row]
+            size = 0
+        if not size:
+            first = row
+        if len(text) > PIECE_BYTES:
+            for at in range(0, len(text) - length + 1, PIECE_BYTES):
+                yield row, at, [text[at : at + PIECE_BYTES + length - 1]]
+        else:
+            size += len(text) or 1
+    if size:
+        yield first, 0, texts[first:]
+
+
+def key_runs(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of one text that share a key: number of the text, first window, one behind the last, key. Runs end where pieces do."""
+    found = [[np.zeros(0, "i4")], [np.zeros(0, "i4")], [np.zeros(0, "i4")], [np.zeros(0, "u8")]]
+    for first, offset, some in _pieces(texts, length):
+        data = np.frombuffer(b"".join(some), "u1")
+        if len(data) < length:
+            continue
+        key = window_keys(data, length, gram)
+        ends = np.cumsum(np.fromiter(map(len, some), "i8", len(some)))
+        begins = np.concatenate(([0], ends[:-1]))
+        stop = ends - length + 1  # windows from here on run into the next text
+        edge = np.zeros(len(key) + 1, bool)
+        edge[1:-1] = key[1:] != key[:-1]
+        edge[begins[begins < len(key)]] = edge[stop[(stop > 0) & (stop < len(key))]] = edge[-1] = True
+        at = np.flatnonzero(edge)
+        number = np.searchsorted(ends, at[:-1], "right")
+        inside = at[:-1] < stop[number]
+        number, start, end = number[inside], at[:-1][inside], at[1:][inside]
+        shift = offset - begins[number]
+        for out, part in zip(found, (number + first, start + shift, end + shift, key[start]), strict=True):
+            out.append(part.astype(out[0].dtype))
+    return tuple(np.concatenate(parts) for parts in found)
 
 
 def suffix_order(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,13 +230,17 @@ class Block:
     def __init__(self, ids: list[int | None], texts: list[bytes], length: int, gram: int, buckets: int):
         self.texts, self.length, self.n = texts, length, buckets
         self.owner = [LAST if i is None else i for i in ids]
-        each = [key_runs(x, length, gram) for x in texts]
-        self.row = np.repeat(np.arange(len(texts)), [len(r[0]) for r in each])
-        self.start, self.end, key = (np.concatenate([r[k] for r in each]) for k in range(3))
-        del each
-        self.keys, self.key = np.unique(key, return_inverse=True)
-        pairs = np.unique(self.key * len(texts) + self.row)
-        self.texts_of = np.bincount(pairs // len(texts), minlength=len(self.keys)) if len(pairs) else np.zeros(0, "i8")  # texts that have each key
+        self.row, self.start, self.end, key = key_runs(texts, length, gram)
+        order = np.argsort(key)
+        fresh = np.concatenate(([True], key[order[1:]] != key[order[:-1]])) if len(key) else np.zeros(0, bool)
+        self.keys, self.key, at = key[order[fresh]], np.empty(len(key), "i4"), np.flatnonzero(fresh)
+        self.key[order] = np.cumsum(fresh) - 1
+        del key
+        self.texts_of = np.ones(len(at), "i8")  # texts that have each key
+        several = np.repeat(np.diff(at, append=len(order)) > 1, np.diff(at, append=len(order)))
+        pairs = np.unique(self.key[order[several]] * np.int64(len(texts)) + self.row[order[several]]) // len(texts)
+        counted, n = np.unique(pairs, return_counts=True)
+        self.texts_of[counted] = n
         bucket = ((self.keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype("i8")
         self.bounds = np.searchsorted(bucket, np.arange(buckets + 1))
         self.bucket = bucket
@@ -349,23 +382,20 @@ def _joined(ranges: Iterator[tuple[int, int]], length: int) -> list[tuple[int, i
 
 def _spans(block: Block, runs: list, strings: dict[int, dict[bytes, list[int]]], found: dict[int, bytes]) -> list[list[tuple[int, int]]]:
     """What goes from each text of a block."""
-    bits, least, first = {}, {}, {}
+    own: dict[int, tuple] = {}  # by bucket: bits of all windows; of each string its first bit, how many are set, and its least owner
     for b, of_bucket in strings.items():
-        sizes = np.fromiter((len(s) for s in of_bucket), "i8", len(of_bucket)) - block.length + 1
+        sizes = np.fromiter(map(len, of_bucket), "i8", len(of_bucket)) - block.length + 1
         ends = np.cumsum(sizes)
-        flat = np.unpackbits(np.frombuffer(found[b], "u1"), count=int(ends[-1])).view(bool)
-        bits[b], first[b], least[b] = flat, (ends - sizes).tolist(), [x[1] for x in of_bucket.values()]
+        flat = np.unpackbits(np.frombuffer(found[b], "u1"), count=int(ends[-1]))
+        own[b] = flat, (ends - sizes).tolist(), np.add.reduceat(flat, ends - sizes, dtype="i8").tolist(), [x[1] for x in of_bucket.values()]
     ranges: list[list[tuple[int, int]]] = [[] for _ in block.texts]
+    owner = block.owner
     for row, a, z, b, number in runs:
-        if block.owner[row] > least[b][number]:
-            ranges[row].append((a, z))
-            continue
-        at = first[b][number]
-        own = bits[b][at : at + z - a]
-        if own.all():
+        flat, first, n_set, least = own[b]
+        if owner[row] > least[number] or n_set[number] == z - a:
             ranges[row].append((a, z))
-        elif own.any():
-            edges = np.flatnonzero(np.diff(own.astype("i1"), prepend=0, append=0)).tolist()
+        elif n_set[number]:
+            edges = np.flatnonzero(np.diff(flat[first[number] : first[number] + z - a].view("i1"), prepend=0, append=0)).tolist()
             ranges[row] += [(a + x, a + y) for x, y in zip(edges[::2], edges[1::2], strict=True)]
     return [_joined(iter(r), block.length) for r in ranges]
 
