@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 from panelspark.operators import bootstrap, calibration, frontier, ranges
-from panelspark.plans import experiments, models
+from panelspark.plans import boosted, experiments, least_squares, models
 from panelspark.sources.publish import CheckpointStore
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ def design(rows, cols, fills):
     return np.array(x)
 
 
-def least_squares(train, test, cols, y):
+def least_squares_of(train, test, cols, y):
     fills = {c: float(np.median([r[c] for r in train if r[c] is not None])) for c in cols}
     one = lambda x: np.column_stack([np.ones(len(x)), x])
     w = np.linalg.lstsq(one(design(train, cols, fills)), np.array(y), rcond=None)[0]
@@ -40,12 +40,12 @@ def test_least_squares_in_one_layer_and_two(frame):
     train, test = frame.filter("split = 'train'"), frame.filter("split = 'test'")
     tr, te = train.orderBy("entity").collect(), test.orderBy("entity").collect()
     got = models.ols_ensemble(train, test, ["a", "b", "c", "twice"], ["c3"]).orderBy("entity").collect()
-    want = least_squares(tr, te, ["a", "b", "c", "twice"], [r.c3 for r in tr])
+    want = least_squares_of(tr, te, ["a", "b", "c", "twice"], [r.c3 for r in tr])
     assert np.allclose([r.hat_c3 for r in got], want, atol=1e-6)
     two = models.ols_two_layer(train, test, ["a", "b"], ["c"], ["c3"])
     assert two.columns == [*test.columns, "hat_c3"]
-    rest = np.array([r.c3 for r in tr]) - least_squares(tr, tr, ["a", "b"], [r.c3 for r in tr])
-    want = least_squares(tr, te, ["a", "b"], [r.c3 for r in tr]) + least_squares(tr, te, ["c"], rest)
+    rest = np.array([r.c3 for r in tr]) - least_squares_of(tr, tr, ["a", "b"], [r.c3 for r in tr])
+    want = least_squares_of(tr, te, ["a", "b"], [r.c3 for r in tr]) + least_squares_of(tr, te, ["c"], rest)
     assert np.allclose([r.hat_c3 for r in two.orderBy("entity").collect()], want, atol=1e-6)
 
 
@@ -101,24 +101,98 @@ def test_folds_by_value_and_classifiers(frame):
     assert sorted(r["rank"] for r in ranked) == [1, 2, 3, 4] and {(r.maxDepth, r.power) for r in ranked} == {(1, 0.0), (1, 1.0), (2, 0.0), (2, 1.0)}
 
 
+TREES = boosted.Params(rounds=3, depth=2, rate=0.3, bins=31)
+
+
 def test_experiments(frame, spark, tmp_path):
     tasks = {"first": experiments.Task(("a", "b")), "folds": experiments.Task(("a", "b", "c"), (), "fold", (0, 1, 2))}
-    store = CheckpointStore(spark, f"file://{tmp_path}/cells")
-    how = {"general": {"maxIter": 1, "maxDepth": 1}, "upper": {"maxIter": 1, "maxDepth": 1}}
-    panel = experiments.Panel(how=how)
-    out = experiments.missingness(frame, tasks, panel, thresholds=(0, 30), kinds=("ols", "probit"), store=store).collect()
-    assert len(out) == 2 * 2 * 2 * 2 and {r.reason for r in out if r.status != "ok"} <= {"ordered probit did not converge"}
-    assert all(r.status == "ok" for r in out if r.model == "ols") and any(r.status == "ok" for r in out if r.model == "probit")
+    panel = experiments.Panel(general=TREES, upper=TREES)
+    out = experiments.missingness(frame, tasks, panel, thresholds=(0, 30)).collect()
+    assert len(out) == 2 * 2 * 2 * 3 and {r.reason for r in out if r.status != "ok"} <= {"ordered probit did not converge"}
+    assert all(r.status == "ok" for r in out if r.model != "probit") and any(r.status == "ok" for r in out if r.model == "probit")
     at = {(r.removal, r.percent, r.task, r.model): r for r in out}
     assert at["group", "0", "first", "ols"].accuracy == at["feature", "0", "first", "ols"].accuracy and at["group", "0", "first", "ols"].delta_accuracy == 0
     assert at["feature", "30", "first", "ols"].accuracy < at["feature", "0", "first", "ols"].accuracy or at["feature", "30", "first", "ols"].n == 48
-    assert at["feature", "0", "folds", "ols"].n == 240 and at["group", "30", "folds", "ols"].n == 120
-    again = experiments.run(spark, {("feature", 0, "first", "ols"): lambda: 1 / 0}, ["removal", "percent", "task", "model"], store).first()
-    assert again.accuracy == at["feature", "0", "first", "ols"].accuracy  # from the store
-    held = experiments.groups_out(frame, tasks["first"], panel, "ols").collect()
-    assert sorted((r.held, r.n) for r in held) == [("g", 60), ("h", 60), ("i", 60), ("j", 60)]
-    bad = experiments.missingness(frame, {"t": experiments.Task(("a",))}, panel, thresholds=(100,), kinds=("ols",)).collect()
-    assert {(r.removal, r.status) for r in bad} == {("feature", "not_estimable"), ("group", "not_estimable")}
+    assert at["feature", "0", "folds", "ols"].n == 240 and at["group", "30", "folds", "ols"].n == 120 and at["feature", "0", "folds", "boosted"].n == 240
+    for model in ("ols", "boosted"):
+        held = experiments.groups_out(frame, tasks["first"], panel, model).collect()
+        assert sorted((r.held, r.n) for r in held) == [("g", 60), ("h", 60), ("i", 60), ("j", 60)]
+    bad = experiments.missingness(frame, {"t": experiments.Task(("a",))}, panel, thresholds=(100,), kinds=("ols", "boosted")).collect()
+    assert len(bad) == 4 and {r.status for r in bad} == {"not_estimable"} and {r.reason for r in bad if r.removal == "feature"} == {"no feature is left"}
+
+
+def test_a_store_serves_only_the_same_experiment(frame, spark, tmp_path):
+    store, panel = CheckpointStore(spark, f"file://{tmp_path}/cells"), experiments.Panel(general=TREES, upper=TREES)
+    task, fitted = experiments.Task(("a", "b")), []
+    real = experiments._together
+
+    def counted(*args):
+        fitted.append(args[1])
+        return real(*args)
+
+    run = lambda rows, task, panel=panel, **how: experiments.missingness(rows, {"t": task}, panel, thresholds=(0,), kinds=("ols",), store=store, **how).first()
+    try:
+        experiments._together = counted
+        first, again = run(frame, task), run(frame, task)
+        assert first == again and len(fitted) == 1
+        other = run(frame, experiments.Task(("b",)))
+        assert len(fitted) == 2 and other.accuracy == experiments.missingness(frame, {"t": experiments.Task(("b",))}, panel, thresholds=(0,), kinds=("ols",)).first().accuracy
+        for rows, how in ((frame, {"indicators": False}), (frame.filter("entity <> 7"), {}), (frame, {"panel": experiments.Panel(general=TREES, upper=TREES, targets=("c2", "c3"))})):
+            n = len(fitted)
+            run(rows, task, **how)
+            assert len(fitted) == n + 1
+    finally:
+        experiments._together = real
+
+
+def test_null_groups_and_failures(frame, spark):
+    """A null group is a group: it isn't lost when others go, and is held out like any other; cells that can't be fitted are a status."""
+    panel, task = experiments.Panel(general=TREES, upper=TREES), experiments.Task(("a", "b"))
+    some = frame.withColumn("grp", F.when(F.col("grp") != "j", F.col("grp"))).withColumn("b", F.when(F.col("grp") == "g", None).otherwise(F.col("b")))
+    out = {(r.removal, r.percent): r.n for r in experiments.missingness(some, {"t": experiments.Task(("a", "b"), (), "fold", (0, 1, 2))}, panel, thresholds=(0, 25), kinds=("ols",)).collect()}
+    assert out["feature", "0"] == 240 and out["group", "25"] == 180
+    for model in ("ols", "boosted"):
+        held = {r.held: r for r in experiments.groups_out(some, task, panel, model).collect()}
+        assert {k: r.n for k, r in held.items()} == {"g": 60, "h": 60, "i": 60, "None": 60}
+        one = experiments.groups_out(some.filter("grp = 'g'"), task, panel, model).first()
+        assert one.status == "not_estimable" and "no training rows" in one.reason
+
+
+def test_held_out_groups_equal_single_fits(frame):
+    """Least squares by taking sums away, in one layer and two, against fits of each group on its own."""
+    rows = frame.withColumn("__id", F.col("entity"))
+    groups = "ghij"
+    parts = [least_squares.Part(f"{g}{n}", F.col("grp") != g, F.col("grp") == g, ("a", "b"), second) for g in groups for n, second in ((1, ()), (2, ("c", "b")))]
+    hats, reasons = least_squares.fit_score(rows, parts, ["c3", "c4"], "__id")
+    got = {(r.part, r["__id"]): (r.hat_c3, r.hat_c4) for r in hats.collect()}
+    assert not reasons and len(got) == 2 * 240
+    for g in groups:
+        tr, te = (rows.filter(F.col("grp") != g).orderBy("entity").collect(), rows.filter(F.col("grp") == g).orderBy("entity").collect())
+        for k, y in enumerate(("c3", "c4")):
+            true = np.array([r[y] for r in tr])
+            one = least_squares_of(tr, te, ["a", "b"], true)
+            assert np.allclose([got[f"{g}1", r.entity][k] for r in te], one, atol=1e-8)
+            rest = true - least_squares_of(tr, tr, ["a", "b"], true)
+            assert np.allclose([got[f"{g}2", r.entity][k] for r in te], one + least_squares_of(tr, te, ["c", "b"], rest), atol=1e-8)
+
+
+def test_boosted_layers_equal_single_fits(frame):
+    panel = experiments.Panel(general=TREES, upper=TREES, targets=("c2", "c3"))
+    rows = frame.withColumn("__id", F.col("entity"))
+    parts = [least_squares.Part(g, F.col("grp") != g, F.col("grp") == g, ("a", "b"), second) for g, second in (("g", ("c",)), ("h", ()))]
+    got = {(r.part, r["__id"]): (r.hat_c2, r.hat_c3) for r in experiments.boosted_scores(rows, parts, panel, "__id").collect()}
+    assert len(got) == 120
+    array = lambda some, cols: np.array([[np.nan if r[c] is None else r[c] for c in cols] for r in some])
+    for g, second in (("g", True), ("h", False)):
+        tr, te = ([r for r in rows.orderBy("entity").collect() if (r.grp == g) == test] for test in (False, True))
+        for k, t in enumerate(("c2", "c3")):
+            y = np.array([r[t] for r in tr])
+            one = boosted.fit(array(tr, "ab"), y, np.ones(len(y)), TREES)
+            want = boosted.predict(array(te, "ab"), one, TREES)
+            if second:
+                rest = y - boosted.predict(array(tr, "ab"), one, TREES)
+                want = want + boosted.predict(array(te, "c"), boosted.fit(array(tr, "c"), rest, np.ones(len(y)), TREES), TREES)
+            assert np.allclose([got[g, r.entity][k] for r in te], want, atol=1e-9)
 
 
 def test_all_candidates_are_ranked(spark):
