@@ -1,7 +1,7 @@
 """The rules of the license scan: expressions over lower-case words between single spaces.
 
 A rule is (label, tier, keyword, expression). The keyword is a word that stands in every text in which
-the rule can match, nearly always in the match itself; the rule is tried where its keyword is a word of the text. A form
+the rule can match; the rule is tried where its keyword is a word of the text. A form
 without a common word is a rule of its own. The order of the rules settles ties.
 """
 
@@ -13,16 +13,19 @@ CONFIDENCE = {SPDX: 1.0, TEXT: 0.98, GRANT: 0.95, VERSIONED: 0.9, NAMED: 0.75, S
 
 Rule = tuple[str, int, str, str]
 
-#: Parts that expressions share: license in both spellings, an SPDX tag, and the words that grant.
+#: Parts that expressions share: license in both spellings, an SPDX tag, the words that grant, and words of licensing, beside which
+#: names count that other things have too.
 L = "licen[cs]e"
 TAG = "spdx licen[cs]e identifier"
 G = "(?:licen[cs]ed|released|distributed|available|published|provided|covered|offered) (?:under|by)(?: the)?(?: terms(?: and conditions)? of)?(?: the)?(?: gnu)?"
 
+B = "(?:(?:sub)?licen[cs](?:e[ds]?|ing)|copyright(?:ed)?|under|terms)"
+
 PERMISSIVE: list[Rule] = [
     ("apache-1.0", SPDX, "spdx", f"{TAG} apache 1 0"),
     ("apache-1.1", SPDX, "spdx", f"{TAG} apache 1 1"),
     ("apache-2.0", SPDX, "spdx", f"{TAG} apache 2 0(?: with llvm exception)?"),
-    ("apache", TEXT, "apache", "you may not use this file except in compliance with the license"),
+    ("apache", TEXT, "compliance", "you may not use this file except in compliance with the license"),
     ("apache-2.0", TEXT, "apache", f"apache {L} version 2 0 january 2004(?: http www apache org licenses)?"),
     ("apache-1.1", TEXT, "apache", "this product includes software developed by the apache software foundation"),
     ("apache-2.0", TEXT, "contributor", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
@@ -39,7 +42,8 @@ PERMISSIVE: list[Rule] = [
     ("apache-2.0", VERSIONED, "asl2", "asl2"),
     ("apache", NAMED, "apache", f"apache(?: software)? {L}"),
     ("apache", NAMED, "opensource", "opensource org licenses apache 2 0"),
-    ("apache", SHORT, "apache", "apache"),
+    ("apache", SHORT, "apache", f"{B} (?:[^ ]+ ){{0,2}}apache"),
+    ("apache", SHORT, "apache", f"apache (?:[^ ]+ ){{0,2}}{B}"),
     ("mit", SPDX, "spdx", f"{TAG} mit"),
     ("mit-0", SPDX, "spdx", f"{TAG} mit 0"),
     ("mit", TEXT, "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
@@ -87,7 +91,8 @@ PERMISSIVE: list[Rule] = [
     ("bsd", NAMED, "bsd", f"bsd(?: style)? {L}"),
     ("bsd", NAMED, "berkeley", f"berkeley software distribution(?: {L})?"),
     ("bsd-3-clause", NAMED, "opensource", "opensource org licenses bsd(?: 3 clause| license)"),
-    ("bsd", SHORT, "bsd", "bsd"),
+    ("bsd", SHORT, "bsd", f"{B} (?:[^ ]+ ){{0,2}}bsd"),
+    ("bsd", SHORT, "bsd", f"bsd (?:[^ ]+ ){{0,2}}{B}"),
     ("isc", SPDX, "spdx", f"{TAG} isc"),
     ("isc", TEXT, "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("isc", GRANT, "isc", f"{G} isc(?: {L})?"),
@@ -98,7 +103,8 @@ PERMISSIVE: list[Rule] = [
     ("zlib", TEXT, "misrepresented", "the origin of this software must not be misrepresented"),
     ("zlib", GRANT, "zlib", f"{G} zlib(?: libpng)?(?: {L})?"),
     ("zlib", NAMED, "zlib", f"zlib(?: libpng)? {L}"),
-    ("zlib", SHORT, "zlib", "zlib"),
+    ("zlib", SHORT, "zlib", f"{B} (?:[^ ]+ ){{0,2}}zlib"),
+    ("zlib", SHORT, "zlib", f"zlib (?:[^ ]+ ){{0,2}}{B}"),
     ("libpng", NAMED, "libpng", f"libpng {L}"),
     ("boost-1.0", SPDX, "spdx", f"{TAG} bsl 1 0"),
     ("boost-1.0", TEXT, "boost", f"boost software {L} version 1 0 august 17th 2003"),
@@ -280,7 +286,8 @@ WEAK_COPYLEFT: list[Rule] = [
     ("mpl-2.0", VERSIONED, "mozilla", "mozilla org (?:en us )?mpl 2 0"),
     ("mpl", NAMED, "mozilla", f"mozilla public {L}"),
     ("mpl", NAMED, "mpl", f"mpl {L}"),
-    ("mpl", SHORT, "mpl", "mpl"),
+    ("mpl", SHORT, "mpl", f"{B} (?:[^ ]+ ){{0,2}}mpl"),
+    ("mpl", SHORT, "mpl", f"mpl (?:[^ ]+ ){{0,2}}{B}"),
     ("epl-1.0", SPDX, "spdx", f"{TAG} epl 1 0"),
     ("epl-2.0", SPDX, "spdx", f"{TAG} epl 2 0"),
     ("epl", TEXT, "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license"),

@@ -64,12 +64,14 @@ def keywords_in(words: Column) -> Column:
 
 
 def hits(words: Column, keywords: Column) -> Column:
-    """Of a text's keywords, those with a rule that matches: one literal expression for each keyword."""
-    tests = []
-    for k, tried in sorted(_by_keyword().items()):
-        any_rule = between_words("|".join(f"(?:{expr})" for _, _, expr, _, _ in tried))
-        tests.append(F.when(F.array_contains(keywords, k) & words.rlike(any_rule), F.lit(k)))
-    return F.array_compact(F.array(*tests))
+    """Of a text's keywords, those with a rule that matches: one expression for each keyword.
+
+    The expressions are a literal array that one call goes through. A call for each of them would be compiled code for well over a
+    hundred searches in one method, whose compilation takes memory beside the heap.
+    """
+    tried = [{"k": k, "e": between_words("|".join(f"(?:{expr})" for _, _, expr, _, _ in some))} for k, some in sorted(_by_keyword().items())]
+    every = F.from_json(F.lit(json.dumps(tried)), "array<struct<k: string, e: string>>")
+    return F.transform(F.filter(every, lambda t: F.array_contains(keywords, t["k"]) & F.rlike(words, t["e"])), lambda t: t["k"])
 
 
 def places(words: Column, expr: Column) -> Column:

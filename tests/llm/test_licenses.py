@@ -140,7 +140,7 @@ def every_rule(text):
 
 LONG_NAMES = {
     "GNU Library General Public License version 2": "gpl,lgpl-2.0", "Common Development and Distribution License 1.0": "cddl-1.0", "European Union Public Licence 1.2": "eupl-1.2",
-    "do what the fuck you want to public": "wtfpl", "Creative Commons Zero": "cc0", "you may not use this file except in compliance with the license": "", "Apache: you may not use this file except in compliance with the License": "apache",
+    "do what the fuck you want to public": "wtfpl", "Creative Commons Zero": "cc0", "you may not use this file except in compliance with the license": "apache", "Apache: you may not use this file except in compliance with the License": "apache",
 }
 
 
@@ -151,3 +151,10 @@ def test_every_alternative_matches_by_itself(spark):
     for k, t in enumerate(texts):
         want = every_rule(t)
         assert (got[k].labels, got[k].score, [tuple(d) for d in got[k].detections or []]) == want[5:], t
+
+
+def test_words_that_name_other_things(spark):
+    """A bare name counts beside a word of licensing only; the sentence of a header counts by itself."""
+    texts = {"I went to the Apache reservation": "", "the MPL of BSD Zlib": "", "the license of Apache": "apache", "Apache, as a license": "apache", "under the usual BSD": "bsd", "you may not use this file except in compliance with the License": "apache"}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("copy", F.col("text"))
+    assert {r["copy"]: r.labels for r in licenses.scan(docs, "text").collect()} == texts
