@@ -51,11 +51,6 @@ def average_precision(front: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(ap.alias("average_precision"))
 
 
-def choose(candidates: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """The best candidate of each group, by an order that ends in a key. As one aggregate where there is no group."""
-    return candidates.withColumn("__rank", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order))).filter("__rank = 1").drop("__rank")
-
-
 def policy(front: DataFrame, by: list[str]) -> DataFrame:
     """The threshold with the best F2, then recall, precision, fewest false positives, fewest positives, highest threshold.
 
@@ -68,6 +63,31 @@ def policy(front: DataFrame, by: list[str]) -> DataFrame:
     return best.select(*by, "best.*", F.when(F.coalesce(F.col("best.tp"), F.lit(0)) > 0, "effective").otherwise("no_effective_threshold").alias("outcome"))
 
 
+def ordered_policies(front: DataFrame, candidate: str, order: list[str]) -> DataFrame:
+    """One row for each candidate of a ``frontier`` by ``candidate``: its own best threshold, and whether it is the ``primary`` choice of all.
+
+    Thresholds are compared as in ``policy``; between candidates that are level so far, the earlier of ``order`` comes first, then the
+    higher threshold. If no threshold of any candidate gains a positive, ``status`` is no_effective_rescue: every candidate stays at the row
+    above all its scores, which changes nothing, and none is primary. Candidates outside ``order`` are left out; one of ``order`` without rows
+    has none here. The choice over candidates takes a row for each; their thresholds are never gathered.
+    """
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(candidate))
+    known = front.filter(place > 0)
+    worth = lambda *last: F.struct(F.coalesce("f2", F.lit(0.0)), F.coalesce("recall", F.lit(0.0)), F.coalesce("precision", F.lit(0.0)), -F.col("fp"), -(F.col("tp") + F.col("fp")), *last)
+    row = F.struct("threshold", "nothing", "tp", "fp", "fn", "tn", "precision", "recall", "f2")
+    own = known.groupBy(candidate).agg(F.max_by(row, worth("threshold", ~F.col("nothing"))).alias("best"), F.max_by(row, F.col("nothing")).alias("none"), F.max("tp").alias("__gain"))
+    whole = own.agg(F.max("__gain").alias("__any"), F.max_by(candidate, F.struct(worth_of("best"), -place, F.col("best.threshold"))).alias("__first"))
+    effective = F.coalesce(F.col("__any"), F.lit(0)) > 0
+    chosen = own.crossJoin(F.broadcast(whole)).withColumn("p", F.when(effective, F.col("best")).otherwise(F.col("none")))  # one row
+    return chosen.select(candidate, "p.*", F.when(effective, "selected").otherwise("no_effective_rescue").alias("status"), (effective & (F.col(candidate) == F.col("__first"))).alias("primary"))
+
+
+def worth_of(policy: str) -> Column:
+    """What policies of different candidates are compared by before their order."""
+    at = lambda c: F.col(f"{policy}.{c}")
+    return F.struct(F.coalesce(at("f2"), F.lit(0.0)), F.coalesce(at("recall"), F.lit(0.0)), F.coalesce(at("precision"), F.lit(0.0)), -at("fp"), -(at("tp") + at("fp")))
+
+
 def stability(df: DataFrame, year: Column, score: str, target: str, threshold: float) -> DataFrame:
     """Counts at a threshold, pooled (null year) and by year."""
     hit = F.col(score) >= threshold

@@ -142,6 +142,29 @@ def policy_select(spark, d):
     return r6(frontier.policy(frontier.frontier(_scored(spark, d), [], "score", "target"), []), "precision", "recall", "f2")
 
 
+_CANDIDATES = """cand AS (SELECT 'coarse' AS candidate, round(n_chars / 20000, 1) AS score, quality AS target FROM documents JOIN labels USING (doc_id) UNION ALL
+  SELECT 'fine', least(1.0::DOUBLE, round(n_chars / 20000, 3)), quality FROM documents JOIN labels USING (doc_id) UNION ALL
+  SELECT 'same', 2 * least(1.0::DOUBLE, round(n_chars / 20000, 3)), quality FROM documents JOIN labels USING (doc_id) UNION ALL
+  SELECT 'reversed', -n_chars::DOUBLE, quality FROM documents JOIN labels USING (doc_id)),
+per AS (SELECT candidate, score AS threshold, sum(target) AS pos, count(*) - sum(target) AS neg FROM cand GROUP BY 1, 2), tot AS (SELECT candidate, sum(pos) AS positives, sum(neg) AS negatives, max(threshold) AS mx FROM per GROUP BY 1),
+run AS (SELECT candidate, threshold, false AS nothing, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM per WINDOW w AS (PARTITION BY candidate ORDER BY threshold DESC) UNION ALL SELECT candidate, mx, true, 0, 0 FROM tot),
+front AS (SELECT candidate, threshold, nothing, tp, fp, tp / nullif(tp + fp, 0) AS "precision", tp / nullif(positives, 0) AS recall, 5 * tp / nullif(5 * tp + 4 * (positives - tp) + fp, 0) AS f2 FROM run JOIN tot USING (candidate)),
+best AS (SELECT *, list_position(['same', 'fine', 'coarse', 'reversed'], candidate) AS place FROM front QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY coalesce(f2, 0) DESC, coalesce(recall, 0) DESC, coalesce("precision", 0) DESC, fp, tp + fp, threshold DESC, nothing) = 1)"""
+
+
+@query(f"""WITH {_CANDIDATES} SELECT candidate, round(threshold, 6) AS threshold, nothing, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(f2, 6) AS f2, 'selected' AS status,
+  row_number() OVER (ORDER BY coalesce(f2, 0) DESC, coalesce(recall, 0) DESC, coalesce("precision", 0) DESC, fp, tp + fp, place, threshold DESC) = 1 AS "primary" FROM best""")
+def policies_in_order(spark, d):
+    """Four candidates: two with the same frontier under different scores, so that their order decides, a coarser one and a reversed one."""
+    rows = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id")
+    n = F.col("n_chars") / 20000
+    fine = F.least(F.lit(1.0), F.round(n, 3))
+    scores = F.array(*(F.struct(F.lit(c).alias("candidate"), s.alias("score")) for c, s in (("coarse", F.round(n, 1)), ("fine", fine), ("same", 2 * fine), ("reversed", -F.col("n_chars").cast("double")))))
+    front = frontier.frontier(rows.select(F.inline(scores), F.col("quality").alias("target")), ["candidate"], "score", "target")
+    out = frontier.ordered_policies(front, "candidate", ["same", "fine", "coarse", "reversed"])
+    return r6(out.select("candidate", "threshold", "nothing", "tp", "fp", "f2", "status", "primary"), "threshold", "f2")
+
+
 @query(f"WITH {_SCORED} SELECT round(-avg(target * ln(p) + (1 - target) * ln(1 - p)), 6) AS log_loss FROM (SELECT target, least(greatest(score, 1e-15), 1 - 1e-15) AS p FROM scored)")
 def log_loss(spark, d):
     return r6(_scored(spark, d).agg(metrics.log_loss("target", "score").alias("log_loss")), "log_loss")

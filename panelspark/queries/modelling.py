@@ -178,19 +178,19 @@ def spatial_conditions(spark, d):
     places = hold(rows.select("entity", "lat", "lon").distinct())
     edges = {"knn5": hold(spatial.nearest(places, "entity", "lat", "lon", 5)), "km500": hold(spatial.within(places, places, "entity", "lat", "lon", 500.0))}
     tasks = {k: t for k, t in _tasks().items() if t.fold is None}
-    return experiments.spatial(rows, edges, tasks, _panel(ROUNDS), workers=8)
+    return experiments.spatial(rows, edges, tasks, _panel(ROUNDS))
 
 
 @query()
 def missingness_experiment(spark, d):
     """Features or groups that miss most are removed: three thresholds by two removals by three tasks by three models."""
-    return experiments.missingness(frame(spark, d), _tasks(), _panel(ROUNDS), workers=8)
+    return experiments.missingness(frame(spark, d), _tasks(), _panel(ROUNDS))
 
 
 @query()
 def missingness_without_indicators(spark, d):
     """The same without indicators of what was missing; of the models that have these as a choice."""
-    return experiments.missingness(frame(spark, d), _tasks(), _panel(), kinds=("ols", "probit"), indicators=False, workers=8)
+    return experiments.missingness(frame(spark, d), _tasks(), _panel(), kinds=("ols", "probit"), indicators=False)
 
 
 @query()

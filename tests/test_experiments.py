@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 from panelspark.operators import bootstrap, calibration, frontier, ranges
-from panelspark.plans import boosted, experiments, least_squares, models
+from panelspark.plans import boosted, experiments, least_squares, models, probit
 from panelspark.sources.publish import CheckpointStore
 from pyspark.sql import functions as F
 
@@ -214,3 +214,35 @@ def test_draws_in_blocks(spark, monkeypatch):
     assert totals == {d: 40 for d in range(30)} and {r.c for r in one} == {str(k) for k in range(40)}
     assert bootstrap.draws(spark, clusters.limit(0), "c", 3).collect() == []
     assert sorted(r.k for r in ranges.numbered(clusters.distinct(), "c", "k").collect()) == list(range(40))
+
+
+def test_policies_in_an_order(spark):
+    rows = [(c, s, t) for c in ("x", "y") for s, t in ((0.9, 1), (0.8, 0), (0.7, 1), (0.1, 0))] + [("z", 0.5, 0), ("z", 0.4, 1), ("w", 0.5, 1)]
+    front = frontier.frontier(spark.createDataFrame(rows, "c string, s double, t int"), ["c"], "s", "t")
+    for order, primary in ((["x", "y", "z"], "x"), (["z", "y", "x"], "y")):
+        got = {r.c: r for r in frontier.ordered_policies(front, "c", order).collect()}
+        assert set(got) == {"x", "y", "z"} and {c for c, r in got.items() if r.primary} == {primary} and {r.status for r in got.values()} == {"selected"}
+        assert (got["x"].threshold, got["y"].threshold, got["z"].threshold) == (0.7, 0.7, 0.4)
+    none = spark.createDataFrame([(c, s, 0) for c in "xy" for s in (0.2, 0.9)], "c string, s double, t int")
+    got = frontier.ordered_policies(frontier.frontier(none, ["c"], "s", "t"), "c", ["x", "y"]).collect()
+    assert [(r.status, r.primary, r.nothing, r.threshold) for r in got] == [("no_effective_rescue", False, True, 0.9)] * 2
+    assert frontier.ordered_policies(front, "c", ["other"]).collect() == []
+
+
+def test_many_probits_equal_single_fits(frame):
+    rows = frame.withColumn("__id", F.col("entity"))
+    parts = [least_squares.Part(g, F.col("grp") != g, F.col("grp") == g, cols) for g, cols in (("g", ("a", "b")), ("h", ("a", "b", "c", "twice")), ("i", ("a",)))]
+    parts.append(least_squares.Part("none", F.lit(False), F.lit(True), ("a",)))
+    got, reasons, fitted = probit.fit_score_many(rows, parts, "label", 5, "__id")
+    assert reasons == {"none": "no training rows"}
+    got = {(r.part, r["__id"]): r.predicted for r in got.collect()}
+    for p in parts[:3]:
+        train, test = rows.filter(p.train), rows.filter(p.test)
+        fills = models.medians(train, list(p.cols))
+        (tr, inputs), (te, _) = models.filled(train, fills), models.filled(test, fills)
+        te, keep = models.standardised(te, tr, inputs)
+        tr, _ = models.standardised(tr, tr, inputs)
+        keep = models.independent(tr, keep)
+        cuts, beta = probit.fit(tr, keep, "label", 5)
+        assert np.allclose(fitted[p.name][0], cuts, atol=1e-6) and np.allclose(fitted[p.name][1], beta, atol=1e-6)
+        assert {r.entity: r.predicted for r in probit.predict(te, keep, cuts, beta).collect()} == {i: v for (n, i), v in got.items() if n == p.name}

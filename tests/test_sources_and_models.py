@@ -36,6 +36,34 @@ def test_publish_restores_what_it_replaced(spark, tmp_path):
     assert spark.read.parquet(f"{at}/a").count() == 3 and publish.read_json(spark, f"{at}/manifest.json") == first
 
 
+def test_a_failing_manifest_restores_everything(spark, tmp_path, monkeypatch):
+    at = str(tmp_path / "pub")
+    first = publish.publish(spark, {"a": spark.range(3).toDF("x")}, at)
+    real = publish._move
+
+    def stop(session, fs, src, dst, retries):
+        if src.endswith("manifest.json") and ".stage" in src:
+            raise OSError("no")
+        real(session, fs, src, dst, retries)
+
+    monkeypatch.setattr(publish, "_move", stop)
+    with pytest.raises(OSError):
+        publish.publish(spark, {"a": spark.range(9).toDF("x"), "b": spark.range(1).toDF("x")}, at)
+    assert publish.read_json(spark, f"{at}/manifest.json") == first and spark.read.parquet(f"{at}/a").count() == 3 and not (tmp_path / "pub" / "b").exists()
+    publish.require_bundle(spark, at)
+
+
+def test_a_stop_while_saving_leaves_the_old_checkpoint(spark, tmp_path, monkeypatch):
+    store = publish.CheckpointStore(spark, str(tmp_path / "cp"))
+    store.save("f", spark.range(5).toDF("x"), {"seed": 1})
+    with monkeypatch.context() as m:
+        m.setattr(publish, "write_json", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+        with pytest.raises(OSError):
+            store.save("f", spark.range(7).toDF("x"), {"seed": 2})
+    assert store.load("f", {"seed": 1}).count() == 5 and store.load("f", {"seed": 2}) is None
+    assert store.get("f", {"seed": 2}, lambda: spark.range(7).toDF("x")).count() == 7 and store.load("f", {"seed": 1}) is None
+
+
 def test_checkpoints_are_reused_only_for_the_same_manifest(spark, tmp_path):
     store, made = publish.CheckpointStore(spark, str(tmp_path / "cp")), []
     make = lambda: (made.append(1), spark.range(5).toDF("x"))[1]
