@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as X
-from ..operators import splits, windows
+from ..operators import ranges, splits, windows
 from ..sources import table
 from .base import CUTOFF, PANEL, PREDICTIONS, Registry, label_sql, panel, predictions, r6
 
@@ -215,9 +215,12 @@ def union_blocks(spark, d):
     return windows.stacked([a, b])
 
 
-@query("SELECT CAST(x AS INTEGER) AS depth, rate, penalty FROM range(1, 7) t(x), (SELECT unnest([0.05::DOUBLE, 0.1::DOUBLE]) AS rate), (SELECT unnest([1.0::DOUBLE, 10.0::DOUBLE]) AS penalty)")
+@query("""WITH q AS (SELECT quantile_cont(l_discount, [0.25, 0.5, 0.75]) AS v FROM lineitem)
+SELECT CAST(x AS INTEGER) AS depth, rate, round(penalty, 6) AS penalty FROM range(1, 7) t(x), (SELECT unnest([0.05::DOUBLE, 0.1::DOUBLE]) AS rate), (SELECT DISTINCT unnest(v) AS penalty FROM q)""")
 def param_grid(spark, d):
-    return windows.grid(spark, depth=[1, 2, 3, 4, 5, 6], rate=[0.05, 0.1], penalty=[1.0, 10.0])
+    """A grid one of whose axes are quartiles of a column."""
+    found = ranges.quantiles(table(spark, d, "lineitem"), [], "l_discount", {"a": 0.25, "b": 0.5, "c": 0.75}).first()
+    return r6(windows.grid(spark, depth=[1, 2, 3, 4, 5, 6], rate=[0.05, 0.1], penalty=sorted({found.a, found.b, found.c})), "penalty")
 
 
 @query(f"WITH {PREDICTIONS} SELECT CAST(sum((p2 < 0 OR p2 > 1)::INT + (p3 < 0 OR p3 > 1)::INT + (p4 < 0 OR p4 > 1)::INT + (p5 < 0 OR p5 > 1)::INT) AS BIGINT) AS cells_outside, CAST(sum((p2 < p3 OR p3 < p4 OR p4 < p5)::INT) AS BIGINT) AS rows_not_monotone FROM (SELECT p2 * 1.01 - 0.002 AS p2, p3, p4 + 0.01 AS p4, p5 FROM predictions)")
