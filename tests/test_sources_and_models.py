@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from panelspark import contracts, sources
 from panelspark.plans import attribution, models, probit
-from panelspark.sources import publish
+from panelspark.sources import digests, publish
 from panelspark.streaming import previous_values, windowed_panel
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,3 +116,22 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert sorted((r.entity, r.value, r.previous) for r in spark.table("prev").collect()) == [(1, 1.0, None), (1, 2.0, 1.0), (2, 7.0, None)]
     assert sorted((r.user_id, r.n) for r in windowed_panel(batch, ["user_id"], "ts", "value").collect()) == [(1, 2), (2, 1)]
+
+
+def test_differences_are_found_from_the_top_down(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("id", "cast(id % 7 as int) a", "case when id % 5 > 0 then 'x' || id end b")
+    changed = rows.filter("id <> 77").selectExpr("id", "case when id = 5 then 99 else a end a", "case when id = 10 then 'new' when id = 6 then null else b end b").unionByName(spark.sql("select -1L id, 0 a, 'y' b"))
+    at = [str(tmp_path / n) for n in ("one", "two", "same")]
+    for df, folder in zip((rows, changed, rows.repartition(7)), at, strict=True):
+        digests.write_digested(df, ["id"], folder)
+    got = {(r.id, r.status, r.columns) for r in digests.differences(spark, at[0], at[1], ["id"]).collect()}
+    assert got == {(77, "only_left", ""), (-1, "only_right", ""), (5, "changed", "a"), (10, "changed", "b"), (6, "changed", "b")}
+    assert digests.differing_ranges(spark, at[0], at[2]) == [] and digests.differences(spark, at[0], at[2], ["id"]).count() == 0
+    ranges = digests.differing_ranges(spark, at[0], at[1])
+    assert 1 <= len(ranges) <= 5
+    plan = digests.differences(spark, at[0], at[1], ["id"])._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "__range" in plan.split("PushedFilters")[1][:200]
+    with pytest.raises(contracts.ContractError):
+        digests.write_digested(rows.unionByName(rows.limit(1)), ["id"], str(tmp_path / "bad"))
+    with pytest.raises(contracts.ContractError):
+        digests.write_digested(rows.unionByName(spark.sql("select null id, 0 a, 'y' b")), ["id"], str(tmp_path / "bad"))
