@@ -52,6 +52,15 @@ def csv_round_trip(spark, d):
     return read_csv(spark, at, T.StructType([T.StructField("s_suppkey", T.LongType()), T.StructField("s_name", T.StringType()), T.StructField("s_acctbal", T.DoubleType())]))
 
 
+@query("SELECT o_orderkey, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders", dates=("o_orderdate",))
+def csv_dates_pruned(spark, d):
+    """Three of five columns, dates among them, with declared types; the scan reads no others."""
+    rows, at = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.to_date("o_orderdate").alias("o_orderdate"), "o_orderpriority"), _folder(spark)
+    publish.formatted(rows, {"o_totalprice": "%.17g"}).write.csv(at, header=True)
+    kinds = {"o_orderkey": T.LongType(), "o_orderstatus": T.StringType(), "o_totalprice": T.DoubleType(), "o_orderdate": T.DateType(), "o_orderpriority": T.StringType()}
+    return read_csv(spark, at, T.StructType([T.StructField(c, k) for c, k in kinds.items()]), ["o_orderkey", "o_totalprice", "o_orderdate"])
+
+
 @query("SELECT n_name, CAST(row_number() OVER (ORDER BY n_nationkey) + 1 AS INT) AS source_row FROM nation")
 def csv_provenance(spark, d):
     """Each row's place in its file; the header is row 1."""

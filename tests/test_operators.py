@@ -252,3 +252,9 @@ def test_chi2_tail_for_all_sizes(spark):
     for r in got:
         want = chi2_reference(r.x, r.df)
         assert abs(r.p - want) <= 1e-8 * want + 1e-300, (r, want)
+
+
+def test_rows_in_an_order_of_categories(spark):
+    rows = spark.createDataFrame([("low", 2), ("high", 1), ("mid", 3), ("low", 1), ("high", 0)], "c string, v int").repartition(3)
+    got = [tuple(r) for r in windows.ordered_by_category(rows, "c", ["high", "mid", "low"], [F.desc("v")]).collect()]
+    assert got == [("high", 1), ("high", 0), ("mid", 3), ("low", 2), ("low", 1)]
