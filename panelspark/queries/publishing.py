@@ -69,6 +69,17 @@ def csv_provenance(spark, d):
     return read_csv_text(spark, at).select("n_name", "source_row")
 
 
+@query("""SELECT o_orderkey, 'by ' || CAST(o_custkey AS VARCHAR) || chr(10) || '"' || o_orderpriority || '", ' || o_orderstatus AS note,
+  CAST(row_number() OVER (PARTITION BY o_orderkey // 3000 ORDER BY o_orderkey) + 1 AS INT) AS source_row FROM orders""")
+def csv_places(spark, d):
+    """Places in files that are cut into splits, with quotes and line ends in fields; a file has the orders of 3,000 keys."""
+    note = F.concat(F.lit("by "), F.col("o_custkey").cast("string"), F.lit('\n"'), "o_orderpriority", F.lit('", '), "o_orderstatus")
+    rows, at = table(spark, d, "orders").select("o_orderkey", note.alias("note"), F.expr("o_orderkey div 3000").alias("part")), _folder(spark)
+    rows.repartition("part").sortWithinPartitions("part", "o_orderkey").write.partitionBy("part").csv(at, header=True, escape='"')
+    back = read_csv_text(spark, f"{at}/*", split_bytes=65536)
+    return back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "note", "source_row")
+
+
 @query("SELECT o_orderpriority AS name, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1")
 def json_round_trip(spark, d):
     """Counts of a few classes, written as JSON and read again as parameters."""

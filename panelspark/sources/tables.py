@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import strip_bom
+from .records import read_records
 
-__all__ = ["read_config", "read_csv", "read_csv_text", "read_excel_pairs", "table"]
+__all__ = ["read_config", "read_csv", "read_csv_text", "read_excel_pairs", "read_records", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,16 +26,17 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, cols: list[st
     return df.select(*cols) if cols else df
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
     """CSV as text, with the file of each row and its place in it (the header is row 1), and no byte-order mark.
 
-    Places are exact per file: the lines of a file are numbered by their byte offsets' order, so a file is read as a
-    whole (multiLine) by one task; files are read in parallel.
+    Places are exact however files are cut into splits (see ``read_records``). All files have the first one's columns;
+    short rows end in nulls, and what a row has beyond them is left out.
     """
-    df = strip_bom(spark.read.csv(path, header=True, multiLine=True, inferSchema=False))
-    return df.withColumn("source_file", F.col("_metadata.file_name")).withColumn("__id", F.monotonically_increasing_id()).withColumn(
-        "source_row", F.expr("row_number() over (partition by source_file order by __id) + 1")
-    ).drop("__id")
+    names = strip_bom(spark.read.csv(path, header=True, multiLine=True, inferSchema=False, escape='"')).columns
+    kind = ", ".join(f"c{i} string" for i in range(len(names)))
+    records = read_records(spark, path, split_bytes).filter("source_row > 1")
+    fields = records.withColumn("__row", F.from_csv("text", kind, {"escape": '"', "lineSep": "\n", "maxCharsPerColumn": "-1"}))
+    return fields.select(*(F.col(f"__row.c{i}").alias(c) for i, c in enumerate(names)), "source_file", F.col("source_row").cast("int").alias("source_row"))
 
 
 def read_config(spark: SparkSession, path: str) -> dict:
