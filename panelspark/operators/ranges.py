@@ -41,6 +41,16 @@ def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
     return cut_up.join(F.broadcast(sizes), "__range").withColumn(name, F.col("__before") + own).select(*rows.columns, name)
 
 
+def ranked(rows: DataFrame, by: list[str], key: str, name: str) -> DataFrame:
+    """Adds a number from 0 to each row of a group, in the order of a numeric key that is distinct there; rows without a key go."""
+    per = cut(rows.filter(F.col(key).isNotNull()), by, key)
+    in_group = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__range")  # PARTS rows at most
+    sizes = per.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    sizes = sizes.withColumn("__before", F.sum("__n").over(in_group) - F.col("__n")).drop("__n")
+    own = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(key)) - 1
+    return beside(per.withColumn("__own", own), sizes, [*by, "__range"]).withColumn(name, F.col("__before") + F.col("__own")).select(*rows.columns, name)
+
+
 def quantiles(rows: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation, by group; null and NaN are left out, and a group without values has nulls."""
     x = F.col(value).cast("double")

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contracts import ContractError
+from ..held import hold
+from . import ranges
+
+#: Entities that a seeded, sequential draw is made from: ranks of so many take 1.6 GB of one task. Rows that it hands on at once.
+PERMUTED, CHUNK = 1 << 27, 65_536
 
 
 def temporal(month: Column, cutoff: str) -> Column:
@@ -59,20 +67,70 @@ def year_split(month: Column) -> Column:
     return F.when(y.between(F.col("first_year"), F.col("last_train_year")), "train").when(y == F.col("test_year"), "test").otherwise("excluded")
 
 
-def shuffled_folds(ids: list, k: int, seed: int = 0) -> list[int]:
-    """Fold of each id (sorted order): a seeded shuffle cut into k contiguous blocks, the first ones one longer."""
-    order = np.arange(len(ids))
+def _folds(n: int, k: int, seed: int) -> np.ndarray:
+    order = np.arange(n)
     np.random.RandomState(seed).shuffle(order)
-    fold = np.empty(len(ids), "i8")
+    fold = np.empty(n, "i4")
     for number, block in enumerate(np.array_split(order, k)):
         fold[block] = number
-    return fold.tolist()
+    return fold
+
+
+def shuffled_folds(ids: list, k: int, seed: int = 0) -> list[int]:
+    """Fold of each id (sorted order): a seeded shuffle cut into k contiguous blocks, the first ones one longer."""
+    return _folds(len(ids), k, seed).tolist()
+
 
+def _bounded(n: int) -> int:
+    if n > PERMUTED:
+        raise ContractError(f"a seeded draw from {n} entities: more than {PERMUTED}; hashed_folds and stratified_sample have no such bound")
+    return n
 
-def entity_folds(spark: SparkSession, ids: list, k: int, seed: int = 0, name: str = "entity") -> DataFrame:
-    """A table (entity, fold) for a list of entities that the driver holds; ``hashed_folds`` is for more."""
-    ids = sorted(set(ids))
-    return spark.createDataFrame(list(zip(ids, shuffled_folds(ids, k, seed), strict=True)), f"{name} long, fold int")
+
+def entity_folds(entities: DataFrame, entity: str, k: int, seed: int = 0) -> DataFrame:
+    """A table (entity, fold): folds as a seeded shuffle of the sorted distinct ids gives them, cut into k blocks.
+
+    Ids are numeric and are ranked by ranges, nulls left out. The generator is sequential, so one task shuffles ranks, not rows,
+    12 bytes for each of PERMUTED at most; beyond, an error. Fewer ids than folds are an error too, but for no ids at all.
+    """
+    ids = hold(ranges.ranked(entities.select(entity).distinct(), [], entity, "__rank"))
+    n = _bounded(ids.count())
+    if 0 < n < k:
+        raise ContractError(f"{n} entities for {k} folds")
+
+    def shuffle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for one in frames:
+            fold = _folds(n, k, seed) if len(one) else []
+            for at in range(0, len(fold), CHUNK):
+                part = fold[at : at + CHUNK]
+                yield pd.DataFrame({"__rank": np.arange(at, at + len(part)), "fold": part})
+
+    return ids.join(entities.sparkSession.range(0, 1, 1, 1).mapInPandas(shuffle, "__rank long, fold int"), "__rank").select(entity, "fold")
+
+
+def seeded_sample(entities: DataFrame, entity: str, group: str, sizes: DataFrame, seed: int = 0) -> DataFrame:
+    """``quota`` entities of each group, those that a seeded generator picks without replacement, group after group in their order.
+
+    Ids are numeric and distinct within a group; groups of no quota draw nothing, null groups and ids are left out. One task draws
+    ranks for a row a group, from PERMUTED entities of a group at most; the ids meet their ranks in a join.
+    """
+    ids = hold(ranges.ranked(entities.select(group, entity).dropna().distinct(), [group], entity, "__rank"))
+    asked = ids.groupBy(group).agg(F.count("*").alias("__n")).join(sizes.select(group, F.col("quota").cast("long").alias("__quota")), group)
+    if (odd := asked.filter("__quota > __n").first()) is not None:
+        raise ContractError(f"{odd['__quota']} of {odd['__n']} entities of {odd[group]}")
+    _bounded(asked.agg(F.max("__n")).first()[0] or 0)
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = np.random.default_rng(seed)
+        for one in frames:
+            for g, n, quota in zip(one[group], one["__n"], one["__quota"], strict=True):
+                picked = rng.choice(int(n), size=int(quota), replace=False)
+                for at in range(0, len(picked), CHUNK):
+                    yield pd.DataFrame({group: g, "__rank": picked[at : at + CHUNK]})
+
+    kind = entities.select(group).schema.add("__rank", "long")
+    drawn = asked.filter("__quota > 0").repartition(1).sortWithinPartitions(group).mapInPandas(draw, kind)
+    return ids.join(drawn, [group, "__rank"]).select(entity, group)
 
 
 def hashed_folds(key: list[str], k: int, seed: int = 0) -> Column:

@@ -98,6 +98,26 @@ def stratified_sample_sizes(spark, d):
     return splits.stratified_sample(g, "entity", "grp", sizes).groupBy("grp").agg(F.count("*").alias("n"))
 
 
+@query("""WITH n AS (SELECT count(DISTINCT o_custkey) AS n FROM orders), f AS (SELECT CAST(unnest(range(5)) AS INT) AS fold)
+SELECT fold, n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END AS n_entities, CAST(1 AS BIGINT) AS folds_of_an_entity FROM f, n""")
+def entity_folds(spark, d):
+    """Five folds of the customers with orders: blocks of a seeded shuffle, and each customer in one."""
+    folds = splits.entity_folds(table(spark, d, "orders"), "o_custkey", 5)
+    of_one = folds.groupBy("o_custkey").agg(F.count("*").alias("k"), F.first("fold").alias("fold"))
+    return of_one.groupBy("fold").agg(F.count("*").alias("n_entities"), F.max("k").alias("folds_of_an_entity"))
+
+
+@query(f"""WITH {PANEL}, s AS (SELECT grp, count(*) AS n FROM groups GROUP BY grp), t AS (SELECT *, (100 - count(*) OVER ()) * (n - 1) / sum(n - 1) OVER () AS exact, count(*) OVER () AS g FROM s),
+u AS (SELECT *, row_number() OVER (ORDER BY exact - floor(exact) DESC, grp) AS rank, 100 - g - sum(floor(exact)) OVER () AS rest FROM t)
+SELECT grp, CAST(least(n, 1 + floor(exact) + CASE WHEN rank <= rest THEN 1 ELSE 0 END) AS BIGINT) AS n_drawn, CAST(0 AS BIGINT) AS n_of_other_groups FROM u""")
+def seeded_sample(spark, d):
+    """A hundred entities, drawn by a seeded generator in the groups' quotas: as many as asked for, each of its own group."""
+    g = groups(spark, d)
+    drawn = splits.seeded_sample(g, "entity", "grp", splits.quotas(g.groupBy("grp").agg(F.count("*").alias("n")), "grp", "n", 100))
+    own = drawn.join(g.select("entity", F.col("grp").alias("own")), "entity")
+    return own.groupBy("grp").agg(F.countDistinct("entity").alias("n_drawn"), F.count_if(F.col("own") != F.col("grp")).alias("n_of_other_groups"))
+
+
 _GAPS = "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS f1, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS f2, o_totalprice AS f3, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE 1.0 END AS f4 FROM orders"
 
 
