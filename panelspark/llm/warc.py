@@ -30,6 +30,8 @@ SAMPLE_PAGES, SAMPLE_CHARS, DICT_BYTES = 200, 8192, 32_768
 #: Bytes after which a writer starts another archive, and bytes of the runs of records that readers take.
 ARCHIVE_BYTES, RUN_BYTES = 256 << 20, 4 << 20
 LEVEL = 6
+#: So many payloads, those with most copies, are told to every task (some 150 bytes each), which then leaves out their revisits in place.
+COPIED = 100_000
 
 
 class BadArchive(ValueError):
@@ -160,9 +162,17 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     others revisits of it. A null page counts as empty; rows that repeat the least id are responses all;
     null ids rank last (records without a number). Other columns are not written.
 
-    Which rows are responses is settled on ids and digests; only responses move with their payload, by payload and
-    id, so a payload that very many pages share is no task's burden.
+    Which rows are responses is settled on ids and digests. Payloads stay where they are read as long as COPIED payloads at
+    most have copies. With more, pages of the others are matched with the revisits by payload and id, for which they move;
+    revisits of the COPIED payloads never move with a payload. Inner tables go when the archives are written.
     """
+    with common.scratch(pages.sparkSession) as keep:
+        runs, path = _write_archives(pages, folder, page_id, url, html, least_bytes, date)
+        keep(path)
+    return runs
+
+
+def _write_archives(pages: DataFrame, folder: str, page_id: str, url: str, html: str, least_bytes: int, date: str) -> tuple[DataFrame, str]:
     spark = pages.sparkSession
     common.small_batches(spark)
     common.make_dir(folder)
@@ -173,12 +183,16 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     short = F.col("n_bytes") < least_bytes
     firsts = slim.groupBy("payload_key").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("first"), F.count("*").alias("n"))
     firsts, _ = common.written(firsts, "payloads")
-    total = slim.count()
-    beside = common.spread_join(slim.filter(~short), firsts, "payload_key", "n", total).filter(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+    copied = firsts.filter("n > 1")
+    beside = common.spread_join(slim.filter(~short), copied, "payload_key", "n", slim.count()).filter(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
     revisits = beside.select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha1", "n_bytes", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"))
-    first_key = lambda page: F.concat_ws(":", "payload_key", F.coalesce(page.cast("string"), F.lit("-")))
-    chosen = common.spread_join(rows.filter(~short).withColumn("key", first_key(F.col("page_id"))), firsts.select(first_key(F.col("first.page_id")).alias("key"), "n"), "key", "n", total)
-    responses = rows.filter(short).unionByName(chosen.drop("key")) if least_bytes > 0 else chosen
+    top, _ = common.written(copied.orderBy(F.desc("n"), "payload_key").limit(COPIED).select("payload_key", F.col("first.page_id").alias("first_id"), F.lit(True).alias("told")), "copied")
+    responses = rows.join(F.broadcast(top), "payload_key", "left").filter(short | F.col("told").isNull() | F.col("page_id").eqNullSafe(F.col("first_id")))
+    if copied.count() > COPIED:
+        row_key = F.concat_ws(":", "payload_key", F.coalesce(F.col("page_id").cast("string"), F.lit("-")))
+        others = beside.join(F.broadcast(top.select("payload_key")), "payload_key", "left_anti").select(row_key.alias("key"))
+        unsettled = ~short & F.col("told").isNull()
+        responses = responses.filter(~unsettled).unionByName(responses.filter(unsettled).withColumn("key", row_key).join(others, "key", "left_anti").drop("key"))
     responses = responses.select("page_id", "url", "html", "sha1", "n_bytes", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
     planned = responses.unionByName(revisits)
 
@@ -209,7 +223,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         names = ["path", "offset", "length", "records"]
         yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in runs], pa.schema({"path": pa.string(), "offset": pa.int64(), "length": pa.int64(), "records": pa.int64()}))
 
-    return common.written(planned.mapInArrow(write, "path string, offset long, length long, records long"), "warc-runs")[0]
+    return common.written(planned.mapInArrow(write, "path string, offset long, length long, records long"), "warc-runs")
 
 
 READ_KIND = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"

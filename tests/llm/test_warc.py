@@ -24,8 +24,9 @@ def want(rows, least):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("least, hot", [(0, 100_000), (30, 100_000), (0, 5), (30, 5)])
-def test_round_trip(spark, monkeypatch, least, hot):
+@pytest.mark.parametrize("least, hot, copied", [(0, 100_000, 100_000), (30, 100_000, 2), (0, 5, 1), (30, 5, 0), (30, 5, 100)])
+def test_round_trip(spark, monkeypatch, least, hot, copied):
+    monkeypatch.setattr(warc, "COPIED", copied)
     monkeypatch.setattr(common, "HOT_ROWS", hot)
     monkeypatch.setattr(common, "HOT_KEYS", 10)
     monkeypatch.setattr(warc, "RUN_BYTES", 400)
@@ -65,6 +66,34 @@ def test_broken_records_are_found():
         warc.read_dictionary(pa.BufferReader(warc.dictionary_frame(b"x" * 40)[:20]))
 
 
+def shuffled(node):
+    """Output columns of each shuffle in a physical plan."""
+    if node.nodeName().startswith("AdaptiveSparkPlan"):
+        return shuffled(node.executedPlan())
+    below = [x for k in range(node.children().size()) for x in shuffled(node.children().apply(k))]
+    return below + ([node.output().mkString(",")] if node.nodeName() == "Exchange" else [])
+
+
+def test_payloads_stay_in_place_and_inner_tables_go(spark, monkeypatch, tmp_path):
+    """No plan that writes archives shuffles html, and nothing but archives and their runs is left."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    plans, real = [], common.written
+
+    def written(df, what):
+        plans.append((what, shuffled(df._jdf.queryExecution().executedPlan())))
+        return real(df, what)
+
+    monkeypatch.setattr(common, "written", written)
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # so that only what is marked is broadcast
+    try:
+        assert warc.write_archives(pages, common.fresh_path(spark, "warc")).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(len(found) for what, found in plans) > 0 and [found for what, found in plans if any("html" in x for x in found)] == []
+    assert sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == ["warc", "warc-runs"]
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(pages, common.fresh_path(spark, "warc"))).collect() == []
