@@ -12,7 +12,7 @@ from .. import contracts
 from .. import functions as X
 from ..held import shared_dir
 from ..operators import joins
-from ..sources import digests, publish, read_config, read_csv, read_csv_text, table
+from ..sources import archive, digests, publish, read_config, read_csv, read_csv_text, table
 from .base import Registry
 
 query = Registry()
@@ -119,6 +119,18 @@ def bundle_view(spark, d):
     return publish.view(bundle, "region", {"r_regionkey": "region", "r_name": "name"})
 
 
+@query("""WITH o AS (SELECT o_orderkey || ',' || o_custkey || ',' || o_orderpriority || chr(10) AS line, o_orderkey AS k FROM orders), n AS (SELECT n_nationkey || ',' || n_name || chr(10) AS line, n_nationkey AS k FROM nation),
+t AS (SELECT 'orders' AS t, 'o_orderkey,o_custkey,o_orderpriority' || chr(10) AS head, * FROM o UNION ALL SELECT 'nation', 'n_nationkey,n_name' || chr(10), * FROM n),
+m AS (SELECT 'Data/' || t || '.csv' AS name, count(*) AS n_rows, head || string_agg(line, '' ORDER BY k) AS data FROM t GROUP BY t, head) SELECT name, n_rows, CAST(strlen(data) AS BIGINT) AS n_bytes, sha256(data) AS sha256 FROM m""")
+def archived(spark, d):
+    """Two tables in one archive; its manifest holds for what a plain reader finds in it."""
+    tables = {"orders": table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "nation": table(spark, d, "nation").select("n_nationkey", "n_name")}
+    at = _folder(spark) + ".zip"
+    manifest = archive.write_archive(spark, tables, at, {"orders": ["o_orderkey"], "nation": ["n_nationkey"]}, "Data")
+    archive.require_archive(at, manifest)
+    return manifest.select("name", "n_rows", "n_bytes", "sha256")
+
+
 _CHANGED = "SELECT c_custkey, c_acctbal + CASE WHEN c_custkey % 7 = 0 THEN (c_custkey % 3) / 4.0::DOUBLE ELSE 0 END AS c_acctbal, CASE WHEN c_custkey % 11 <> 0 THEN c_nationkey END AS c_nationkey FROM customer"
 
 

@@ -9,7 +9,7 @@ import pytest
 from panelspark import queries as core
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["panel_shares", "wide_labels_flagged", "strict_group_holdout", "nullsafe_compare", "asof_own_history", "knn5_neighbors", "two_level_population", "hamilton_quotas", "panel_evaluation", "class_metrics", "pr_frontier", "offset_acceptance", "cluster_bootstrap_ci", "bh_adjust", "holm_adjust", "chi2_cramers_v", "asof_fallback_persistence", "slot_imputation", "nearest_grid_point", "quantile_bounds", "group_spread", "q70_alert_flags", "average_precision", "csv_round_trip", "published_tables", "recomputed", "contracts_hold", "csv_provenance", "csv_places", "entity_folds", "seeded_sample"]
+NAMES = ["panel_shares", "wide_labels_flagged", "strict_group_holdout", "nullsafe_compare", "asof_own_history", "knn5_neighbors", "two_level_population", "hamilton_quotas", "panel_evaluation", "class_metrics", "pr_frontier", "offset_acceptance", "cluster_bootstrap_ci", "bh_adjust", "holm_adjust", "chi2_cramers_v", "asof_fallback_persistence", "slot_imputation", "nearest_grid_point", "quantile_bounds", "group_spread", "q70_alert_flags", "average_precision", "csv_round_trip", "published_tables", "recomputed", "contracts_hold", "csv_provenance", "csv_places", "entity_folds", "seeded_sample", "archived"]
 
 
 @pytest.fixture(scope="module")
