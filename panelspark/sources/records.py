@@ -2,7 +2,8 @@
 
 Each split of a file counts its quotes, and the records that begin in it for both states that it may begin in, inside
 quotes or outside. A scan over the splits of each file settles the states and the numbers of the first records; then the
-splits are read once more, each on its own. Only records that cross a split are put together by a shuffle.
+splits are read again, each on its own, for whole records and for pieces. Only records that cross a split are put together
+by a shuffle.
 """
 
 from __future__ import annotations
