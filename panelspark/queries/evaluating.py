@@ -97,7 +97,7 @@ def change_counts(spark, d):
 @query(f"WITH {PREDICTIONS}, e AS ({evaluation_sql('predictions', 'grp')}) SELECT grp, round(abs(accuracy + recall + \"precision\" + r2_share), 4) AS tuning_score FROM e")
 def tuning_scores(spark, d):
     out = metrics.tuning_score(r6(metrics.evaluate(predictions(spark, d), ["grp"]), *_METRICS))
-    return out.select("grp", F.round("tuning_score", 4).alias("tuning_score"))
+    return out.select("grp", X.round_away(F.col("tuning_score"), 4).alias("tuning_score"))
 
 
 @query(f"WITH {PREDICTIONS} SELECT grp, round((count(*) FILTER (WHERE (actual >= 3) = (predicted >= 3))) / count(*), 6) AS accuracy FROM predictions GROUP BY grp")
@@ -115,7 +115,7 @@ def panel_summary(spark, d):
 
 def _scored(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
-    return docs.join(table(spark, d, "labels"), "doc_id").select(F.least(F.lit(1.0), F.round(F.col("n_chars") / 20000, 3)).alias("score"), F.col("quality").alias("target"), "doc_id")
+    return docs.join(table(spark, d, "labels"), "doc_id").select(F.least(F.lit(1.0), X.round_away(F.col("n_chars") / 20000, 3)).alias("score"), F.col("quality").alias("target"), "doc_id")
 
 
 _SCORED = "scored AS (SELECT least(1.0::DOUBLE, round(n_chars / 20000, 3)) AS score, quality AS target, doc_id FROM documents JOIN labels USING (doc_id))"
@@ -158,8 +158,8 @@ def policies_in_order(spark, d):
     """Four candidates: two with the same frontier under different scores, so that their order decides, a coarser one and a reversed one."""
     rows = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id")
     n = F.col("n_chars") / 20000
-    fine = F.least(F.lit(1.0), F.round(n, 3))
-    scores = F.array(*(F.struct(F.lit(c).alias("candidate"), s.alias("score")) for c, s in (("coarse", F.round(n, 1)), ("fine", fine), ("same", 2 * fine), ("reversed", -F.col("n_chars").cast("double")))))
+    fine = F.least(F.lit(1.0), X.round_away(n, 3))
+    scores = F.array(*(F.struct(F.lit(c).alias("candidate"), s.alias("score")) for c, s in (("coarse", X.round_away(n, 1)), ("fine", fine), ("same", 2 * fine), ("reversed", -F.col("n_chars").cast("double")))))
     front = frontier.frontier(rows.select(F.inline(scores), F.col("quality").alias("target")), ["candidate"], "score", "target")
     out = frontier.ordered_policies(front, "candidate", ["same", "fine", "coarse", "reversed"])
     return r6(out.select("candidate", "threshold", "nothing", "tp", "fp", "f2", "status", "primary"), "threshold", "f2")

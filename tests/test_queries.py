@@ -35,6 +35,20 @@ def test_against_sql(spark, duck, name):
     assert _rows(df.collect(), df.columns, names) == _rows(cur.fetchall(), names, names)
 
 
+def test_ties_round_as_in_sql(spark, duck, tmp_path):
+    """0.5055 times 1000 lies below the tie; Spark's own round goes by the decimal's digits."""
+    docs = ", ".join(f"({k}, {n})" for k, n in enumerate((10110, 10230, 10350, 1010, 10, 9990, 500)))
+    duck.execute(f"copy (select * from (values {docs}) t(doc_id, n_chars)) to '{tmp_path}/documents.parquet'")
+    duck.execute(f"copy (select k::int AS doc_id, (k % 2)::int AS quality from range(7) t(k)) to '{tmp_path}/labels.parquet'")
+    own = duckdb.connect()
+    for name in ("documents", "labels"):
+        own.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    df = core.queries()["pr_frontier"](spark, str(tmp_path))
+    cur = own.execute(core.oracle_sql()["pr_frontier"])
+    names = [c[0] for c in cur.description]
+    assert _rows(df.collect(), df.columns, names) == _rows(cur.fetchall(), names, names)
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(core.oracle_sql()) <= set(core.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
