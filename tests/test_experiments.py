@@ -246,3 +246,22 @@ def test_many_probits_equal_single_fits(frame):
         cuts, beta = probit.fit(tr, keep, "label", 5)
         assert np.allclose(fitted[p.name][0], cuts, atol=1e-6) and np.allclose(fitted[p.name][1], beta, atol=1e-6)
         assert {r.entity: r.predicted for r in probit.predict(te, keep, cuts, beta).collect()} == {i: v for (n, i), v in got.items() if n == p.name}
+
+
+def test_candidates_share_what_a_fold_needs(spark, monkeypatch):
+    """Medians once for each training set, fewer rounds as the first trees of more, and the scores of single fits."""
+    rows = spark.range(400).selectExpr("id", "IF(id % 7 = 0, NULL, id % 13) * 1.0 AS a", "id % 5 * 1.0 AS b", "CAST((id * 7919 % 101) % 3 = 0 OR id % 13 > 8 AS INT) AS severe", "id % 3 AS fold")
+    train, test = rows.filter("fold > 0"), rows.filter("fold = 0")
+    settings = {f"r{n}_{p}": ({"maxIter": n, "maxDepth": 2}, p) for n in (1, 2, 3) for p in (0.0, 1.0)}
+    asked, medians = [], models.medians
+    monkeypatch.setattr(models, "medians", lambda train, cols: asked.append(1) or medians(train, cols))
+    many = {r.id: r for r in models.classify_many(train, test, ["a", "b"], "severe", settings).collect()}
+    assert len(asked) == 1
+    for name in ("r1_0.0", "r2_1.0", "r3_1.0"):
+        params, power = settings[name]
+        one = {r.id: r.score for r in models.classify(train, test, ["a", "b"], "severe", params, power).collect()}
+        assert one.keys() == many.keys() and all(abs(one[k] - many[k][name]) < 1e-12 for k in one)
+    asked.clear()
+    folds = [(F.col("fold") < 2, F.col("fold") == 2), (F.col("fold") > 0, F.col("fold") == 0)]
+    ranked = models.select_classifier(rows, folds, ["a", "b"], "severe", {"maxDepth": [1, 2], "maxIter": [1, 2], "power": [0.0, 1.0]}).collect()
+    assert len(asked) == len(folds) and len(ranked) == 8 and all(0 < r.average_precision <= 1 and r.log_loss > 0 for r in ranked)
