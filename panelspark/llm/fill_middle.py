@@ -1,6 +1,7 @@
 """Fill-in-the-middle transformation: texts are cut at two token boundaries and their parts reordered behind sentinels.
 
-Tokens are what the tokenizers library's Split pre-tokenizer isolates with PATTERN; its offsets count code points. Their
+Tokens are what the tokenizers library's Split pre-tokenizer isolates with PATTERN; its offsets count code points. It is given
+ALONE, which isolates the same tokens with half the matches, as it gives what stands between matches as tokens too. Their
 number gives n, and offsets of the ranks that are drawn give the cuts; no vocabulary is needed. Draws come from a digest of
 seed and document id, so they are the same in every run and for every order of rows.
 
@@ -11,8 +12,10 @@ cut, joined and put back together by DataFrame functions.
 from __future__ import annotations
 
 import functools
+import gc
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-PATTERN = "[A-Za-z]+|[^A-Za-z]"
+PATTERN, ALONE = "[A-Za-z]+|[^A-Za-z]", "[^A-Za-z]"
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Percentages of texts that stay plain, and of the others that put the suffix first.
 PLAIN_FROM, SPM_BELOW, SEED = 90, 20, 1
@@ -34,7 +37,7 @@ _CUT = re.compile("(?<![A-Za-z])|(?=[^A-Za-z])")
 def _splitter():
     from tokenizers import Regex, pre_tokenizers
 
-    return pre_tokenizers.Split(Regex(PATTERN), "isolated")
+    return pre_tokenizers.Split(Regex(ALONE), "isolated")
 
 
 def pieces(text: str) -> Iterator[tuple[int, str]]:
@@ -61,16 +64,36 @@ def draws(doc_id: str | Column, seed: int = SEED) -> list[Column]:
     return [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)]
 
 
+def cuts_of(text: str, h1: int, h2: int) -> tuple[int, int, int]:
+    """Number of tokens and, for two draws, where prefix and middle end; of a text in one piece only two tokens' offsets are read."""
+    if len(text) <= PIECE:
+        tokens = _splitter().pre_tokenize_str(text)
+        n, end = len(tokens), lambda k: tokens[k - 1][1][1]
+    else:
+        ends = token_ends(text)
+        n, end = len(ends), lambda k: int(ends[k - 1])
+    low, high = sorted((h1 % (n + 1), h2 % (n + 1)))
+    return n, end(low) if low else 0, end(high) if high else 0
+
+
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without Python's search for cycles: tokens are tuples by the thousand, which have none, and set it off again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def _cuts(texts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-    """Number of tokens and, for two draws, where prefix and middle end."""
+    """What ``cuts_of`` gives for texts and two draws."""
     for batch in texts:
-        rows = []
-        for text, h1, h2 in zip(*(c.to_pylist() for c in batch), strict=True):
-            ends = token_ends(text)
-            low, high = sorted((h1 % (len(ends) + 1), h2 % (len(ends) + 1)))
-            at = [int(ends[k - 1]) if k else 0 for k in (low, high)]
-            rows.append({"n": len(ends), "a": at[0], "b": at[1]})
-        yield pa.array(rows, pa.struct({"n": pa.int64(), "a": pa.int64(), "b": pa.int64()}))
+        with _uncollected():
+            rows = [cuts_of(*row) for row in zip(*(c.to_pylist() for c in batch), strict=True)]
+        yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["n", "a", "b"])
 
 
 def fill_in_middle(docs: DataFrame, doc_id: str, text: str, seed: int = SEED, plain_from: int = PLAIN_FROM, spm_below: int = SPM_BELOW) -> DataFrame:

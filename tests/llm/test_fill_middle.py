@@ -1,7 +1,9 @@
+import gc
 import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from panelspark.llm import fill_middle
 from pyspark.sql import functions as F
@@ -54,3 +56,25 @@ def test_pieces_join_to_the_same_tokens(monkeypatch):
 
 def test_empty_table(spark):
     assert fill_middle.fill_in_middle(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").collect() == []
+
+
+def test_tokens_set_off_no_search_for_cycles():
+    text, found = "ab, " * 5000, []
+    gc.callbacks.append(seen := lambda phase, info: found.append(phase))
+    try:
+        (got,) = fill_middle._cuts(iter([(pa.array([text]), pa.array([7]), pa.array([15_001]))]))
+    finally:
+        gc.callbacks.remove(seen)
+    assert got.to_pylist() == [{"n": 15_000, "a": 0, "b": 10}] and gc.isenabled()
+    assert found.count("start") <= 3  # when it is on again, not for each thousand tokens
+
+
+def test_cuts_and_tokens_of_the_pattern_itself():
+    from tokenizers import Regex, pre_tokenizers
+
+    plain = pre_tokenizers.Split(Regex(fill_middle.PATTERN), "isolated")
+    for k, t in enumerate(t for t in texts() if t):
+        ends = [end for _, (_, end) in plain.pre_tokenize_str(t)]
+        assert fill_middle.token_ends(t).tolist() == ends
+        low, high = sorted(h % (len(ends) + 1) for h in (7 * k, 13 * k))
+        assert fill_middle.cuts_of(t, 7 * k, 13 * k) == (len(ends), *([0, *ends][h] for h in (low, high)))
