@@ -36,6 +36,11 @@ def unpivoted(rows: DataFrame, ids: list[str], variants: dict[str, list[str]], n
     return rows.select(*ids, F.inline(each))
 
 
+def widened(rows: DataFrame, ids: list[str], variant: str, values: list[str], of: str) -> DataFrame:
+    """Long to wide: a column for each of the variants, its greatest value of a key. One aggregate with a row for each key, where a pivot first has one for each key and variant."""
+    return rows.groupBy(*ids).agg(*(F.max(F.when(F.col(variant) == v, F.col(of))).alias(v) for v in values))
+
+
 def stacked(blocks: list[DataFrame]) -> DataFrame:
     """Union of blocks whose columns may differ, in the order in which columns first appear."""
     out = blocks[0]

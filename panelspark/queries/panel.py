@@ -56,7 +56,7 @@ def wide_labels_flagged(spark, d):
     """Keyed conversion of long class scores to wide labels; rows whose scores sum to nothing are flagged, not dropped."""
     rows = predictions(spark, d)
     long = windows.unpivoted(rows, ["entity", "month"], {str(k): [f"p{k}"] for k in range(2, 6)}, ["score"], "class")
-    wide = long.groupBy("entity", "month").pivot("class", ["2", "3", "4", "5"]).agg(F.max("score"))
+    wide = windows.widened(long, ["entity", "month"], "class", ["2", "3", "4", "5"], "score")
     scores = {k: F.coalesce(F.col(f"`{k}`"), F.lit(0.0)) for k in range(2, 6)}
     return wide.select("entity", "month", X.majority_label(scores).alias("label"), (X.add(*scores.values()) <= 0).alias("nonpositive"))
 

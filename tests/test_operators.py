@@ -258,3 +258,14 @@ def test_rows_in_an_order_of_categories(spark):
     rows = spark.createDataFrame([("low", 2), ("high", 1), ("mid", 3), ("low", 1), ("high", 0)], "c string, v int").repartition(3)
     got = [tuple(r) for r in windows.ordered_by_category(rows, "c", ["high", "mid", "low"], [F.desc("v")]).collect()]
     assert got == [("high", 1), ("high", 0), ("mid", 3), ("low", 2), ("low", 1)]
+
+
+def test_widened_is_one_aggregate(spark):
+    from panelspark.queries import panel as rows_of_panel
+
+    long = spark.createDataFrame([(1, "2", 0.5), (1, "3", None), (1, "2", 0.7), (2, "4", 0.1), (2, "9", 9.0), (None, "3", 0.2)], "k long, class string, score double")
+    got = windows.widened(long, ["k"], "class", ["2", "3", "4"], "score").collect()
+    assert {tuple(r) for r in got} == {(1, 0.7, None, None), (2, None, None, 0.1), (None, None, 0.2, None)}
+    plan = rows_of_panel.wide_labels_flagged(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate")]
+    assert above.count("Aggregate") == 1, above  # a pivot's first aggregate holds a row for each key and class
