@@ -31,8 +31,8 @@ def latest(targets: DataFrame, observations: DataFrame, by: list[str], bound: st
     seen = Window.partitionBy(*by, "__period").orderBy("__at", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
     merged = both.withColumn("__own", F.last("__v", ignorenulls=True).over(seen)).filter("__t IS NOT NULL")
     ends = o.withColumn("__period", F.date_trunc(period, "__at")).groupBy(*by, "__period").agg(F.max(F.struct("__at", "__v")).alias("__last"))
-    # periods of targets and observations alike, one row each: the last value of any earlier period
-    periods = merged.select(*by, "__period").distinct().withColumn("__last", F.lit(None).cast(ends.schema["__last"].dataType)).unionByName(ends)
+    # periods of targets and observations alike, one row each: the last value of any earlier period; targets give theirs before the merge, which isn't worked out twice
+    periods = t.select(*by, F.date_trunc(period, "__at").alias("__period")).distinct().withColumn("__last", F.lit(None).cast(ends.schema["__last"].dataType)).unionByName(ends)
     per = periods.groupBy(*by, "__period").agg(F.max("__last").alias("__last"))
     earlier = Window.partitionBy(*by).orderBy("__period").rowsBetween(Window.unboundedPreceding, -1)
     carried = per.withColumn("__before", F.last("__last", ignorenulls=True).over(earlier)["__v"]).select(*by, "__period", "__before")
@@ -49,6 +49,7 @@ def with_fallback(targets: DataFrame, observations: DataFrame, entity: str, date
     over all entities. Places that are missing come last: where no distance is known, the least id is taken.
     Every target comes back, repeated ones as often as they are; a null group has no group tier, a null date no source.
 
+    Both tables are read several times: one that is worked out is to be held (``held.hold``) by the caller.
     Targets without history are reduced to distinct questions (group, latest date, place), which meet the observations of
     that date in the leaves around them only.
     """

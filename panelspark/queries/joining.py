@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import key_differences, table_digest
 from ..functions import EARTH_KM
+from ..held import hold
 from ..operators import asof, joins, spatial
 from ..sources import table
 from .base import PANEL, Registry, groups, panel, r6
@@ -97,7 +98,7 @@ def reference_deltas(spark, d):
 @query(f"""WITH {PANEL} SELECT p.entity, p.month, max(o.month) AS source_date, arg_max(o.label, o.month) AS source_label
 FROM panel p JOIN panel o ON o.entity = p.entity AND o.month < p.month GROUP BY 1, 2""", dates=("month", "source_date"))
 def asof_own_history(spark, d):
-    p = panel(spark, d).select("entity", "month", "label")
+    p = hold(panel(spark, d).select("entity", "month", "label"))  # targets and observations
     found = asof.latest(p, p, ["entity"], "month", "month", F.struct(F.col("month").alias("d"), F.col("label").alias("v")))
     return found.filter("found IS NOT NULL").select("entity", "month", F.col("found.d").alias("source_date"), F.col("found.v").alias("source_label"))
 
@@ -105,7 +106,7 @@ def asof_own_history(spark, d):
 @query(f"""WITH {PANEL} SELECT p.entity, p.month, max(o.month) AS source_date, arg_max(o.label, o.month) AS source_label
 FROM panel p JOIN panel o ON o.entity = p.entity AND o.month <= p.month - INTERVAL 12 MONTH GROUP BY 1, 2""", dates=("month", "source_date"))
 def asof_12m_lag(spark, d):
-    p = panel(spark, d).select("entity", "month", "label").withColumn("bound", F.add_months("month", -12))
+    p = hold(panel(spark, d).select("entity", "month", "label")).withColumn("bound", F.add_months("month", -12))
     found = asof.latest(p, p, ["entity"], "bound", "month", F.struct(F.col("month").alias("d"), F.col("label").alias("v")), inclusive=True)
     return found.filter("found IS NOT NULL").select("entity", "month", F.col("found.d").alias("source_date"), F.col("found.v").alias("source_label"))
 
@@ -133,7 +134,7 @@ FROM obs LEFT JOIN found USING (entity, month) WHERE source IS NOT NULL GROUP BY
 
 
 def _persistence(spark, d, lag):
-    p = panel(spark, d).join(groups(spark, d), "entity").select("entity", "month", "grp", "lat", "lon", "label")
+    p = hold(panel(spark, d).join(groups(spark, d), "entity").select("entity", "month", "grp", "lat", "lon", "label"))  # targets and observations
     found = asof.with_fallback(p, p, "entity", "month", "grp", "lat", "lon", "label", lag)
     day = F.datediff("source_date", F.lit("1990-01-01").cast("date"))
     return found.filter("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("n"), F.sum("source_entity").alias("entities"), F.sum("source_value").alias("labels"), F.sum(day).alias("days"))

@@ -269,3 +269,14 @@ def test_widened_is_one_aggregate(spark):
     plan = rows_of_panel.wide_labels_flagged(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Generate")]
     assert above.count("Aggregate") == 1, above  # a pivot's first aggregate holds a row for each key and class
+
+
+def test_lookups_work_out_the_panel_once(spark, monkeypatch):
+    from panelspark.queries import joining
+
+    plans, hold = [], asof.hold
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(asof, "hold", lambda df: plans.append(plan(df)) or hold(df))
+    folder = "/root/testdata/sf0.001"
+    plans += [plan(getattr(joining, name)(spark, folder)) for name in ("asof_fallback_persistence", "asof_own_history", "asof_12m_lag")]
+    assert len(plans) > 6 and not any("l_extendedprice" in p for p in plans)
