@@ -21,17 +21,31 @@ from ..held import hold
 
 #: The table of splits, a row of some 150 bytes for each, is broadcast up to so many: 128 TB in splits of 128 MB.
 SPLITS = 1_000_000
+#: Where splits are small a task takes several: up to TASK bytes, or a share of all for each of WAVES tasks a core.
+TASK, WAVES = 128 << 20, 4
 
 
-def _reading(spark: SparkSession, split_bytes: int | None) -> SparkSession:
-    """A session like ``spark`` in which files are cut into the same splits whatever executors there are, as they are read twice."""
+def listing(spark: SparkSession) -> SparkSession:
+    """A session like ``spark`` in which folders are listed by a few tasks for each core, not one for each folder."""
     own = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if spark.conf.isModifiable(key):
             own.conf.set(key, value)
+    own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(WAVES * spark.sparkContext.defaultParallelism))
+    return own
+
+
+def _reading(spark: SparkSession, path: str, split_bytes: int | None) -> SparkSession:
+    """A session like ``spark`` in which files are cut into the same splits whatever executors there are, as they are read twice.
+
+    Splits are dealt out to no more tasks than TASK and WAVES ask for, as a task's start costs more than a small split.
+    """
+    own = listing(spark)
+    total = own.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
     size = str(split_bytes or spark.conf.get("spark.sql.files.maxPartitionBytes"))
     own.conf.set("spark.sql.files.maxPartitionBytes", size)
     own.conf.set("spark.sql.files.openCostInBytes", size)  # so the size of splits doesn't follow the number of cores
+    own.conf.set("spark.sql.files.maxPartitionNum", str(max(-(-total // TASK), WAVES * spark.sparkContext.defaultParallelism)))
     return own
 
 
@@ -94,14 +108,21 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             within = np.concatenate([[inside], after[:-1]])
             begins = ~blank[lo:hi] & (within == 0)
             numbers = number + np.cumsum(begins)
-            whole = begins & (after == 0)
-            if whole.any():
-                yield rows(numbers[whole], pc.filter(lines, pa.array(whole)), False)
-            for i in np.flatnonzero((begins | (within == 1)) & ~whole).tolist():
-                pieces.append(lines[i].as_py())
-                if after[i] == 0:
-                    yield rows([int(numbers[i])], pa.array(["\n".join(pieces)], pa.string()), leading)
+            kept = np.flatnonzero(begins | (within == 1))
+            first, held_lines = np.flatnonzero(begins[kept]), lines.take(pa.array(kept))
+            head = int(first[0]) if len(first) else len(kept)  # lines of the record that was open before
+            if head:
+                pieces += held_lines[:head].to_pylist()
+                if after[kept[head - 1]] == 0:
+                    yield rows([number], pa.array(["\n".join(pieces)], pa.string()), leading)
                     pieces, leading = [], False
+            if len(first) and after[-1]:  # the last one goes on
+                pieces, first, end = held_lines[int(first[-1]) :].to_pylist(), first[:-1], int(first[-1])
+            else:
+                end = len(kept)
+            if len(first):
+                together = pa.ListArray.from_arrays(pa.array([*first.tolist(), end], pa.int32()), held_lines)
+                yield rows(numbers[kept[first]], pc.binary_join(together, "\n"), False)
             inside, number = int(after[-1]), int(numbers[-1])
     if pieces:
         yield rows([number], pa.array(["\n".join(pieces)], pa.string()), True)
@@ -115,7 +136,7 @@ def read_records(spark: SparkSession, path: str, split_bytes: int | None = None)
     last line end; no file or no record gives no row. Packed files can't be cut, so each is one task's. ``split_bytes``
     replaces the session's split size. The result belongs to a session of its own with the same settings.
     """
-    own = _reading(spark, split_bytes)
+    own = _reading(spark, path, split_bytes)
     lines = own.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
     lines = lines.withColumns({"quotes": (F.length("line") - F.length(F.replace("line", F.lit('"')))).cast("long"), "blank": F.col("line").isin("", "\r")})
     counted = lines.drop("line").mapInArrow(_count, "file string, block long, odd boolean, begun_out long, begun_in long")

@@ -62,3 +62,28 @@ def test_two_batches_of_a_split_are_one(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {n: next(csv.reader(io.StringIO(t, newline=""))) for n, t in got.items()} == dict(plain(data))
+
+
+def test_records_of_a_batch_are_one_batch_and_small_splits_share_tasks(spark, tmp_path, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from panelspark.sources import records
+
+    lines = ['1,"a', 'b"', "2,c", '3,"', '"', ""] * 500 + ['4,"open', "to the end"]
+    batch = pa.RecordBatch.from_pydict({
+        "split": pa.array(np.zeros(len(lines)), pa.int64()), "before": pa.array(np.zeros(len(lines)), pa.int64()), "inside": [False] * len(lines), "quotes": pa.array([x.count('"') for x in lines], pa.int64()), "blank": [x == "" for x in lines], "line": lines,
+    })
+    got = list(records._records(iter([batch])))
+    texts = {n: t for b in got for n, t in zip(b.column("number").to_pylist(), b.column("text").to_pylist(), strict=True)}
+    assert len(got) <= 2 and {n: next(csv.reader(io.StringIO(t, newline=""))) for n, t in texts.items()} == dict(plain("\n".join(lines).encode()))
+    for k in range(100):
+        write(tmp_path / f"{k}.csv", ROWS[:40], "\n")
+    read = read_records(spark, str(tmp_path), 700)
+    spark.sparkContext.setJobGroup("places", "places")
+    try:
+        assert read.count() == 4000
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    tasks = [status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup("places") for s in status.getJobInfo(j).stageIds if status.getStageInfo(s)]
+    assert tasks and max(tasks) <= 2 * records.WAVES * spark.sparkContext.defaultParallelism + 2  # two readings, and what packing leaves over
