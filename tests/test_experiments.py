@@ -176,6 +176,49 @@ def test_held_out_groups_equal_single_fits(frame):
             assert np.allclose([got[f"{g}2", r.entity][k] for r in te], one + least_squares_of(tr, te, ["c", "b"], rest), atol=1e-8)
 
 
+@pytest.mark.parametrize("found", ["in the bracket", "outside of it"])
+def test_medians_of_many_rows_order_few_values(spark, monkeypatch, found):
+    """Of more than FEW rows only the values near a median are shuffled; one outside its bracket is still exact."""
+    rnd = np.random.RandomState(5)
+    values = {"many": rnd.normal(size=3000), "ties": rnd.randint(0, 3, 3000) * 1.0, "zeros": np.where(rnd.rand(3000) < 0.7, -0.0, 0.0), "some": np.where(rnd.rand(3000) < 0.9, np.nan, rnd.normal(size=3000)), "none": np.full(3000, np.nan)}
+    group, y = rnd.randint(0, 3, 3000), rnd.rand(3000)
+    rows = spark.createDataFrame([(int(g), float(t), *(None if np.isnan(v) else float(v) for v in own)) for g, t, *own in zip(group, y, *values.values(), strict=True)], "g int, y double, " + ", ".join(f"{c} double" for c in values))
+    parts = [least_squares.Part(str(k), F.col("g") != k, F.lit(False), tuple(values)) for k in range(3)] + [least_squares.Part("nothing", F.lit(False), F.lit(False), tuple(values)), least_squares.Part("one", (F.col("g") == 0) & (F.col("y") == float(y[group == 0][0])), F.lit(False), tuple(values))]
+    base = least_squares.base_rows(rows, parts, list(values), ["y"], None).repartition(3).cache()
+    few = least_squares.sums_of(base, parts, list(values), 1)
+    monkeypatch.setattr(least_squares, "FEW", 10)
+    asked, quantiles = [], least_squares.quantiles
+    monkeypatch.setattr(least_squares, "quantiles", lambda *a: asked.append(1) or quantiles(*a))
+    if found == "outside of it":
+        brackets = least_squares._brackets
+        monkeypatch.setattr(least_squares, "_brackets", lambda *a: brackets(*a) + 0.75)
+    many = least_squares.sums_of(base, parts, list(values), 1)
+    assert bool(asked) == (found == "outside of it")
+    on = [group != k for k in range(3)] + [group < 0, np.arange(3000) == np.flatnonzero(group == 0)[0]]
+    for k, own in enumerate(on):
+        for j, v in enumerate(values.values()):
+            x = v[own & ~np.isnan(v)]
+            assert many.medians[k, j] == few.medians[k, j] == (np.median(x) if len(x) else 0), (k, j)
+    assert set(many.by_pattern) == set(few.by_pattern) and all(np.allclose(many.of(k)[0, 0], few.of(k)[0, 0]) for k in (0, 1, 2, 4))
+
+
+def test_two_layers_of_many_rows(frame, monkeypatch):
+    train, test = frame.filter("split = 'train'"), frame.filter("split = 'test'")
+    hats = lambda: [r.hat_c3 for r in models.ols_two_layer(train, test, ["a", "b"], ["c"], ["c3"]).orderBy("entity").collect()]
+    want = hats()
+    monkeypatch.setattr(least_squares, "FEW", 10)
+    assert np.allclose(hats(), want, atol=1e-12)
+
+
+@pytest.mark.parametrize("parts", [2, 3, 8, 9, 256])
+def test_places_among_edges(spark, parts):
+    rnd = np.random.RandomState(parts)
+    edges = sorted(map(float, rnd.randint(0, 40, parts - 1)))
+    values = [float("-inf"), *np.arange(-1, 42, 0.5).tolist(), float("inf")]
+    rows = spark.createDataFrame([(edges, v) for v in values] + [([edges[0]] * 2, edges[0])][: parts > 2], "edges array<double>, v double").select(ranges._less("edges", "v", parts).alias("k"), "edges", "v")
+    assert all(r.k == np.searchsorted(r.edges, r.v, "left") for r in rows.collect())
+
+
 def test_boosted_layers_equal_single_fits(frame):
     panel = experiments.Panel(general=TREES, upper=TREES, targets=("c2", "c3"))
     rows = frame.withColumn("__id", F.col("entity"))
