@@ -65,6 +65,14 @@ def test_medians_both_ways(frame, monkeypatch):
     assert models.medians(none, ["a", "b", "c", "empty"]) == pytest.approx(want | {"empty": 0.0})
 
 
+def test_medians_of_models_order_few_values(frame, monkeypatch):
+    want = models.medians(frame, ["a", "b", "c"])
+    monkeypatch.setattr(models, "FEW", 10)
+    monkeypatch.setattr(least_squares, "quantiles", lambda *a: pytest.fail("all values are ordered"))
+    monkeypatch.setattr(models, "quantiles", least_squares.quantiles, raising=False)
+    assert models.medians(frame, ["a", "b", "c"]) == want
+
+
 def test_quantiles_against_numpy(spark):
     rnd = random.Random(2)
     values = {"many": [rnd.gauss(0, 1) for _ in range(3000)], "ties": [float(rnd.randrange(3)) for _ in range(500)], None: [1.0, 5.0], "one": [7.0], "none": [None, float("nan")]}
